@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The number shapes accepted, the day spreadsheets count from, the date spellings accepted.
+# White space, the number shapes accepted, the day spreadsheets count from
+WHITE_SPACE = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000"
 _INTEGER = r"^[+-]?[0-9]+$"
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SERIAL_DAY_ZERO = "1899-12-30"
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "M/d/yyyy",
-    "yyyy/M/d",
-    "M-d-yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "MMM d yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-]
+
+# Date spellings accepted, as shape → format. A text is read only in the formats of its shape,
+# because a failed attempt costs far more than a look at the shape.
+_TIME = r" [0-9]{1,2}:[0-9]{2}"
+DATE_FORMATS = {
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$": "yyyy-M-d",
+    r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$": "yyyy/M/d",
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$": "M/d/yyyy",
+    r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": "M-d-yyyy",
+    r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$": "d MMM yyyy",
+    r"^[0-9]{1,2} [A-Za-z]{4,} [0-9]{4}$": "d MMMM yyyy",
+    r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$": "d-MMM-yyyy",
+    r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$": "MMM d, yyyy",
+    r"^[A-Za-z]{4,} [0-9]{1,2}, [0-9]{4}$": "MMMM d, yyyy",
+    rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{_TIME}$": "M/d/yyyy H:mm",
+    rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{_TIME}:[0-9]{{2}}$": "M/d/yyyy H:mm:ss",
+    rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{_TIME} [AP]M$": "M/d/yyyy h:mm a",
+    rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}{_TIME}:[0-9]{{2}} [AP]M$": "M/d/yyyy h:mm:ss a",
+}
+_ISO_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ].*$"
 
 
 def trimmed(text: Column) -> Column:
     """Text without surrounding white space, NULL when nothing is left."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.nullif(bare, F.lit(""))
+    return F.nullif(F.trim(text, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def is_blank(text: Column) -> Column:
@@ -57,7 +61,7 @@ def lenient_date(text: Column) -> Column:
     value = trimmed(text)
     serial = lenient_double(value)
     from_serial = F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), F.floor(serial).try_cast("int"))
-    spelled = [F.try_to_timestamp(value, F.lit(f)).cast("date") for f in DATE_FORMATS]
-    return F.when(serial > 1, from_serial).otherwise(
-        F.coalesce(*spelled, F.when(serial.isNull(), value.try_cast("timestamp").cast("date")))
-    )
+    read = F.when(serial > 1, from_serial).when(value.rlike(_ISO_TIME), value.try_cast("timestamp").cast("date"))
+    for shape, date_format in DATE_FORMATS.items():
+        read = read.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(date_format)).cast("date"))
+    return read

@@ -28,7 +28,7 @@ FIRST_YEAR_OF_1900S = 57
 
 
 def unix_lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def records(text: Column, pattern: str) -> Column:

@@ -12,7 +12,7 @@ from orbitlake import schemas
 from orbitlake.plans import dimensions, facts
 from orbitlake.plans.analytics import Star
 from orbitlake.plans.warehouse import Warehouse
-from orbitlake.sources import gp_json, landing, launches, registry, staging_csv
+from orbitlake.sources import gp_json, landing, launches, registry, rows, staging_csv
 from orbitlake.workspace import write_through
 
 STAGING = ["stg_celestrak_objects", "stg_ucs_satellites", "stg_launch_events"]
@@ -21,15 +21,24 @@ _BROKEN = ["malformed json", "not an object"]
 
 
 def parse_landing(snapshots: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Staging tables of all snapshots, and the rejects. Files of unknown feeds are archived only."""
-    gp, gp_bad = gp_json.parse_gp_json(landing.as_text(landing.of_kind(snapshots, K.GP)))
-    launch, launch_bad = launches.parse_launches(landing.as_text(landing.of_kind(snapshots, K.LAUNCHES)))
+    """Staging tables of all snapshots, and the rejects. Files of unknown feeds are archived only.
+
+    Every file is parsed once: good and rejected rows are written together, then told apart.
+    """
+    gp = landing.as_text(landing.of_kind(snapshots, K.GP))
+    launch = landing.as_text(landing.of_kind(snapshots, K.LAUNCHES))
     registries = landing.of_kind(snapshots, K.REGISTRY)
-    tables, tables_bad = registry.parse_registry(landing.as_text(registries.where(~landing.is_workbook())))
-    books, books_bad = registry.parse_workbooks(registries.where(landing.is_workbook()))
-    staging = dict(zip(STAGING, [gp, tables.unionByName(books), launch]))
-    rejected = gp_bad.unionByName(launch_bad).unionByName(tables_bad).unionByName(books_bad)
-    return staging, rejected
+    tables = landing.as_text(registries.where(~landing.is_workbook()))
+    books = registries.where(landing.is_workbook())
+    parsed = {
+        STAGING[0]: gp_json.read_gp_json(gp),
+        STAGING[1]: registry.read_registry(tables).unionByName(registry.read_workbooks(books)),
+        STAGING[2]: launches.read_launches(launch),
+    }
+    written = {name: write_through(df, f"parsed-{name}") for name, df in parsed.items()}
+    staging = {name: rows.good(df, schemas.TABLES[name]) for name, df in written.items()}
+    gp_bad, registry_bad, launch_bad = (rows.rejected(df) for df in written.values())
+    return staging, gp_bad.unionByName(registry_bad).unionByName(launch_bad)
 
 
 def build(warehouse: Warehouse, staging: dict[str, DataFrame], as_of: dt.date) -> Star:
@@ -103,7 +112,6 @@ def run(
     """
     snapshots = landing.read_snapshots(spark, landing_folder, feeds)
     staging, rejected = parse_landing(snapshots)
-    rejected = write_through(rejected, "rejects")
     broken = rejected.where(F.col("reason").isin(_BROKEN))
     if on_error == "fail" and not broken.isEmpty():
         raise ValueError(f"broken landing file: {broken.first().path}")

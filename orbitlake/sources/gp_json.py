@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from orbitlake import schemas
 from orbitlake.functions.lenient import is_blank, lenient_double, lenient_int, lenient_timestamp
 from orbitlake.functions.naming import source_group
-from orbitlake.sources.landing import rejects
-from orbitlake.sources.variants import elements, number_text, text, typed
+from orbitlake.sources.rows import NOTHING, computed_once, split
+from orbitlake.sources.variants import number_text, text
 
 # Field names of the feed
-FIELDS = ["OBJECT_NAME", "NORAD_CAT_ID", "EPOCH", "INCLINATION", "ECCENTRICITY", "MEAN_MOTION"]
+NAME, CATALOGUE_ID, EPOCH = "OBJECT_NAME", "NORAD_CAT_ID", "EPOCH"
+MEASURES = {"INCLINATION": "inclination_deg", "ECCENTRICITY": "eccentricity", "MEAN_MOTION": "mean_motion"}
 PREVIEW = 512
 
+# Only the named fields are parsed. Each stays a variant, which remembers whether it was text or a number.
+_ITEMS = "array<struct<" + ", ".join(f"{f}: variant" for f in (NAME, CATALOGUE_ID, EPOCH, *MEASURES)) + ">>"
+
 
 def looks_like_json(content: Column) -> Column:
     """The first visible character within the preview opens an array or an object."""
@@ -25,46 +29,51 @@ def is_array(content: Column) -> Column:
     return F.coalesce(content.rlike(r"^\s*\["), F.lit(False))
 
 
-def parse_gp_json(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of all snapshots with the six required fields, and what was left out and why.
+def read_gp_json(snapshots: DataFrame) -> DataFrame:
+    """One row per element set or problem.
 
-    Names and epochs must be JSON strings; numbers may be numbers or numeric strings.
+    The six fields are required. Names and epochs must be JSON strings; numbers may be numbers or numeric strings.
     """
     content = F.col("content")
-    files = snapshots.withColumn("_items", F.when(is_array(content), elements(content)))
-    item = F.col("_item")
-    rows = files.select(
-        "path",
-        "source_name",
-        "downloaded_at",
-        source_group(F.col("source_uri"), F.col("source_name")).alias("source_group"),
-        F.explode("_items").alias("_item"),
+    gate = F.when(~looks_like_json(content), F.lit("not json")).when(~is_array(content), F.lit("not an array"))
+    files = computed_once(
+        snapshots,
+        ["path", "source_name", "downloaded_at"],
+        {
+            "_gate": gate,
+            "_items": F.when(gate.isNull(), F.from_json(content, _ITEMS)),
+            "_preview": F.when(gate.isNotNull(), F.substring(content, 1, PREVIEW)),
+            "source_group": source_group(F.col("source_uri"), F.col("source_name")),
+        },
     )
-    name, catalogue_id, epoch, *measures = (typed(item, f) for f in FIELDS)
-    fields = rows.select(
-        text(name).alias("object_name"),
-        lenient_int(number_text(catalogue_id, whole=True)).cast("bigint").alias("norad_id"),
-        lenient_timestamp(text(epoch)).alias("epoch"),
-        *(
-            lenient_double(number_text(m)).alias(n)
-            for m, n in zip(measures, ["inclination_deg", "eccentricity", "mean_motion"])
-        ),
-        "source_group",
-        F.col("downloaded_at").alias("imported_at"),
-        "source_name",
-        "path",
-        F.to_json(item).alias("_raw"),
+    items = F.col("_items")
+    problem = F.coalesce("_gate", F.when(items.isNull(), F.lit("malformed json")), F.when(F.size(items) == 0, F.lit(NOTHING)))
+    rows = files.select(
+        "path", "source_name", "downloaded_at", "source_group", "_preview", problem.alias("_problem"),
+        F.explode_outer(items).alias("_item"),
+    )
+    item = F.col("_item")
+    fields = {
+        "object_name": text(item[NAME]),
+        "norad_id": lenient_int(number_text(item[CATALOGUE_ID], whole=True)).cast("bigint"),
+        "epoch": lenient_timestamp(text(item[EPOCH])),
+        **{column: lenient_double(number_text(item[field])) for field, column in MEASURES.items()},
+    }
+    parsed = computed_once(
+        rows,
+        ["path", "source_name", "source_group", "_problem", "_preview", F.col("downloaded_at").alias("imported_at"), "_item"],
+        fields,
     )
-    required = ["norad_id", "epoch", "inclination_deg", "eccentricity", "mean_motion"]
-    complete = ~is_blank(F.col("object_name"))
-    for column in required:
-        complete = complete & F.col(column).isNotNull()
-    good = schemas.conform(fields.where(complete), schemas.STG_GP)
-    reason = (
-        F.when(~looks_like_json(content), F.lit("not json"))
-        .when(~is_array(content), F.lit("not an array"))
-        .when(F.col("_items").isNull(), F.lit("malformed json"))
+    incomplete = is_blank(F.col("object_name"))
+    for column in list(fields)[1:]:
+        incomplete = incomplete | F.col(column).isNull()
+    reason = F.coalesce("_problem", F.when(incomplete, F.lit("missing required field")))
+    return computed_once(
+        parsed,
+        ["path", "source_name", *schemas.STG_GP.names],
+        {"reason": reason, "detail": F.when(reason.isNotNull(), F.coalesce("_preview", F.to_json(item)))},
     )
-    bad_files = rejects(files.where(reason.isNotNull()), reason, F.substring(content, 1, PREVIEW))
-    bad_rows = rejects(fields.where(~complete), F.lit("missing required field"), F.col("_raw"))
-    return good, bad_files.unionByName(bad_rows)
+
+
+def parse_gp_json(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split(read_gp_json(snapshots), schemas.STG_GP)

@@ -9,9 +9,6 @@ from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.operators.keyed import latest_per_key
 
-REJECT_COLUMNS = ["path", "source_name", "reason", "detail"]
-
-
 def feed_table(spark: SparkSession, feeds=K.FEEDS) -> DataFrame:
     """The configured feeds as a small local relation; a feed configured twice counts once."""
     rows = [F.struct(F.lit(n).alias("source_name"), F.lit(k).alias("kind"), F.lit(u).alias("source_uri")) for n, k, u in dict.fromkeys(feeds)]
@@ -85,12 +82,7 @@ def latest_snapshots(spark: SparkSession, landing: str) -> DataFrame:
             "extension": F.regexp_extract(file_name(F.col("path")), r"(\.[^.]*)$", 1),
         }
     ).where(F.col("source_name") != "")
-    order = [F.col("modified").desc(), F.col("path").desc()]
-    return latest_per_key(keyed, ["source_name", "extension"], order)
-
-
-def rejects(df: DataFrame, reason: Column, detail: Column) -> DataFrame:
-    return df.select("path", "source_name", reason.alias("reason"), detail.cast("string").alias("detail"))
+    return latest_per_key(keyed, ["source_name", "extension"], [F.col("modified"), F.col("path")])
 
 
 def write_archive(snapshots: DataFrame, path: str) -> None:

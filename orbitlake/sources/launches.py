@@ -9,40 +9,56 @@ from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.functions.lenient import lenient_timestamp
 from orbitlake.functions.naming import fallback_launch_id
-from orbitlake.sources.landing import rejects
+from orbitlake.sources.rows import NOTHING, computed_once, split
 from orbitlake.sources.variants import array_length, elements, first_text, text, typed
 
 
-def parse_launches(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All launches of all snapshots (one page per file), and files or elements that hold none."""
+def read_launches(snapshots: DataFrame) -> DataFrame:
+    """One row per launch (one page per file) or problem."""
     content = F.col("content")
-    page = F.from_json(content, "results variant")["results"]
-    in_page = F.try_variant_get(page, "$", "array<variant>")
-    opens = F.regexp_extract(content, r"^\s*([\[{])", 1)
-    files = snapshots.withColumn("_items", F.when(opens == "[", elements(content)).when(opens == "{", in_page))
+    opens = F.regexp_extract(F.substring(content, 1, 512), r"^\s*([\[{])", 1)
+    in_page = F.try_variant_get(F.from_json(content, "results variant")["results"], "$", "array<variant>")
+    files = computed_once(
+        snapshots,
+        ["path", "source_name", "downloaded_at"],
+        {
+            "_items": F.when(opens == "[", elements(content)).when(opens == "{", in_page),
+            "_opens": opens,
+            "_preview": F.substring(content, 1, 512),
+        },
+    )
+    items = F.col("_items")
+    problem = (
+        F.when(items.isNull() & (F.col("_opens") == ""), F.lit("not json"))
+        .when(items.isNull(), F.lit("no launch array"))
+        .when(F.size(items) == 0, F.lit(NOTHING))
+    )
+    rows = files.select(
+        "path", "source_name", "downloaded_at", "_preview", problem.alias("_problem"), F.explode_outer(items).alias("_item")
+    )
     item = F.col("_item")
-    rows = files.select("path", "source_name", "downloaded_at", F.explode("_items").alias("_item"))
     is_object = F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
-    launches = rows.where(is_object).select(
-        text(typed(item, "id")).alias("_id"),
-        F.coalesce(text(typed(item, "name")), F.lit(K.UNKNOWN)).alias("launch_name"),
-        F.coalesce(
+    fields = {
+        "_id": text(typed(item, "id")),
+        "launch_name": F.coalesce(text(typed(item, "name")), F.lit(K.UNKNOWN)),
+        "launch_date": F.coalesce(
             lenient_timestamp(text(typed(item, "net"))), lenient_timestamp(text(typed(item, "window_start")))
-        ).alias("launch_date"),
-        text(typed(item, "launch_service_provider", "name")).alias("launch_provider"),
-        first_text(
-            item, ("rocket", "configuration", "full_name"), ("rocket", "configuration", "name")
-        ).alias("rocket_name"),
-        first_text(item, ("pad", "location", "country_code"), ("pad", "country_code")).alias("launch_country"),
-        text(typed(item, "status", "name")).alias("launch_status"),
-        array_length(item, "rocket", "spacecraft_stage", "payloads").alias("payload_count"),
-        F.col("downloaded_at").alias("imported_at"),
-    )
+        ),
+        "launch_provider": text(typed(item, "launch_service_provider", "name")),
+        "rocket_name": first_text(item, ("rocket", "configuration", "full_name"), ("rocket", "configuration", "name")),
+        "launch_country": first_text(item, ("pad", "location", "country_code"), ("pad", "country_code")),
+        "launch_status": text(typed(item, "status", "name")),
+        "payload_count": array_length(item, "rocket", "spacecraft_stage", "payloads").cast("bigint"),
+        "reason": F.coalesce("_problem", F.when(~is_object, F.lit("not an object"))),
+    }
+    parsed = computed_once(rows, ["path", "source_name", "downloaded_at", "_preview", "_item"], fields)
     own_or_derived = F.coalesce(
         "_id", fallback_launch_id(F.col("launch_name"), F.col("launch_date"), F.col("launch_provider"))
     )
-    good = schemas.conform(launches.withColumn("launch_id", own_or_derived), schemas.STG_LAUNCH)
-    reason = F.when(opens == "", F.lit("not json")).otherwise(F.lit("no launch array"))
-    bad_files = rejects(files.where(F.col("_items").isNull()), reason, F.substring(content, 1, 512))
-    bad_rows = rejects(rows.where(~is_object), F.lit("not an object"), F.to_json(item))
-    return good, bad_files.unionByName(bad_rows)
+    columns = parsed.withColumns({"launch_id": own_or_derived, "imported_at": F.col("downloaded_at")})
+    detail = F.when(F.col("reason").isNotNull(), F.coalesce(F.to_json(item), F.col("_preview")))
+    return columns.select("path", "source_name", *schemas.STG_LAUNCH.names, "reason", detail.alias("detail"))
+
+
+def parse_launches(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split(read_launches(snapshots), schemas.STG_LAUNCH)

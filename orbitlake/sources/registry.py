@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from orbitlake import constants as K
 from orbitlake import schemas
-from orbitlake.functions.lenient import is_blank, lenient_date, lenient_int, trimmed
+from orbitlake.functions.lenient import WHITE_SPACE, is_blank, lenient_date, lenient_int, trimmed
 from orbitlake.functions.naming import normalised_header
-from orbitlake.sources.landing import rejects
+from orbitlake.sources.rows import NOTHING, computed_once, split
 
 # Separators in order of preference when equally frequent
 SEPARATORS = ["\t", ";", ","]
 
 
 def first_line(content: Column) -> Column:
-    return F.regexp_extract(content, r"^([^\r\n]*)", 1)
+    return F.substring_index(F.substring_index(content, "\n", 1), "\r", 1)
 
 
 def container(line: Column) -> Column:
@@ -43,34 +43,45 @@ def separator(line: Column) -> Column:
     return choice
 
 
-def _field_pattern(sep: Column) -> Column:
+def _field_pattern(sep: str) -> str:
     """One field: quoted text (with doubled quotes, separators and line ends inside), else plain text.
 
     A quote that never closes is plain text. The possessive loops keep the match linear.
     """
-    quoted = F.concat(F.lit(r' *+"[^"]*+(?:""[^"]*+)*+"[^'), sep, F.lit(r"\r\n]*+"))
-    plain = F.concat(F.lit("[^"), sep, F.lit(r"\r\n]*+"))
-    return F.concat(F.lit("(?:"), quoted, F.lit("|"), plain, F.lit(")"))
+    return rf'(?: *+"[^"]*+(?:""[^"]*+)*+"[^{sep}\r\n]*+|[^{sep}\r\n]*+)'
+
+
+def _by_separator(sep: Column, make) -> Column:
+    """``make(separator)`` for the separator of the row; the patterns are constants, compiled once."""
+    chosen = F.lit(None)
+    for candidate in SEPARATORS:
+        chosen = F.when(sep == candidate, make(candidate)).otherwise(chosen)
+    return chosen
 
 
 def split_records(content: Column, sep: Column) -> Column:
     """Records of a delimited text: line ends inside quotes do not end a record."""
-    field = _field_pattern(sep)
-    pattern = F.concat(F.lit(r"(?:^|(?<=[\r\n]))"), field, F.lit("(?:"), sep, field, F.lit(")*+"))
-    return F.filter(F.regexp_extract_all(content, pattern, F.lit(0)), lambda r: ~is_blank(r))
+
+    def records(s: str) -> Column:
+        field = _field_pattern(s)
+        return F.regexp_extract_all(content, F.lit(rf"(?:^|(?<=[\r\n])){field}(?:{s}{field})*+"), F.lit(0))
+
+    return F.filter(_by_separator(sep, records), lambda r: ~is_blank(r))
 
 
 def split_fields(record: Column, sep: Column) -> Column:
     """Trimmed, unquoted fields of one record."""
-    pattern = F.concat(F.lit("(?:^|(?<="), sep, F.lit("))"), _field_pattern(sep))
+
+    def fields(s: str) -> Column:
+        return F.regexp_extract_all(record, F.lit(rf"(?:^|(?<={s})){_field_pattern(s)}"), F.lit(0))
 
     def clean(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
-        quoted = bare.rlike(r'(?s)^".*"$') & (F.length(bare) >= 2)
+        bare = F.trim(raw, F.lit(WHITE_SPACE))
+        quoted = bare.startswith('"') & bare.endswith('"') & (F.length(bare) >= 2)
         inside = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
         return F.when(quoted, inside).otherwise(bare)
 
-    return F.transform(F.regexp_extract_all(record, pattern, F.lit(0)), clean)
+    return F.transform(_by_separator(sep, fields), clean)
 
 
 def header_positions(headers: Column, aliases: list[str]) -> Column:
@@ -90,46 +101,67 @@ def first_value(values: Column, positions: Column) -> Column:
     return F.get(F.filter(F.transform(positions, lambda i: trimmed(F.get(values, i))), lambda v: v.isNotNull()), 0)
 
 
-def _resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``headers`` and ``values`` arrays to staging rows; rows without a name are left out."""
+def _resolve(rows: DataFrame) -> DataFrame:
+    """Rows of ``headers`` positions and ``values`` to staging rows; a row without a name is a reject."""
     found = {c: first_value(F.col("values"), F.col(f"_at_{c}")) for c in K.REGISTRY_HEADERS}
     found["norad_id"] = lenient_int(found["norad_id"]).cast("bigint")
     found["launch_date"] = lenient_date(found["launch_date"])
-    fields = rows.select(
-        "path", "source_name", "values", F.col("downloaded_at").alias("imported_at"),
-        *(c.alias(n) for n, c in found.items()),
+    fields = computed_once(
+        rows, ["path", "source_name", "values", "_problem", "_preview", F.col("downloaded_at").alias("imported_at")], found
+    )
+    reason = F.coalesce("_problem", F.when(F.col("satellite_name").isNull(), F.lit("no satellite name")))
+    return computed_once(
+        fields,
+        ["path", "source_name", *schemas.STG_REGISTRY.names],
+        {"reason": reason, "detail": F.when(reason.isNotNull(), F.coalesce("_preview", F.to_json("values")))},
     )
-    named = F.col("satellite_name").isNotNull()
-    bad = rejects(fields.where(~named), F.lit("no satellite name"), F.to_json("values"))
-    return schemas.conform(fields.where(named), schemas.STG_REGISTRY), bad
 
 
-def _with_positions(files: DataFrame) -> DataFrame:
+def _positions(headers: Column) -> dict[str, Column]:
     """Column positions per field, worked out once per file."""
-    return files.withColumns(
-        {f"_at_{c}": header_positions(F.col("headers"), aliases) for c, aliases in K.REGISTRY_HEADERS.items()}
+    return {f"_at_{c}": header_positions(headers, aliases) for c, aliases in K.REGISTRY_HEADERS.items()}
+
+
+_AT = [f"_at_{c}" for c in K.REGISTRY_HEADERS]
+
+
+def read_registry(snapshots: DataFrame) -> DataFrame:
+    """One row per registry row or problem; every file has its own separator and header line."""
+    content = F.col("content")
+    keep = ["path", "source_name", "downloaded_at"]
+    without_mark = F.when(content.startswith("\ufeff"), F.substring(content, F.lit(2), F.length(content))).otherwise(content)
+    texts = computed_once(snapshots, keep, {"content": without_mark})
+    kinds = computed_once(
+        texts,
+        [*keep, "content"],
+        {"_kind": container(first_line(content)), "sep": separator(first_line(content)), "_preview": first_line(content)},
+    )
+    is_table = F.col("_kind") == "table"
+    files = computed_once(
+        kinds, [*keep, "sep", "_kind", "_preview"], {"_records": F.when(is_table, split_records(content, F.col("sep")))}
     )
+    header = F.transform(split_fields(F.get("_records", F.lit(0)), F.col("sep")), normalised_header)
+    headed = computed_once(files, files.columns, {"headers": header})
+    placed = computed_once(headed, headed.columns, _positions(F.col("headers")))
+    problem = F.when(F.col("_kind") == "workbook", F.lit(NOTHING)).when(~is_table, F.col("_kind"))
+    exploded = placed.select(
+        *keep, "sep", *_AT, problem.alias("_file_problem"), F.when(~is_table, F.col("_preview")).alias("_preview"),
+        F.posexplode_outer("_records").alias("record_no", "_record"),
+    )
+    is_header = F.coalesce(F.col("record_no") == 0, F.lit(False))
+    rows = computed_once(
+        exploded,
+        [*keep, *_AT, "_preview"],
+        {
+            "values": split_fields(F.col("_record"), F.col("sep")),
+            "_problem": F.coalesce("_file_problem", F.when(is_header, F.lit(NOTHING))),
+        },
+    )
+    return _resolve(rows)
 
 
 def parse_registry(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Delimited registry snapshots, each with its own separator and header line."""
-    text = F.regexp_replace(F.col("content"), r"^\uFEFF", "")
-    files = snapshots.withColumn("content", text).withColumn("_kind", container(first_line(F.col("content"))))
-    tables = files.where(F.col("_kind") == "table").withColumn("sep", separator(first_line(F.col("content"))))
-    read = tables.withColumn("_records", split_records(F.col("content"), F.col("sep"))).drop("content")
-    headed = _with_positions(
-        read.withColumn(
-            "headers", F.transform(split_fields(F.get("_records", F.lit(0)), F.col("sep")), normalised_header)
-        )
-    )
-    at = [f"_at_{c}" for c in K.REGISTRY_HEADERS]
-    rows = headed.select(
-        "path", "source_name", "downloaded_at", "sep", *at, F.posexplode("_records").alias("record_no", "_record")
-    ).where(F.col("record_no") > 0)
-    good, bad_rows = _resolve(rows.withColumn("values", split_fields(F.col("_record"), F.col("sep"))))
-    refused = files.where(F.col("_kind").isin("empty", "html"))
-    bad_files = rejects(refused, F.col("_kind"), first_line(F.col("content")))
-    return good, bad_files.unionByName(bad_rows)
+    return split(read_registry(snapshots), schemas.STG_REGISTRY)
 
 
 # --- workbooks -----------------------------------------------------------------------------------
@@ -213,18 +245,25 @@ def _read_workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def parse_workbooks(books: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Registry workbooks (``landing.read_binary_snapshots``): first sheet, first row is the header.
+def read_workbooks(books: DataFrame) -> DataFrame:
+    """Registry workbooks (binary ``content``): first sheet, first row is the header.
 
     Unpacking is the one step without a Spark expression; it streams rows out of each workbook, and headers
     are resolved by the same columns as for delimited text.
     """
     packed = books.select("path", "source_name", F.unix_micros("downloaded_at").alias("downloaded_micros"), "content")
     rows = packed.mapInArrow(_read_workbooks, _WORKBOOK_ROWS)
+    headers = F.transform("headers", lambda h: normalised_header(F.coalesce(h, F.lit(""))))
     headed = rows.withColumns(
         {
-            "headers": F.transform("headers", lambda h: normalised_header(F.coalesce(h, F.lit("")))),
+            "headers": headers,
             "downloaded_at": F.timestamp_micros("downloaded_micros"),
+            "_problem": F.lit(None).cast("string"),
+            "_preview": F.lit(None).cast("string"),
         }
     )
-    return _resolve(_with_positions(headed))
+    return _resolve(computed_once(headed, headed.columns, _positions(F.col("headers"))))
+
+
+def parse_workbooks(books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split(read_workbooks(books), schemas.STG_REGISTRY)

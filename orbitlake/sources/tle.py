@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake.functions import tle as T
-from orbitlake.functions.lenient import lenient_double, lenient_int
-from orbitlake.sources.landing import rejects
+from orbitlake.functions.lenient import lenient_double, lenient_int, trimmed
+from orbitlake.sources.rows import NOTHING, computed_once, rejected
 
 
 def _framed(snapshots: DataFrame, pattern: str) -> DataFrame:
+    found = computed_once(
+        snapshots, ["path", "source_name", "downloaded_at"], {"_records": T.records(F.col("content"), pattern)}
+    )
+    records = found.select(
+        "path", "source_name", "downloaded_at", F.posexplode_outer("_records").alias("record_no", "_record")
+    )
     lines = F.split(F.col("_record"), "\n")
-    return (
-        snapshots.select("path", "source_name", "downloaded_at", F.posexplode(T.records(F.col("content"), pattern)).alias("record_no", "_record"))
-        .withColumns({"name": F.trim(F.regexp_replace(lines[0], r"^\s+|\s+$", "")), "line1": F.rtrim(lines[1]), "line2": F.rtrim(lines[2])})
+    return computed_once(
+        records,
+        ["path", "source_name", "downloaded_at", "record_no"],
+        {"name": trimmed(lines[0]), "line1": F.rtrim(lines[1]), "line2": F.rtrim(lines[2])},
     )
 
 
@@ -26,49 +33,52 @@ def _field2(name: str) -> Column:
     return T.field(F.col("line2"), T.LINE_2_FIELDS[name])
 
 
-def _split(rows: DataFrame, numbers: list[str]) -> tuple[DataFrame, DataFrame]:
-    whole = F.lit(True)
+def _read(snapshots: DataFrame, pattern: str, fields: dict[str, Column], numbers: list[str]) -> DataFrame:
+    """One row per record; a number that is none makes the record a reject."""
+    framed = _framed(snapshots, pattern)
+    parsed = computed_once(framed, framed.columns, fields)
+    malformed = F.lit(False)
     for n in numbers:
-        whole = whole & F.col(n).isNotNull()
-    bad = rejects(rows.where(~whole), F.lit("malformed number"), F.concat_ws("\n", "name", "line1", "line2"))
-    return rows.where(whole), bad
+        malformed = malformed | F.col(n).isNull()
+    reason = F.when(F.col("line1").isNull(), F.lit(NOTHING)).when(malformed, F.lit("malformed number"))
+    detail = F.when(reason.isNotNull(), F.concat_ws("\n", "name", "line1", "line2"))
+    return computed_once(parsed, parsed.columns, {"reason": reason, "detail": detail})
 
 
 def parse_tle(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Element sets with orbit measures and epoch."""
-    rows = _framed(snapshots, T.FULL_RECORD).select(
-        "path", "source_name", "downloaded_at", "record_no",
-        F.col("name").alias("object_name"),
-        lenient_int(_field1("norad_id")).alias("norad_id"),
-        _field1("classification").alias("classification"),
-        F.trim(_field1("international_designator")).alias("international_designator"),
-        lenient_int(_field1("epoch_year")).alias("epoch_year"),
-        lenient_double(_field1("epoch_day")).alias("epoch_day"),
-        lenient_double(_field2("inclination")).alias("inclination_deg"),
-        lenient_double(F.concat(F.lit("0."), _field2("eccentricity"))).alias("eccentricity"),
-        lenient_double(_field2("mean_motion")).alias("mean_motion"),
-        "line1", "line2", "name",
-    )
-    good, bad = _split(rows, ["norad_id", "epoch_year", "epoch_day", "inclination_deg", "eccentricity", "mean_motion"])
-    return good.withColumn("epoch", T.epoch(F.col("epoch_year"), F.col("epoch_day"))).drop("name"), bad
+    """Element sets with orbit measures and epoch, and records with malformed numbers."""
+    fields = {
+        "object_name": F.col("name"),
+        "norad_id": lenient_int(_field1("norad_id")),
+        "classification": _field1("classification"),
+        "international_designator": F.trim(_field1("international_designator")),
+        "epoch_year": lenient_int(_field1("epoch_year")),
+        "epoch_day": lenient_double(_field1("epoch_day")),
+        "inclination_deg": lenient_double(_field2("inclination")),
+        "eccentricity": lenient_double(F.concat(F.lit("0."), _field2("eccentricity"))),
+        "mean_motion": lenient_double(_field2("mean_motion")),
+    }
+    numbers = ["norad_id", "epoch_year", "epoch_day", "inclination_deg", "eccentricity", "mean_motion"]
+    rows = _read(snapshots, T.FULL_RECORD, fields, numbers)
+    kept = rows.where(F.col("reason").isNull()).drop("reason", "detail", "name")
+    return kept.withColumn("epoch", T.epoch(F.col("epoch_year"), F.col("epoch_day"))), rejected(rows)
 
 
 def parse_tle_catalogue(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalogue variant: only the ids and the epoch numbers, the designator in parts, a short line 2 allowed."""
-    rows = _framed(snapshots, T.CATALOGUE_RECORD).select(
-        "path", "source_name", "downloaded_at", "record_no",
-        F.col("name").alias("satellite_name"),
-        lenient_int(_field1("norad_id")).alias("norad_id"),
-        _field1("classification").alias("classification"),
-        lenient_int(_field1("designator_year")).alias("designator_year"),
-        lenient_int(_field1("designator_launch_number")).alias("designator_launch_number"),
-        F.trim(_field1("designator_piece")).alias("designator_piece"),
-        lenient_int(_field1("epoch_year")).alias("epoch_year"),
-        lenient_double(_field1("epoch_day")).alias("epoch_day"),
-        "line1", "line2", "name",
-    )
-    good, bad = _split(rows, ["norad_id", "designator_year", "designator_launch_number", "epoch_year", "epoch_day"])
-    return good.drop("name"), bad
+    fields = {
+        "satellite_name": F.col("name"),
+        "norad_id": lenient_int(_field1("norad_id")),
+        "classification": _field1("classification"),
+        "designator_year": lenient_int(_field1("designator_year")),
+        "designator_launch_number": lenient_int(_field1("designator_launch_number")),
+        "designator_piece": F.trim(_field1("designator_piece")),
+        "epoch_year": lenient_int(_field1("epoch_year")),
+        "epoch_day": lenient_double(_field1("epoch_day")),
+    }
+    numbers = ["norad_id", "designator_year", "designator_launch_number", "epoch_year", "epoch_day"]
+    rows = _read(snapshots, T.CATALOGUE_RECORD, fields, numbers)
+    return rows.where(F.col("reason").isNull()).drop("reason", "detail", "name"), rejected(rows)
 
 
 def tle_stage(good: DataFrame) -> DataFrame:

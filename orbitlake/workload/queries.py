@@ -133,8 +133,8 @@ def numbered_lines(lake: Lake) -> DataFrame:
 
 def latest_lines(lake: Lake) -> DataFrame:
     lines = lake.raw("lineitem").select(*LINE_ORDER)
-    newest_first = [F.col("l_shipdate").desc(), *(F.col(c) for c in LINE_ORDER if c not in ("l_shipdate", "l_partkey"))]
-    return latest_per_key(lines, ["l_partkey"], newest_first)
+    lowest = [-F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")]
+    return latest_per_key(lines, ["l_partkey"], [F.col("l_shipdate"), *lowest])
 
 
 def ranked_suppliers(lake: Lake) -> DataFrame:
@@ -298,7 +298,7 @@ def streamed_observations(lake: Lake) -> DataFrame:
     warehouse = Warehouse(lake.spark, fresh_path(lake.spark, "warehouse"))
     objects = write_through(built_object(lake), "dim-space-object")
     incremental.append_new_observations(
-        warehouse, staged, objects, lake.star.sources, lake.star.stg_registry, f"{checkpoint}/append", files_per_batch=8
+        warehouse, staged, objects, lake.star.sources, lake.star.stg_registry, f"{checkpoint}/append", files_per_batch=64
     ).awaitTermination()
     # ids follow arrival, all else follows the rows
     return zoneless(rounded(warehouse.real_observations().drop("observation_date", "observation_id")))
