@@ -9,15 +9,17 @@ from orbitlake import schemas
 from orbitlake.functions.lenient import is_blank, lenient_double, lenient_int, lenient_timestamp
 from orbitlake.functions.naming import source_group
 from orbitlake.sources.rows import NOTHING, computed_once, split
-from orbitlake.sources.variants import number_text, text
+from orbitlake.sources.variants import text
 
 # Field names of the feed
 NAME, CATALOGUE_ID, EPOCH = "OBJECT_NAME", "NORAD_CAT_ID", "EPOCH"
 MEASURES = {"INCLINATION": "inclination_deg", "ECCENTRICITY": "eccentricity", "MEAN_MOTION": "mean_motion"}
 PREVIEW = 512
 
-# Only the named fields are parsed. Each stays a variant, which remembers whether it was text or a number.
-_ITEMS = "array<struct<" + ", ".join(f"{f}: variant" for f in (NAME, CATALOGUE_ID, EPOCH, *MEASURES)) + ">>"
+# Only the named fields are parsed. Numbers may arrive as numbers or as text, so their text is enough; names and
+# epochs must be text, and a variant remembers whether they were.
+_TYPES = {NAME: "variant", EPOCH: "variant", CATALOGUE_ID: "string", **dict.fromkeys(MEASURES, "string")}
+_ITEMS = "array<struct<" + ", ".join(f"{field}: {kind}" for field, kind in _TYPES.items()) + ">>"
 
 
 def looks_like_json(content: Column) -> Column:
@@ -55,9 +57,9 @@ def read_gp_json(snapshots: DataFrame) -> DataFrame:
     item = F.col("_item")
     fields = {
         "object_name": text(item[NAME]),
-        "norad_id": lenient_int(number_text(item[CATALOGUE_ID], whole=True)).cast("bigint"),
+        "norad_id": lenient_int(item[CATALOGUE_ID]).cast("bigint"),
         "epoch": lenient_timestamp(text(item[EPOCH])),
-        **{column: lenient_double(number_text(item[field])) for field, column in MEASURES.items()},
+        **{column: lenient_double(item[field]) for field, column in MEASURES.items()},
     }
     parsed = computed_once(
         rows,

@@ -25,14 +25,6 @@ def text(value: Column) -> Column:
     return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def number_text(value: Column, whole: bool = False) -> Column:
-    """Digits of a JSON number, or of a string that may hold one. ``whole`` refuses numbers with a fraction."""
-    numeric = kind(value) == "BIGINT"
-    if not whole:
-        numeric = numeric | kind(value).startswith("DECIMAL") | (kind(value) == "DOUBLE")
-    return F.when(numeric | (kind(value) == "STRING"), F.try_variant_get(value, "$", "string"))
-
-
 def first_text(item: Column, *paths: tuple[str, ...]) -> Column:
     """The first of several paths that holds a JSON string."""
     return F.coalesce(*(text(typed(item, *p)) for p in paths))
