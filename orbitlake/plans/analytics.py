@@ -234,8 +234,8 @@ def source_coverage(star: Star) -> DataFrame:
 
 
 def analytics(star: Star) -> dict[str, DataFrame]:
-    """All seven analyses; the object totals are computed once and kept for the five that share them."""
-    totals = object_band_totals(star).persist()
+    """All seven analyses; the object totals four of them share are computed and written once."""
+    totals = write_through(object_band_totals(star), "object-totals")
     return {
         "orbit_rollup": orbit_rollup(star, totals),
         "daily_trend": daily_trend(star),

@@ -81,6 +81,17 @@ def fuse_objects(stg_gp: DataFrame, stg_registry: DataFrame, dim_operator: DataF
     )
 
 
+def harmonised_objects(stg_gp: DataFrame, stg_registry: DataFrame) -> DataFrame:
+    """Name, operator and class per catalogue id: both sources reduced to one row per id, then joined."""
+    names = stg_gp.where(F.col("norad_id").isNotNull()).groupBy("norad_id").agg(F.max("object_name").alias("object_name"))
+    registry = (
+        stg_registry.where(F.col("norad_id").isNotNull())
+        .groupBy("norad_id")
+        .agg(F.max("operator_name").alias("operator_name"), F.max("orbit_type").alias("orbit_type"))
+    )
+    return names.join(registry, "norad_id", "left")
+
+
 def _as_dim_space_object(fused: DataFrame, status: Column) -> DataFrame:
     return schemas.conform(
         fused.withColumns(

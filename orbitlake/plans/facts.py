@@ -90,22 +90,31 @@ def new_observations(
     dim_space_object: DataFrame,
     dim_source: DataFrame,
     stg_registry: DataFrame,
+    after: Column | None = None,
 ) -> DataFrame:
-    """Observations of the staging snapshot the facts do not hold yet, numbered after the last id."""
+    """Observations of the staging snapshot the facts do not hold yet.
+
+    Ids continue after the largest of ``facts``, or after ``after`` where the caller keeps count (which saves
+    reading the id column of the whole history).
+    """
     candidates = observation_candidates(stg_gp, dim_space_object, dim_source, stg_registry)
-    fresh = missing_from(candidates, facts_in_range(facts, stg_gp, "epoch"), OBSERVATION_KEY)
+    fresh = missing_from(candidates, facts_on_days_of(facts, stg_gp, "epoch"), OBSERVATION_KEY)
     order = [F.col("object_id"), F.col("observation_timestamp"), F.col("source_id")]
-    numbered = global_row_number(fresh, order, "observation_id", last_id(facts, "observation_id"))
-    return numbered.select(*schemas.FACT_OBSERVATION.names)
+    last = last_id(facts, "observation_id") if after is None else after
+    return global_row_number(fresh, order, "observation_id", last).select(*schemas.FACT_OBSERVATION.names)
+
 
+def facts_on_days_of(facts: DataFrame, batch: DataFrame, timestamp: str) -> DataFrame:
+    """Facts of the calendar days that occur in the batch.
 
-def facts_in_range(facts: DataFrame, batch: DataFrame, timestamp: str) -> DataFrame:
-    """Facts of the days the batch spans. Where the table is partitioned by ``observation_date`` the bounds
-    (scalar subqueries) prune partitions, so a daily batch does not read the history.
+    Where the table is partitioned by ``observation_date`` the days (one scalar subquery, a set as long as the
+    calendar at most) select its partitions, so a daily batch does not read the history, and one late row adds
+    one partition. Other tables are returned whole.
     """
-    first = batch.agg(F.to_date(F.min(timestamp))).scalar()
-    last = batch.agg(F.to_date(F.max(timestamp))).scalar()
-    return facts.where(fact_day(facts).between(first, last))
+    if "observation_date" not in facts.columns:
+        return facts
+    days = batch.agg(F.collect_set(F.to_date(timestamp))).scalar()
+    return facts.where(F.array_contains(days, F.col("observation_date")))
 
 
 def fact_day(facts: DataFrame) -> Column:
@@ -142,6 +151,7 @@ def launch_candidates(stg_launch: DataFrame) -> DataFrame:
 
 
 def new_launches(facts: DataFrame, stg_launch: DataFrame) -> DataFrame:
+    """Launches the facts do not hold yet, numbered after the last id."""
     fresh = missing_from(launch_candidates(stg_launch), facts, ["launch_id"])
     numbered = global_row_number(
         fresh, [F.col("launch_id")], "launch_event_id", last_id(facts, "launch_event_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def build(warehouse: Warehouse, staging: dict[str, DataFrame], as_of: dt.date) -
     objects = warehouse.replace("dim_space_object", dimensions.build_dim_space_object(gp, reg, operators))
 
     # each step reads the facts the step before has written
-    warehouse.append_observations(facts.new_observations(warehouse.observations(), gp, objects, sources, reg))
+    append_observations(warehouse, gp, objects, sources, reg)
     warehouse.append_launches(facts.new_launches(warehouse.launches(), launch))
 
     real_launches = warehouse.real_launches()
@@ -63,17 +64,33 @@ def build(warehouse: Warehouse, staging: dict[str, DataFrame], as_of: dt.date) -
     derived = warehouse.snapshot("derived_observations", schemas.FACT_OBSERVATION)
     columns = schemas.FACT_OBSERVATION.names
     # real rows replace derived ones of any day, so the pruning sees the days the derived rows span
-    spanned = facts.facts_in_range(warehouse.real_observations(), derived, "observation_timestamp")
+    spanned = facts.facts_on_days_of(warehouse.real_observations(), derived, "observation_timestamp")
     kept = facts.prune_derived(spanned.select(*columns).unionByName(derived), as_of).where(facts.is_derived())
     kept = write_through(kept, "kept-derived")
     with_kept = current.select(*columns).unionByName(kept)
-    ids = warehouse.real_observations().select("observation_id").unionByName(kept.select("observation_id"))
-    last = facts.last_id(ids, "observation_id")
-    fresh = facts.new_derived_observations(with_kept, objects, reg, gp, as_of, last)
+    after = F.lit(warehouse.last_observation_id())
+    fresh = facts.new_derived_observations(with_kept, objects, reg, gp, as_of, after)
+    warehouse.reserve_ids(fresh)
     warehouse.replace("derived_observations", kept.unionByName(fresh))
     return star(warehouse, sources, bands, operators, objects, staging)
 
 
+def append_observations(warehouse: Warehouse, stg_gp: DataFrame, objects, sources, stg_registry) -> None:
+    """Append what the real facts do not hold yet. Element sets never belong to the derived source, so only the
+    real facts can hold their keys.
+    """
+    after = F.lit(warehouse.last_observation_id())
+    warehouse.append_observations(
+        facts.new_observations(warehouse.real_observations(), stg_gp, objects, sources, stg_registry, after)
+    )
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows per table."""
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def star(warehouse: Warehouse, sources, bands, operators, objects, staging: dict[str, DataFrame]) -> Star:
     gp, reg, launch = (staging[name] for name in STAGING)
     return Star(

@@ -40,7 +40,7 @@ def with_feed(files: DataFrame, feeds: DataFrame) -> DataFrame:
             "downloaded_at": downloaded_at(F.col("path"), F.col("modified")),
         }
     )
-    return named.join(F.broadcast(feeds), "source_name", "left")
+    return named.join(feeds, "source_name", "left")
 
 
 def read_snapshots(spark: SparkSession, landing: str, feeds: DataFrame | None = None) -> DataFrame:

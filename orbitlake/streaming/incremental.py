@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orbitlake import schemas
-from orbitlake.plans import facts
+from orbitlake.plans import pipeline
 from orbitlake.plans.warehouse import Warehouse
 from orbitlake.sources import landing
 
@@ -76,10 +76,7 @@ def append_new_observations(
 
     def append_batch(batch: DataFrame, batch_id: int) -> None:
         staged = batch.persist()
-        present = warehouse.observations()
-        warehouse.append_observations(
-            facts.new_observations(present, staged, dim_space_object, dim_source, stg_registry)
-        )
+        pipeline.append_observations(warehouse, staged, dim_space_object, dim_source, stg_registry)
         staged.unpersist()
 
     reader = warehouse.spark.readStream.schema(schemas.STG_GP).option("recursiveFileLookup", True)

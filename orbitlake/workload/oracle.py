@@ -402,6 +402,22 @@ def _builds() -> dict[str, str]:
             FULL JOIN ({_fused("max(r.operational_status)")}) s ON t.norad_id = s.norad_id""",
             operator_cte,
         ),
+        "harmonised_objects": over(
+            [GP, REG],
+            f"""SELECT g.norad_id, max(g.object_name) AS object_name, max(r.operator_name) AS operator_name,
+                   max(r.orbit_type) AS orbit_type
+            FROM {GP} g LEFT JOIN {REG} r ON g.norad_id = r.norad_id WHERE g.norad_id IS NOT NULL GROUP BY 1""",
+        ),
+        "fused_objects": over(
+            [GP, REG],
+            f"""SELECT g.norad_id, max(g.object_name) AS object_name, max(r.purpose) AS purpose,
+                   max(r.operational_status) AS operational_status, max(r.launch_date) AS launch_date
+            FROM {GP} g LEFT JOIN {REG} r ON g.norad_id = r.norad_id WHERE g.norad_id IS NOT NULL GROUP BY 1""",
+        ),
+        "staging_counts": over(
+            [GP, REG, LNC],
+            " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (GP, REG, LNC)),
+        ),
         "fact_observation": over(
             _BUILD_TABLES, _NUMBERED_CANDIDATES.format(last=0), operator_cte, object_cte, _CANDIDATES
         ),
@@ -463,4 +479,15 @@ def _builds() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     from orbitlake.workload.oracle_general import general
 
-    return {**_analytics(), **_dashboard(), **_positions(), **_quality(), **_builds(), **general()}
+    analytics = _analytics()
+    return {**analytics, "all_analytics": _counted(analytics), **_dashboard(), **_positions(), **_quality(), **_builds(), **general()}
+
+
+def _counted(analytics: dict[str, str]) -> str:
+    names = [
+        "orbit_rollup", "daily_trend", "operator_ranking", "orbit_statistics", "skyline_risk", "purpose_distribution",
+        "source_coverage",
+    ]
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM ({analytics[name]})) AS row_count" for name in names
+    )

@@ -107,6 +107,15 @@ def _sources() -> dict[str, str]:
               CAST(67 AS INTEGER) AS designator_launch_number, 'A' AS designator_piece,
               CAST(c_nationkey + 40 AS INTEGER) AS epoch_year, CAST({tle_day} AS DOUBLE) AS epoch_day
             FROM customer WHERE c_acctbal <= 9000""",
+        "raw_archive": f"""SELECT 'spacedevs-recent-launches' AS source_name,
+              CAST({_downloaded("o_orderkey")} AS DATE) AS ingest_date, count(DISTINCT (o_orderstatus, o_orderkey // 1000)) AS n_files
+            FROM orders GROUP BY 2
+            UNION ALL SELECT 'ucs-satellite-database', CAST({_downloaded("c_custkey")} AS DATE),
+              count(DISTINCT (c_mktsegment, c_custkey // 1000)) FROM customer GROUP BY 2""",
+        "latest_raw_snapshot": """SELECT DISTINCT 'celestrak-' || CASE event_type WHEN 'view' THEN 'active'
+              WHEN 'click' THEN 'fengyun-1c-debris' WHEN 'purchase' THEN 'geo' WHEN 'signup' THEN 'starlink' ELSE 'unlisted' END
+              AS source_name, '.txt' AS extension FROM events
+            UNION ALL SELECT 'spacedevs-recent-launches', '.txt'""",
         "content_gate": f"""SELECT source_name, CASE WHEN left(ltrim(body, ' \n\r\t'), 1) NOT IN ('[', '{{') THEN 'not json'
                 WHEN left(ltrim(body, ' \n\r\t'), 1) <> '[' THEN 'not an array' ELSE 'malformed json' END AS reason, count(*) AS n
             FROM ({page_text} UNION ALL {document_text}) GROUP BY 1, 2""",

@@ -19,7 +19,7 @@ from orbitlake.plans import analytics as A
 from orbitlake.plans import dimensions as D
 from orbitlake.plans import facts, pipeline, quality
 from orbitlake.plans.warehouse import Warehouse
-from orbitlake.sources import gp_json, launches, registry, staging_csv, tle
+from orbitlake.sources import gp_json, landing, launches, registry, staging_csv, tle
 from orbitlake.streaming import incremental
 from orbitlake.workload import rawtext
 from orbitlake.workload.analogue import AS_OF, Lake
@@ -111,6 +111,22 @@ def refilled(lake: Lake) -> DataFrame:
     return rounded(kept.unionByName(derived(lake, kept)))
 
 
+def fused_objects(lake: Lake) -> DataFrame:
+    operators = write_through(built_operator(lake), "dim-operator")
+    fused = D.fuse_objects(lake.star.stg_gp, lake.star.stg_registry, operators)
+    return fused.select("norad_id", "object_name", "purpose", "operational_status", "launch_date")
+
+
+def staging_counts(lake: Lake) -> DataFrame:
+    star = lake.star
+    return pipeline.row_counts(dict(zip(pipeline.STAGING, [star.stg_gp, star.stg_registry, star.stg_launch])))
+
+
+def all_analytics(lake: Lake) -> DataFrame:
+    """The seven analyses from shared totals: rows per report."""
+    return pipeline.row_counts(A.analytics(lake.star))
+
+
 def launch_weeks(lake: Lake) -> DataFrame:
     """Derived launches two weeks after the last real one."""
     last = lake.star.launches.agg(F.to_date(F.max("launch_timestamp"))).first()[0]
@@ -279,6 +295,20 @@ def landed(lake: Lake, *snapshots: DataFrame) -> str:
     return folder
 
 
+def latest_files(lake: Lake) -> DataFrame:
+    """One newest file per source of a landing folder."""
+    folder = landed(lake, rawtext.gp_files(lake), rawtext.launch_files(lake))
+    return landing.latest_snapshots(lake.spark, folder).select("source_name", "extension")
+
+
+def archived_files(lake: Lake) -> DataFrame:
+    """Landed files archived by source and day, and read back."""
+    archive = fresh_path(lake.spark, "archive")
+    landing.write_archive(rawtext.launch_files(lake).unionByName(rawtext.registry_files(lake)), archive)
+    files = lake.spark.read.parquet(archive)
+    return files.groupBy("source_name", "ingest_date").agg(F.count("*").alias("n_files"))
+
+
 def run_observations(lake: Lake) -> DataFrame:
     """Facts after a whole run over landed files of all feeds."""
     folder = landed(
@@ -349,6 +379,12 @@ def queries() -> dict[str, Query]:
         "derived_fill": lambda lake: rounded(derived(lake, lake.star.observations)),
         "refill_after_prune": refilled,
         "fill_launch_weeks": launch_weeks,
+        "harmonised_objects": lambda lake: D.harmonised_objects(lake.star.stg_gp, lake.star.stg_registry),
+        "fused_objects": fused_objects,
+        "staging_counts": staging_counts,
+        "all_analytics": all_analytics,
+        "latest_raw_snapshot": latest_files,
+        "raw_archive": archived_files,
         "global_row_number": numbered_lines,
         "latest_per_key": latest_lines,
         "global_dense_rank": ranked_suppliers,

@@ -184,7 +184,7 @@ def registry_fields() -> list[Column]:
 def registry_rows(lake: Lake) -> DataFrame:
     nations = lake.raw("nation").select("n_nationkey", "n_name")
     customers = lake.raw("customer")
-    return customers.join(F.broadcast(nations), customers.c_nationkey == nations.n_nationkey)
+    return customers.join(nations, customers.c_nationkey == nations.n_nationkey)
 
 
 def registry_files(lake: Lake) -> DataFrame:

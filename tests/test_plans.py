@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orbitlake.operators.keyed import latest_per_key, missing_from
 from orbitlake.plans import analytics as A
+from orbitlake.plans import dimensions as D
 from orbitlake.plans import facts
 from orbitlake.workload.analogue import AS_OF, Lake
 
@@ -82,15 +83,6 @@ def test_append_is_an_anti_join_on_the_key(lake, no_broadcast):
     assert "LeftAnti" in plan(df) and "NestedLoop" not in plan(df)
 
 
-def test_incoming_batch_prunes_fact_partitions(spark, lake, tmp_path):
-    path = str(tmp_path / "facts")
-    lake.star.observations.withColumn("observation_date", F.to_date("observation_timestamp")).write.partitionBy("observation_date").parquet(path)
-    stored = spark.read.parquet(path)
-    batch = lake.star.stg_gp.where("epoch >= '2024-01-29'")
-    text = plan(facts.facts_in_range(stored, batch, "epoch"))
-    assert "PartitionFilters: [" in text and "PartitionFilters: []" not in text.split("ReadSchema")[0]
-
-
 def test_skewed_key_joins_and_sums_right(spark):
     # a third of all facts belong to one object
     made = spark.range(30000).select(
@@ -104,3 +96,58 @@ def test_skewed_key_joins_and_sums_right(spark):
     totals = A.object_band_totals(A.Star(made, None, None, None, None))
     assert totals.count() == 500
     assert totals.agg(F.sum("n_objects")).first()[0] == 30000
+
+
+def test_only_the_days_of_the_batch_are_read(spark, tmp_path):
+    """Files of other days are made unreadable: reading them would fail."""
+    path = tmp_path / "facts"
+    made = spark.range(40).select(
+        F.col("id").alias("object_id"),
+        F.lit(1).cast("bigint").alias("source_id"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("observation_timestamp"),
+        F.to_date(F.timestamp_seconds(F.col("id") * 86400)).alias("observation_date"),
+    )
+    made.write.partitionBy("observation_date").parquet(str(path))
+    stored = spark.read.schema(made.schema).parquet(str(path))
+    for folder in path.glob("observation_date=*"):
+        if not folder.name.endswith(("1970-01-01", "1970-02-05")):
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"x" * file.stat().st_size)
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+    batch = made.where("object_id in (0, 35)")
+    found = facts.facts_on_days_of(stored, batch, "observation_timestamp")
+    assert sorted(r.object_id for r in found.collect()) == [0, 35]
+
+
+def test_hot_id_is_split_in_the_observation_join(spark, no_broadcast):
+    """One id holds a third of the element sets and the dimension is too large to broadcast."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = spark.range(0, 60000, 1, 8)
+        gp = n.select(
+            F.lit("o").alias("object_name"),
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).cast("bigint").alias("norad_id"),
+            F.timestamp_seconds(F.col("id")).alias("epoch"),
+            F.lit(1.0).alias("inclination_deg"),
+            F.lit(0.0).alias("eccentricity"),
+            F.lit(1.0).alias("mean_motion"),
+            F.lit("active").alias("source_group"),
+        )
+        objects = spark.range(1000).select(F.col("id").alias("norad_id"), F.col("id").alias("object_id"))
+        registry = spark.range(1000).select(F.col("id").alias("norad_id"), F.lit("LEO").alias("orbit_type"))
+        df = facts.observation_candidates(gp, objects, D.build_dim_source(spark), registry)
+        assert len(df.collect()) == 60000
+        text = plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in text
+
