@@ -16,6 +16,7 @@ from orbitlake import schemas
 from orbitlake.functions import classify as C
 from orbitlake.operators.keyed import missing_from, with_days
 from orbitlake.operators.numbering import global_row_number
+from orbitlake.workspace import write_through
 
 OBSERVATION_KEY = ["object_id", "source_id", "observation_timestamp"]
 
@@ -46,9 +47,10 @@ def observation_candidates(
 ) -> DataFrame:
     """One candidate fact per object, source and epoch.
 
-    Staging is reduced to its grain before any join. The per-object attributes (object id, registry class)
-    are joined to each other first, so the staging rows meet a single table that is unique per id; a
-    hot id then is a skewed probe side, which adaptive execution splits.
+    Staging is reduced to its grain before any join. The per-object attributes (object id, registry class) are
+    joined to each other and written first, so the staging rows meet one plain table that is unique per id.
+    Adaptive execution splits a hot id only in a join directly over two shuffles, which that gives; and it
+    broadcasts the table where its size on disk allows.
     """
     keyed = stg_gp.dropna(subset=["norad_id", "epoch", "source_group"])
     grain = keyed.groupBy("norad_id", "epoch", "source_group").agg(
@@ -61,7 +63,8 @@ def observation_candidates(
         .groupBy("norad_id")
         .agg(F.max("orbit_type").alias("orbit_type"))
     )
-    objects = dim_space_object.select("norad_id", "object_id").join(classes, "norad_id", "left")
+    attributes = dim_space_object.select("norad_id", "object_id").join(classes, "norad_id", "left")
+    objects = write_through(attributes, "object-classes")
     groups = dim_source.select("source_id", F.col("source_name").alias("_source_name"))
     group = F.col("source_group")
     # dim_source is the fixed nine-row table
