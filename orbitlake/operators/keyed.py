@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: list[str], largest: list[Column]) -> DataFrame:
-    """The row per key with the largest ``largest`` (compared left to right, NULL is smallest).
+def latest_per_key(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
+    """The first row per key in the given order; end the order with a unique column to make it reproducible.
 
-    An aggregate, so each task reduces a key to one row before the shuffle, however many rows the key has.
-    End ``largest`` with a unique column to make the choice reproducible.
+    Spark applies the limit of one row per key before the shuffle as well, so a key holding very many rows
+    sends one row per task. (An aggregate over structs gives the same rows in about twice the time.)
     """
-    rest = [c for c in df.columns if c not in keys]
-    chosen = F.max_by(F.struct(*rest), F.struct(*largest))
-    return df.groupBy(*keys).agg(chosen.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    return df.withColumn("_position", position).where(F.col("_position") == 1).drop("_position")
 
 
 def missing_from(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -316,8 +316,8 @@ def source_latest_import(star: Star) -> DataFrame:
 def latest_observations(star: Star) -> DataFrame:
     """Newest real observation per object, the newest derived one where there is no real one."""
     # a row of unknown source counts as real here
-    real = F.coalesce(F.col("source_id") != K.DERIVED_SOURCE_ID, F.lit(True))
-    newest = [real, F.col("observation_timestamp"), -F.col("observation_id")]
+    derived_last = F.when(F.col("source_id") == K.DERIVED_SOURCE_ID, 1).otherwise(0)
+    order = [derived_last, F.col("observation_timestamp").desc_nulls_last(), F.col("observation_id").asc()]
     columns = [
         "observation_id",
         "object_id",
@@ -329,7 +329,7 @@ def latest_observations(star: Star) -> DataFrame:
         "inclination_deg",
         "debris_risk_score",
     ]
-    return latest_per_key(star.observations.select(*columns), ["object_id"], newest).drop("observation_id")
+    return latest_per_key(star.observations.select(*columns), ["object_id"], order).drop("observation_id")
 
 
 def latest_position(star: Star, ordered: bool = True) -> DataFrame:

@@ -184,7 +184,9 @@ def prune_derived(facts: DataFrame, as_of: dt.date) -> DataFrame:
     expired = is_derived() & F.coalesce(day < F.lit(window_start(as_of)), F.lit(False))
     kept = facts.where(~expired)
     derived = kept.where(is_derived()).withColumn("observation_day", day)
-    unreplaced = derived.join(real_days(facts), ["object_id", "observation_day"], "left_anti")
+    # derived rows that are left lie in the window, so only its days are looked at
+    recent = facts.where(fact_day(facts) >= F.lit(window_start(as_of)))
+    unreplaced = derived.join(real_days(recent), ["object_id", "observation_day"], "left_anti")
     return kept.where(~is_derived()).unionByName(unreplaced.select(*facts.columns))
 
 

@@ -82,7 +82,7 @@ def latest_snapshots(spark: SparkSession, landing: str) -> DataFrame:
             "extension": F.regexp_extract(file_name(F.col("path")), r"(\.[^.]*)$", 1),
         }
     ).where(F.col("source_name") != "")
-    return latest_per_key(keyed, ["source_name", "extension"], [F.col("modified"), F.col("path")])
+    return latest_per_key(keyed, ["source_name", "extension"], [F.col("modified").desc(), F.col("path").desc()])
 
 
 def write_archive(snapshots: DataFrame, path: str) -> None:

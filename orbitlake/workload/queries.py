@@ -149,8 +149,8 @@ def numbered_lines(lake: Lake) -> DataFrame:
 
 def latest_lines(lake: Lake) -> DataFrame:
     lines = lake.raw("lineitem").select(*LINE_ORDER)
-    lowest = [-F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")]
-    return latest_per_key(lines, ["l_partkey"], [F.col("l_shipdate"), *lowest])
+    order = [F.col("l_shipdate").desc(), *map(F.col, ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"))]
+    return latest_per_key(lines, ["l_partkey"], order)
 
 
 def ranked_suppliers(lake: Lake) -> DataFrame:

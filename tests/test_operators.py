@@ -88,7 +88,7 @@ def test_sample_step(spark, n, kept):
 def test_latest_per_key(spark):
     made = [(1, 5, 1), (1, 7, 2), (1, 7, 3), (2, None, 1), (2, 1, 2)]
     df = spark.createDataFrame(made, "k int, t int, id int")
-    got = latest_per_key(df, ["k"], [F.col("t"), -F.col("id")])
+    got = latest_per_key(df, ["k"], [F.col("t").desc_nulls_last(), F.col("id")])
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 2), (2, 1, 2)]
 
 
