@@ -15,8 +15,14 @@ from orbitlake.operators.numbering import global_row_number
 
 def constant_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """A few fixed rows as a local relation, so that Spark knows how small it is."""
-    literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema))) for row in rows]
-    return spark.sql("SELECT 1").select(F.inline(F.array(*literals)))
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return schemas.conform(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema.names)})"), schema)
 
 
 def build_dim_source(spark: SparkSession) -> DataFrame:

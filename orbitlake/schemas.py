@@ -14,51 +14,52 @@ _TYPES = {
     "double": T.DoubleType(),
     "date": T.DateType(),
     "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
 }
 
 
-def _schema(columns: str) -> StructType:
+def table_schema(columns: str) -> StructType:
     """Schema from ``name type, name type, …`` (usable before a session exists)."""
     pairs = (column.split() for column in columns.split(","))
     return StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-STG_GP = _schema(
+STG_GP = table_schema(
     "object_name string, norad_id bigint, epoch timestamp, inclination_deg double, eccentricity double, "
     "mean_motion double, source_group string, imported_at timestamp"
 )
-STG_REGISTRY = _schema(
+STG_REGISTRY = table_schema(
     "norad_id bigint, satellite_name string, country string, operator_name string, purpose string, "
     "orbit_type string, operational_status string, launch_date date, imported_at timestamp"
 )
-STG_LAUNCH = _schema(
+STG_LAUNCH = table_schema(
     "launch_id string, launch_name string, launch_date timestamp, launch_provider string, rocket_name string, "
     "launch_country string, launch_status string, payload_count bigint, imported_at timestamp"
 )
-DIM_OPERATOR = _schema("operator_id bigint, operator_name string, operator_type string, country string")
-DIM_SPACE_OBJECT = _schema(
+DIM_OPERATOR = table_schema("operator_id bigint, operator_name string, operator_type string, country string")
+DIM_SPACE_OBJECT = table_schema(
     "object_id bigint, norad_id bigint, object_name string, object_type string, operational_status string, "
     "purpose string, launch_date date, operator_id bigint"
 )
-DIM_ORBIT_BAND = _schema(
+DIM_ORBIT_BAND = table_schema(
     "orbit_band_id bigint, orbit_class string, altitude_min_km double, altitude_max_km double, inclination_class string"
 )
-DIM_SOURCE = _schema("source_id bigint, source_name string, source_type string, source_url string")
-FACT_OBSERVATION = _schema(
+DIM_SOURCE = table_schema("source_id bigint, source_name string, source_type string, source_url string")
+FACT_OBSERVATION = table_schema(
     "observation_id bigint, object_id bigint, orbit_band_id bigint, source_id bigint, observation_timestamp timestamp, "
     "altitude_km double, latitude double, longitude double, velocity_km_s double, inclination_deg double, "
     "object_count bigint, debris_risk_score double"
 )
-FACT_LAUNCH = _schema(
+FACT_LAUNCH = table_schema(
     "launch_event_id bigint, launch_id string, source_id bigint, launch_timestamp timestamp, launch_name string, "
     "provider_name string, rocket_name string, launch_country string, launch_status string, launch_site string, "
     "payload_count bigint, success_count bigint"
 )
-STG_TLE = _schema(
+STG_TLE = table_schema(
     "NORAD_ID int, SATELLITE_NAME string, CLASSIFICATION string, INTERNATIONAL_DESIGNATOR string, EPOCH_YEAR int, "
     "EPOCH_DAY double, SOURCE_NAME string, DOWNLOADED_AT_UTC string, RAW_FILE_PATH string"
 )
-RAW_SNAPSHOT = _schema(
+RAW_SNAPSHOT = table_schema(
     "path string, content string, source_name string, source_uri string, kind string, downloaded_at timestamp"
 )
 

@@ -1,4 +1,4 @@
-"""JSON elements as Spark variants, which remember whether a value was a string or a number."""
+"""JSON values as Spark variants, which remember whether a value was a string or something else."""
 
 from __future__ import annotations
 
@@ -6,31 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def elements(content: Column) -> Column:
-    """Elements of a JSON array, one variant each; NULL when the text is no well-formed array."""
-    return F.from_json(content, "array<variant>")
-
-
-def typed(item: Column, *path: str) -> Column:
-    """The value at a path of an object, still a variant; NULL when absent."""
-    return F.try_variant_get(item, "$." + ".".join(path), "variant")
-
-
-def kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
 def text(value: Column) -> Column:
     """The value only if it is a JSON string."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-
-def first_text(item: Column, *paths: tuple[str, ...]) -> Column:
-    """The first of several paths that holds a JSON string."""
-    return F.coalesce(*(text(typed(item, *p)) for p in paths))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def array_length(item: Column, *path: str) -> Column:
-    """Length of the array at a path, NULL when there is none."""
-    value = typed(item, *path)
-    return F.when(kind(value).startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")))
+def array_length(value: Column) -> Column:
+    """Length of a JSON array, NULL for anything else."""
+    is_array = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(is_array, F.size(F.try_variant_get(value, "$", "array<variant>")))

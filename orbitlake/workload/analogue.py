@@ -14,10 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.plans.dimensions import build_dim_orbit_band, build_dim_source
+from orbitlake.schemas import table_schema
 from orbitlake.session import configure
 
 AS_OF = dt.date(2024, 1, 30)
 
+# Columns of the test tables, so that opening one reads no file
+TEST_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
 _BIG = "CAST({} AS BIGINT)"
 _GROUP = (
     "CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'debris' WHEN 'purchase' THEN 'geo' "
@@ -187,7 +203,7 @@ class Lake:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(table_schema(TEST_TABLES[name])).parquet(f"{self.folder}/{name}.parquet")
 
     def _source(self, relation: str) -> DataFrame:
         tables = [t for t in ("events", "customer", "nation", "region", "orders") if t in relation.split()]

@@ -55,7 +55,7 @@ def test_run_repeat_and_next_day(spark, tmp_path, landing_folder):
     star = pipeline.run(spark, str(landing_folder), root, AS_OF, export_folder=str(tmp_path / "staging"))
     assert star.stg_gp.count() == 3 and star.stg_registry.count() == 2 and star.stg_launch.count() == 1
     warehouse = Warehouse(spark, root)
-    assert [r.reason for r in warehouse.snapshot("rejects", schemas._schema("reason string")).collect()] == ["missing required field"]
+    assert [r.reason for r in warehouse.snapshot("rejects", schemas.table_schema("reason string")).collect()] == ["missing required field"]
     first = state(warehouse)
     assert warehouse.real_observations().count() == 3
     # three objects × 28 days, less the three object-days with a real row

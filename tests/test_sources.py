@@ -102,7 +102,15 @@ def test_launch_fallbacks(spark):
     assert third.payload_count == 0
 
 
-@pytest.mark.parametrize("text,reason", [('{"results":5}', "no launch array"), ("oops", "not json"), ("[1]", "not an object"), ('[{"id":', "no launch array")])
+@pytest.mark.parametrize("text,reason", [
+        ('{"results":5}', "no launch array"),
+        ('{"count":1}', "no launch array"),
+        ('{"results":[', "malformed json"),
+        ("oops", "malformed json"),
+        ("[1]", "malformed json"),
+        ("[null]", "not an object"),
+        ('[{"id":', "malformed json"),
+    ])
 def test_launch_rejects(spark, text, reason):
     good, bad = launches.parse_launches(snapshots(spark, text, kind="launches"))
     assert good.count() == 0
