@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from orbitlake.workload import oracle as O
-from orbitlake.workload.analogue import AS_OF
 from orbitlake.workload.rawtext import DOWNLOADED
 
 _LINE = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -29,7 +28,7 @@ def _parsed_gp(epoch: str, where: str) -> str:
       FROM events WHERE value >= 0.5 {where}"""
 
 
-def _parsed_registry(name: str, second_class: str = "GEO") -> str:
+def _parsed_registry(name: str) -> str:
     return f"""SELECT CASE WHEN c_acctbal >= -900 THEN c_custkey END AS norad_id, {name} AS satellite_name, n_name AS country,
              CASE WHEN c_acctbal >= 1000 THEN n_name END AS operator_name, c_mktsegment AS purpose,
              CASE c_mktsegment WHEN 'BUILDING' THEN 'MEO' WHEN 'AUTOMOBILE' THEN 'LEO' ELSE 'GEO' END AS orbit_type,
@@ -171,6 +170,3 @@ def _analogue_objects() -> list[str]:
 
 def general() -> dict[str, str]:
     return {**_operators(), **_sources(), **_runs()}
-
-
-__all__ = ["general", "AS_OF"]
