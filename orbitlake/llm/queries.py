@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import substring_dedup
+from orbitlake.llm import packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +16,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), keep_ids=False)
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_substring_dedup": op9_substring_dedup}
+    return {f.__name__: f for f in (op5_best_fit_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
