@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import packing, substring_dedup
+from orbitlake.llm import jaccard_join, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,12 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
