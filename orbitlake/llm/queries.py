@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import jaccard_join, packing, substring_dedup
+from orbitlake.llm import decontaminate, jaccard_join, packing, substring_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    usual = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = table(spark, folder, "embeddings").where(usual).select("vec_id", scaled.alias("embedding"))
+    found = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), keep_ids=False)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -30,7 +42,14 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op9_substring_dedup, op10_jaccard_join)}
+    every = (
+        op3_topk_search,
+        op5_best_fit_packing,
+        op7_benchmark_decontamination,
+        op9_substring_dedup,
+        op10_jaccard_join,
+    )
+    return {query.__name__: query for query in every}
 
 
 def oracle_sql() -> dict[str, str]:
