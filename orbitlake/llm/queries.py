@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, jaccard_join, packing, substring_dedup, topk_search
+from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, substring_dedup, topk_search, warc
+from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,26 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), keep_ids=False)
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    stated = F.regexp_extract(F.decode("metadata.payload", "UTF-8"), "(?m)^id: (-?[0-9]+)", 1)
+    found = warc.captures(warc.read_warc(spark, path)).select(
+        F.when(stated != "", stated.cast("long")).alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("response.type").alias("record_type"),
+        "record_id",
+        F.col("refers_to").alias("first_record"),
+    )
+    found = write_through(found, "captures")
+    firsts = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to"))
+    firsts = write_through(firsts.dropDuplicates(["_id"]), "responses")
+    return found.join(firsts, F.col("first_record") == F.col("_id"), "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -45,6 +66,7 @@ def queries() -> dict[str, Query]:
     every = (
         op3_topk_search,
         op5_best_fit_packing,
+        op6_warc,
         op7_benchmark_decontamination,
         op9_substring_dedup,
         op10_jaccard_join,
@@ -53,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
