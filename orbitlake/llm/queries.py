@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, substring_dedup, topk_search, warc
+from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, warc
 from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,22 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _base_count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    base = _joined(F.filter("spans", lambda s: s["base"]))
+    return pii.find(docs, pii.fit(docs)).select(
+        "doc_id", *map(_base_count, pii.KINDS), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,6 +84,7 @@ def queries() -> dict[str, Query]:
         op5_best_fit_packing,
         op6_warc,
         op7_benchmark_decontamination,
+        op8_pii,
         op9_substring_dedup,
         op10_jaccard_join,
     )
