@@ -58,7 +58,7 @@ def shingle_sets(texts: pa.Array, n: int) -> Sets:
     words = W.split(texts, lower=True)
     hashes, _, text = W.grams(words, n)
     short = np.flatnonzero((words.counts() > 0) & (words.counts() < n))
-    whole = W.mix(W._runs(words.hashes, words.first[short], words.first[short + 1], W.GRAM_BASE), 4)
+    whole = W.run_hashes(words.hashes, words.first[short], words.first[short + 1], salt=4)
     hashes, text = np.concatenate([hashes, whole]), np.concatenate([text, short])
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]

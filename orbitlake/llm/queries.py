@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, warc
+from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
 from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    """Learned from the labelled documents that are not held out."""
+    labels = table(spark, folder, "labels").where(~held_out()).select("doc_id", "toxic")
+    return toxicity.fit(table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(table(spark, folder, "documents"), toxicity_model(spark, folder))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
     usual = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -80,6 +95,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (
+        op2_toxicity,
         op3_topk_search,
         op5_best_fit_packing,
         op6_warc,

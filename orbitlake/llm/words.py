@@ -93,15 +93,20 @@ def slices(column, limit: int = SLICE_BYTES):
         at = to
 
 
-def split(array: pa.Array, lower: bool = False) -> Words:
-    """The words of every text of a large_string array."""
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 2) -> np.ndarray:
+    """Hash of the bytes of every run start <= i < end."""
+    return mix(_runs(_BYTES[data], starts, ends, WORD_BASE), salt)
+
+
+def split(array: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK) -> Words:
+    """The words of every text of a large_string array; ``blank`` says which bytes part words."""
     bounds = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
     raw = array.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     if lower:
         data = _LOWER[data]
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
@@ -110,8 +115,7 @@ def split(array: pa.Array, lower: bool = False) -> Words:
     stops[edge - 1] |= inside[edge - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     first = np.searchsorted(starts, bounds)
-    hashes = mix(_runs(_BYTES[data], starts, ends, WORD_BASE), 2)
-    return Words(data, starts, ends, first, hashes)
+    return Words(data, starts, ends, first, byte_hashes(data, starts, ends))
 
 
 def grams(words: Words, n: int, salt: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,4 +124,9 @@ def grams(words: Words, n: int, salt: int = 3) -> tuple[np.ndarray, np.ndarray,
     text = np.repeat(np.arange(len(counts)), counts)
     ahead = np.cumsum(counts) - counts
     at = np.arange(len(text)) - ahead[text] + words.first[text]
-    return mix(_runs(words.hashes, at, at + n, GRAM_BASE), salt), at, text
+    return run_hashes(words.hashes, at, at + n, salt), at, text
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of every run of word hashes."""
+    return mix(_runs(hashes, starts, ends, GRAM_BASE), salt)
