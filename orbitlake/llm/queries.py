@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
+from orbitlake.llm import decontaminate, importance, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
 from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op4_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = docs.join(table(spark, folder, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return importance.resample(docs, good)
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), keep_ids=False)
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Query]:
     every = (
         op2_toxicity,
         op3_topk_search,
+        op4_importance_resampling,
         op5_best_fit_packing,
         op6_warc,
         op7_benchmark_decontamination,
