@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, importance, jaccard_join, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
+from orbitlake.llm import decontaminate, importance, jaccard_join, line_dedup, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
 from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, folder, "documents"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -101,6 +105,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (
+        op1_line_dedup,
         op2_toxicity,
         op3_topk_search,
         op4_importance_resampling,
