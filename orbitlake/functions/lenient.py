@@ -32,6 +32,11 @@ DATE_FORMATS = {
 _ISO_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ].*$"
 
 
+def without_mark(text: Column) -> Column:
+    """Text without the byte-order mark some files begin with."""
+    return F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+
+
 def trimmed(text: Column) -> Column:
     """Text without surrounding white space, NULL when nothing is left."""
     return F.nullif(F.trim(text, F.lit(WHITE_SPACE)), F.lit(""))

@@ -34,9 +34,11 @@ def on_same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def upsert(target: DataFrame, source: DataFrame, key: str, update: list[str]) -> DataFrame:
     """Merge on ``key``: matched rows take the ``update`` columns of the source, unmatched source rows are
-    inserted whole, rows only in the target stay. ``key`` must be unique in the source.
+    inserted whole, rows only in the target stay. A key that the source repeats fails the query.
     """
-    incoming = source.select(F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in target.columns))
+    repeated = (F.count(key).over(Window.partitionBy(key)) > 1) & source[key].isNotNull()
+    hit = F.when(repeated, F.raise_error(F.concat(F.lit(f"{key} repeated in the source: "), source[key].cast("string"))).cast("boolean"))
+    incoming = source.select(hit.otherwise(F.lit(True)).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in target.columns))
     merged = target.withColumn("_kept", F.lit(True)).join(
         incoming, target[key] == incoming[f"_new_{key}"], "full_outer"
     )
@@ -60,6 +62,11 @@ def percent_of_max(df: DataFrame, measure: str, floor: float, column: str = "per
     return df.withColumn(column, F.when(top <= 0, F.lit(0.0)).otherwise(held))
 
 
+def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every combination of the key columns that occurs, once (NULLs count as equal)."""
+    return df.select(*keys).distinct()
+
+
 def duplicates(df: DataFrame, keys: list[str], column: str = "duplicate_count") -> DataFrame:
     """Keys that occur more than once, with their counts (NULLs count as equal)."""
     return df.groupBy(*keys).agg(F.count("*").alias(column)).where(F.col(column) > 1)

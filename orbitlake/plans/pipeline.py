@@ -18,25 +18,26 @@ from orbitlake.workspace import write_through
 
 STAGING = ["stg_celestrak_objects", "stg_ucs_satellites", "stg_launch_events"]
 # reasons that stop a strict run: the file is broken, rather than merely without rows
-_BROKEN = ["malformed json", "not an object"]
+_BROKEN = ["malformed json", "not an object", registry.MALFORMED, registry.NO_SHEET]
+KINDS = {STAGING[0]: K.GP, STAGING[1]: K.REGISTRY, STAGING[2]: K.LAUNCHES}
 
 
-def parse_landing(snapshots: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Staging tables of all snapshots, and the rejects. Files of unknown feeds are archived only.
+def read_kind(snapshots: DataFrame, kind: str) -> DataFrame:
+    """Good and rejected rows of snapshots with binary content, all of one kind; the content routes registry files."""
+    if kind == K.GP:
+        return gp_json.read_gp_json(landing.as_text(snapshots))
+    if kind == K.LAUNCHES:
+        return launches.read_launches(landing.as_text(snapshots))
+    tables = registry.read_registry(landing.as_text(snapshots.where(~landing.is_workbook())))
+    return tables.unionByName(registry.read_workbooks(snapshots.where(landing.is_workbook())))
+
+
+def parse_landing(snapshots: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Staging tables of the snapshots of every kind, and the rejects. Files of unknown feeds are left alone.
 
     Every file is parsed once: good and rejected rows are written together, then told apart.
     """
-    gp = landing.as_text(landing.of_kind(snapshots, K.GP))
-    launch = landing.as_text(landing.of_kind(snapshots, K.LAUNCHES))
-    registries = landing.of_kind(snapshots, K.REGISTRY)
-    tables = landing.as_text(registries.where(~landing.is_workbook()))
-    books = registries.where(landing.is_workbook())
-    parsed = {
-        STAGING[0]: gp_json.read_gp_json(gp),
-        STAGING[1]: registry.read_registry(tables).unionByName(registry.read_workbooks(books)),
-        STAGING[2]: launches.read_launches(launch),
-    }
-    written = {name: write_through(df, f"parsed-{name}") for name, df in parsed.items()}
+    written = {name: write_through(read_kind(snapshots[kind], kind), f"parsed-{name}") for name, kind in KINDS.items()}
     staging = {name: rows.good(df, schemas.TABLES[name]) for name, df in written.items()}
     gp_bad, registry_bad, launch_bad = (rows.rejected(df) for df in written.values())
     return staging, gp_bad.unionByName(registry_bad).unionByName(launch_bad)
@@ -122,13 +123,12 @@ def run(
     export_folder: str | None = None,
     feeds: DataFrame | None = None,
 ) -> Star:
-    """One whole run over the files of a landing folder.
+    """One whole run over the newest files of a landing folder: of every source those of its last day up to ``as_of``.
 
     ``on_error="fail"`` stops before anything is published when a file is broken; ``"skip"`` goes on without
     it (the rejects table says what was left out). ``export_folder`` also writes the staging CSV files.
     """
-    snapshots = landing.read_snapshots(spark, landing_folder, feeds)
-    staging, rejected = parse_landing(snapshots)
+    staging, rejected = parse_landing(landing.read_day(spark, landing_folder, as_of, feeds))
     broken = rejected.where(F.col("reason").isin(_BROKEN))
     if on_error == "fail" and not broken.isEmpty():
         raise ValueError(f"broken landing file: {broken.first().path}")
@@ -144,8 +144,7 @@ def run(
 
 def stage_only(spark: SparkSession, landing_folder: str, export_folder: str, run_date: dt.date) -> DataFrame:
     """The tolerant variant: parse what can be parsed, write the staging files, return the rejects."""
-    snapshots = landing.read_snapshots(spark, landing_folder)
-    staging, rejected = parse_landing(snapshots)
+    staging, rejected = parse_landing(landing.read_day(spark, landing_folder, run_date))
     for name, table in staging.items():
         staging_csv.write_staging(table, export_folder, name, run_date)
     return rejected

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,6 +25,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application: functions that run there are imported by name.
+
+    Not needed where the package is installed on every machine or given by ``--py-files``.
+    """
+    app, package = spark.sparkContext.applicationId, Path(__file__).parent
+    if app in _SHIPPED or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="orbitlake-package-")) / "orbitlake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as files:
+        for module in sorted(package.rglob("*.py")):
+            files.write(module, module.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def local_session(cpus: int | str = "*", name: str = "orbitlake", **options: str) -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
     partitions = "8" if cpus == "*" else str(cpus)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake import schemas
-from orbitlake.functions.lenient import is_blank, lenient_double, lenient_int, lenient_timestamp
+from orbitlake.functions.lenient import is_blank, lenient_double, lenient_int, lenient_timestamp, without_mark
 from orbitlake.functions.naming import source_group
 from orbitlake.sources.rows import NOTHING, computed_once, split
 from orbitlake.sources.variants import text
@@ -14,7 +14,6 @@ from orbitlake.sources.variants import text
 # Field names of the feed
 NAME, CATALOGUE_ID, EPOCH = "OBJECT_NAME", "NORAD_CAT_ID", "EPOCH"
 MEASURES = {"INCLINATION": "inclination_deg", "ECCENTRICITY": "eccentricity", "MEAN_MOTION": "mean_motion"}
-PREVIEW = 512
 
 # Only the named fields are parsed. Numbers may arrive as numbers or as text, so their text is enough; names and
 # epochs must be text, and a variant remembers whether they were.
@@ -23,8 +22,8 @@ _ITEMS = "array<struct<" + ", ".join(f"{field}: {kind}" for field, kind in _TYPE
 
 
 def looks_like_json(content: Column) -> Column:
-    """The first visible character within the preview opens an array or an object."""
-    return F.coalesce(F.substring(content, 1, PREVIEW).rlike(r"^\s*[\[{]"), F.lit(False))
+    """The first visible character opens an array or an object."""
+    return F.coalesce(content.rlike(r"^\s*[\[{]"), F.lit(False))
 
 
 def is_array(content: Column) -> Column:
@@ -35,8 +34,9 @@ def read_gp_json(snapshots: DataFrame) -> DataFrame:
     """One row per element set or problem.
 
     The six fields are required. Names and epochs must be JSON strings; numbers may be numbers or numeric strings.
+    A file that is refused is kept whole in ``detail``.
     """
-    content = F.col("content")
+    content = without_mark(F.col("content"))
     gate = F.when(~looks_like_json(content), F.lit("not json")).when(~is_array(content), F.lit("not an array"))
     files = computed_once(
         snapshots,
@@ -44,7 +44,7 @@ def read_gp_json(snapshots: DataFrame) -> DataFrame:
         {
             "_gate": gate,
             "_items": F.when(gate.isNull(), F.from_json(content, _ITEMS)),
-            "_preview": F.when(gate.isNotNull(), F.substring(content, 1, PREVIEW)),
+            "_preview": F.when(gate.isNotNull(), content),
             "source_group": source_group(F.col("source_uri"), F.col("source_name")),
         },
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake import constants as K
 from orbitlake import schemas
-from orbitlake.operators.keyed import latest_per_key
+from orbitlake.operators.keyed import latest_per_key, missing_from
+
 
 def feed_table(spark: SparkSession, feeds=K.FEEDS) -> DataFrame:
     """The configured feeds as a small local relation; a feed configured twice counts once."""
@@ -54,13 +57,48 @@ def read_snapshots(spark: SparkSession, landing: str, feeds: DataFrame | None =
     return with_feed(files, feed_table(spark) if feeds is None else feeds).drop("modified")
 
 
+def files_of_day(spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None) -> DataFrame:
+    """(path, kind) of the files a run of the day ``as_of`` stages: of every source those of its newest day up to then,
+    so that a feed without a new file keeps its last one. Files without a time in their name count as of the day.
+    Lists files without reading them.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(landing)
+        .select("path", F.lit(as_of).cast("timestamp").alias("modified"))
+    )
+    known = with_feed(files, feed_table(spark) if feeds is None else feeds).where(F.col("kind").isNotNull())
+    dated = known.withColumn("_day", F.to_date("downloaded_at")).where(F.col("_day") <= F.lit(as_of))
+    newest = dated.groupBy(F.col("source_name").alias("_source")).agg(F.max("_day").alias("_newest"))
+    chosen = (F.col("source_name") == F.col("_source")) & (F.col("_day") == F.col("_newest"))
+    return dated.join(newest, chosen, "left_semi").select("path", "kind").distinct()
+
+
+def read_day(spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The day's snapshots by kind, with binary content; each kind's scan lists only its own files."""
+    paths: dict[str, list[str]] = {kind: [] for kind in (K.GP, K.REGISTRY, K.LAUNCHES)}
+    for row in files_of_day(spark, landing, as_of, feeds).toLocalIterator():
+        paths.setdefault(row.kind, []).append(row.path)
+    nothing = spark.createDataFrame([], "path string, content binary, modified timestamp")
+
+    def read(own: list[str]) -> DataFrame:
+        if not own:
+            return nothing
+        files = spark.read.format("binaryFile").load(sorted(own))
+        return files.select("path", "content", F.col("modificationTime").alias("modified"))
+
+    table = feed_table(spark) if feeds is None else feeds
+    return {kind: with_feed(read(own), table).drop("modified") for kind, own in paths.items()}
+
+
 def as_text(snapshots: DataFrame) -> DataFrame:
     return schemas.conform(snapshots, schemas.RAW_SNAPSHOT)
 
 
 def is_workbook() -> Column:
-    """Zip container: the first two bytes decide, not the file's extension."""
-    return F.coalesce(F.substring(F.hex(F.substring("content", 1, 2)), 1, 4) == "504B", F.lit(False))
+    """Zip container: the signature decides, not the file's extension."""
+    return F.coalesce(F.hex(F.substring("content", 1, 4)) == "504B0304", F.lit(False))
 
 
 def of_kind(snapshots: DataFrame, kind: str) -> DataFrame:
@@ -86,6 +124,10 @@ def latest_snapshots(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def write_archive(snapshots: DataFrame, path: str) -> None:
-    """Keep raw snapshots by source and day."""
+    """Keep raw snapshots by source and day; a snapshot of the same source, time and path is kept once."""
     archived = snapshots.withColumn("ingest_date", F.to_date("downloaded_at"))
+    parts = ["source_name", "ingest_date"]
+    archived.where(F.lit(False)).write.mode("ignore").partitionBy(*parts).parquet(path)
+    kept = snapshots.sparkSession.read.schema(archived.schema).parquet(path)
+    archived = missing_from(archived, kept, ["source_name", "downloaded_at", "path"])
     archived.write.mode("append").partitionBy("source_name", "ingest_date").parquet(path)

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from orbitlake import constants as K
 from orbitlake import schemas
-from orbitlake.functions.lenient import lenient_timestamp
+from orbitlake.functions.lenient import lenient_timestamp, without_mark
 from orbitlake.functions.naming import fallback_launch_id
 from orbitlake.sources.rows import NOTHING, computed_once, split
 from orbitlake.sources.variants import array_length, text
 
-PREVIEW = 512
-
 # Only these fields are parsed; the leaves stay variants, which remember whether they were text. A value of
 # another shape on the way to a leaf (say, text where an object belongs) makes that field NULL, nothing else.
 _LAUNCH = (
@@ -36,9 +34,10 @@ def _problem(content: Column, opens: Column, items: Column) -> Column:
 
 
 def read_launches(snapshots: DataFrame) -> DataFrame:
-    """One row per launch (one page per file) or problem."""
+    """One row per launch (one page per file) or problem. A file that is refused is kept whole in ``detail``."""
     content = F.col("content")
-    opens = F.regexp_extract(F.substring(content, 1, PREVIEW), r"^\s*([\[{])", 1)
+    snapshots = computed_once(snapshots, ["path", "source_name", "downloaded_at"], {"content": without_mark(content)})
+    opens = F.regexp_extract(content, r"^\s*([\[{])", 1)
     page = F.from_json(content, f"struct<results: array<{_LAUNCH}>>")["results"]
     found = computed_once(
         snapshots,
@@ -54,7 +53,7 @@ def read_launches(snapshots: DataFrame) -> DataFrame:
         ["path", "source_name", "downloaded_at", "_items"],
         {
             "_problem": _problem(content, F.col("_opens"), items),
-            "_preview": F.when(items.isNull(), F.substring(content, 1, PREVIEW)),
+            "_preview": F.when(items.isNull(), content),
         },
     )
     rows = files.select(

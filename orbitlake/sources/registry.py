@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orbitlake import constants as K
 from orbitlake import schemas
-from orbitlake.functions.lenient import WHITE_SPACE, is_blank, lenient_date, lenient_int, trimmed
+from orbitlake.functions.lenient import WHITE_SPACE, is_blank, lenient_date, lenient_int, trimmed, without_mark
 from orbitlake.functions.naming import normalised_header
 from orbitlake.sources.rows import NOTHING, computed_once, split
 
@@ -27,7 +27,7 @@ def container(line: Column) -> Column:
     lowered = F.lower(line)
     return (
         F.when(is_blank(line), F.lit("empty"))
-        .when(line.startswith("PK"), F.lit("workbook"))
+        .when(line.startswith("PK\x03\x04"), F.lit("workbook"))
         .when(lowered.contains("<html") | lowered.contains("<!doctype"), F.lit("html"))
         .otherwise(F.lit("table"))
     )
@@ -129,8 +129,7 @@ def read_registry(snapshots: DataFrame) -> DataFrame:
     """One row per registry row or problem; every file has its own separator and header line."""
     content = F.col("content")
     keep = ["path", "source_name", "downloaded_at"]
-    without_mark = F.when(content.startswith("\ufeff"), F.substring(content, F.lit(2), F.length(content))).otherwise(content)
-    texts = computed_once(snapshots, keep, {"content": without_mark})
+    texts = computed_once(snapshots, keep, {"content": without_mark(content)})
     kinds = computed_once(
         texts,
         [*keep, "content"],
@@ -143,7 +142,7 @@ def read_registry(snapshots: DataFrame) -> DataFrame:
     header = F.transform(split_fields(F.get("_records", F.lit(0)), F.col("sep")), normalised_header)
     headed = computed_once(files, files.columns, {"headers": header})
     placed = computed_once(headed, headed.columns, _positions(F.col("headers")))
-    problem = F.when(F.col("_kind") == "workbook", F.lit(NOTHING)).when(~is_table, F.col("_kind"))
+    problem = F.when(~is_table, F.col("_kind"))
     exploded = placed.select(
         *keep, "sep", *_AT, problem.alias("_file_problem"), F.when(~is_table, F.col("_preview")).alias("_preview"),
         F.posexplode_outer("_records").alias("record_no", "_record"),
@@ -170,7 +169,8 @@ def parse_registry(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
 _SHEET = "xl/worksheets/sheet1.xml"
 _STRINGS = "xl/sharedStrings.xml"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_WORKBOOK_ROWS = "path string, source_name string, downloaded_micros bigint, row_no int, headers array<string>, values array<string>"
+_WORKBOOK_ROWS = "path string, source_name string, downloaded_micros bigint, row_no int, headers array<string>, values array<string>, problem string"
+MALFORMED, NO_SHEET = "malformed workbook", "no worksheet"
 _ROWS_PER_BATCH = 2000
 
 
@@ -183,7 +183,7 @@ def _sheet_rows(content: bytes) -> Iterator[dict[str, str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         parts = set(book.namelist())
         if _SHEET not in parts:
-            return
+            raise KeyError(NO_SHEET)
         shared: list[str] = []
         if _STRINGS in parts:
             with book.open(_STRINGS) as part:
@@ -216,6 +216,25 @@ def _sheet_rows(content: bytes) -> Iterator[dict[str, str | None]]:
                     yield row
 
 
+def _trouble(content: bytes) -> str | None:
+    """Why a workbook cannot be read to its end, if so. It is unpacked once for this, so that a workbook that breaks
+    half-way yields one reject and no rows.
+    """
+    import struct
+    import zipfile
+    import zlib
+    from xml.etree.ElementTree import ParseError
+
+    try:
+        for _ in _sheet_rows(content):
+            pass
+    except KeyError:
+        return NO_SHEET
+    except (zipfile.BadZipFile, zlib.error, ParseError, EOFError, OSError, NotImplementedError, RuntimeError, struct.error, ValueError):
+        return MALFORMED
+    return None
+
+
 def _read_workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [
@@ -225,11 +244,17 @@ def _read_workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ("row_no", pa.int32()),
             ("headers", pa.list_(pa.string())),
             ("values", pa.list_(pa.string())),
+            ("problem", pa.string()),
         ]
     )
     for batch in batches:
         for book in batch.to_pylist():
-            rows = _sheet_rows(book.pop("content"))
+            content = book.pop("content")
+            problem = _trouble(content)
+            if problem:
+                yield pa.RecordBatch.from_pylist([{**book, "row_no": 0, "headers": [], "values": [], "problem": problem}], schema=schema)
+                continue
+            rows = _sheet_rows(content)
             header = next(rows, None)
             if header is None:
                 continue
@@ -249,7 +274,7 @@ def read_workbooks(books: DataFrame) -> DataFrame:
     """Registry workbooks (binary ``content``): first sheet, first row is the header.
 
     Unpacking is the one step without a Spark expression; it streams rows out of each workbook, and headers
-    are resolved by the same columns as for delimited text.
+    are resolved by the same columns as for delimited text. A workbook that cannot be read is one reject.
     """
     packed = books.select("path", "source_name", F.unix_micros("downloaded_at").alias("downloaded_micros"), "content")
     rows = packed.mapInArrow(_read_workbooks, _WORKBOOK_ROWS)
@@ -258,8 +283,8 @@ def read_workbooks(books: DataFrame) -> DataFrame:
         {
             "headers": headers,
             "downloaded_at": F.timestamp_micros("downloaded_micros"),
-            "_problem": F.lit(None).cast("string"),
-            "_preview": F.lit(None).cast("string"),
+            "_problem": F.col("problem"),
+            "_preview": F.when(F.col("problem").isNotNull(), F.col("path")),
         }
     )
     return _resolve(computed_once(headed, headed.columns, _positions(F.col("headers"))))

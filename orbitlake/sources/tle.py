@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake.functions import tle as T
-from orbitlake.functions.lenient import lenient_double, lenient_int, trimmed
+from orbitlake.functions.lenient import lenient_double, lenient_int, trimmed, without_mark
 from orbitlake.sources.rows import NOTHING, computed_once, rejected
 
 
 def _framed(snapshots: DataFrame, pattern: str) -> DataFrame:
     found = computed_once(
-        snapshots, ["path", "source_name", "downloaded_at"], {"_records": T.records(F.col("content"), pattern)}
+        snapshots, ["path", "source_name", "downloaded_at"], {"_records": T.records(without_mark(F.col("content")), pattern)}
     )
     records = found.select(
         "path", "source_name", "downloaded_at", F.posexplode_outer("_records").alias("record_no", "_record")

@@ -7,8 +7,6 @@ they arrive, so there is no watermark.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,43 +14,37 @@ from pyspark.sql.streaming import StreamingQuery
 from orbitlake import schemas
 from orbitlake.plans import pipeline
 from orbitlake.plans.warehouse import Warehouse
-from orbitlake.sources import landing
+from orbitlake.sources import landing, rows
+from orbitlake.workspace import write_through
 
-Parser = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def snapshot_stream(spark: SparkSession, folder: str, feeds: DataFrame | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """New landing files as raw snapshots, one row per file."""
-    reader = spark.readStream.format("text").schema("value string").option("wholetext", True)
-    reader = reader.option("recursiveFileLookup", True)
+    """New landing files as raw snapshots with binary content, one row per file."""
+    reader = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = reader.load(folder).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("content"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    )
-    return landing.as_text(landing.with_feed(files, landing.feed_table(spark) if feeds is None else feeds))
+    files = reader.load(folder).select("path", "content", F.col("modificationTime").alias("modified"))
+    return landing.with_feed(files, landing.feed_table(spark) if feeds is None else feeds)
 
 
 def ingest_new_files(
     spark: SparkSession,
     folder: str,
     kind: str,
-    parser: Parser,
     staging_path: str,
     checkpoint: str,
     feeds: DataFrame | None = None,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Parse all new files of one kind into ``staging_path`` (and ``…_rejects``), then stop."""
+    """Parse all new files of one kind into ``staging_path`` (and ``…_rejects``) as a whole run would, then stop."""
+    schema = schemas.TABLES[next(name for name, own in pipeline.KINDS.items() if own == kind)]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        snapshots = batch.where(F.col("kind") == kind).persist()
-        good, bad = parser(snapshots)
-        good.write.mode("overwrite").parquet(f"{staging_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{staging_path}_rejects/batch={batch_id}")
-        snapshots.unpersist()
+        parsed = write_through(pipeline.read_kind(landing.of_kind(batch, kind), kind), "streamed")
+        rows.good(parsed, schema).write.mode("overwrite").parquet(f"{staging_path}/batch={batch_id}")
+        rows.rejected(parsed).write.mode("overwrite").parquet(f"{staging_path}_rejects/batch={batch_id}")
 
     stream = snapshot_stream(spark, folder, feeds, files_per_batch)
     return (

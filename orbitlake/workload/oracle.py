@@ -381,12 +381,6 @@ def _builds() -> dict[str, str]:
         "object_count, debris_risk_score"
     )
     return {
-        "dim_source": over([SRC], f"SELECT CAST(source_id AS BIGINT) AS source_id, source_name, source_type, source_url FROM {SRC}"),
-        "dim_orbit_band": over(
-            [BAND],
-            f"""SELECT CAST(orbit_band_id AS BIGINT) AS orbit_band_id, orbit_class, CAST(altitude_min_km AS DOUBLE) AS altitude_min_km,
-                   CAST(altitude_max_km AS DOUBLE) AS altitude_max_km, inclination_class FROM {BAND}""",
-        ),
         "dim_operator": over([REG], "SELECT * FROM built_operator", operator_cte),
         "dim_space_object": over([GP, REG], "SELECT * FROM built_object", operator_cte, object_cte),
         "upsert_objects": over(

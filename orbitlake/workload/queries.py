@@ -12,7 +12,7 @@ from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.functions.lenient import lenient_date
 from orbitlake.functions.naming import fallback_launch_id, source_group
-from orbitlake.operators.keyed import append_missing, latest_per_key, missing_from, percent_of_max, with_days
+from orbitlake.operators.keyed import append_missing, distinct_keys, latest_per_key, missing_from, percent_of_max, with_days
 from orbitlake.operators.numbering import global_dense_rank, global_row_number, systematic_sample
 from orbitlake.operators.skyline import skyline
 from orbitlake.plans import analytics as A
@@ -319,7 +319,7 @@ def streamed_observations(lake: Lake) -> DataFrame:
     folder = landed(lake, rawtext.gp_files(lake, per_hour=True))
     staged, checkpoint = fresh_path(lake.spark, "staged"), fresh_path(lake.spark, "checkpoint")
     incremental.ingest_new_files(
-        lake.spark, folder, K.GP, gp_json.parse_gp_json, staged, f"{checkpoint}/ingest"
+        lake.spark, folder, K.GP, staged, f"{checkpoint}/ingest"
     ).awaitTermination()
     warehouse = Warehouse(lake.spark, fresh_path(lake.spark, "warehouse"))
     objects = write_through(built_object(lake), "dim-space-object")
@@ -360,8 +360,6 @@ def queries() -> dict[str, Query]:
         "sampled_rings": rings,
         "invalid_rows": lambda star: quality.invalid_rows(star.stg_gp),
         "duplicate_rows": lambda star: quality.duplicate_rows(star.stg_gp),
-        "dim_source": lambda star: star.sources,
-        "dim_orbit_band": lambda star: star.bands,
         "prune_derived": lambda star: facts.prune_derived(star.observations, AS_OF),
         "fact_launch": lambda star: facts.new_launches(star.launches.where(F.lit(False)), star.stg_launch),
     }
@@ -404,6 +402,6 @@ def queries() -> dict[str, Query]:
         "tle_staging_csv": staged_tle_csv,
         "whole_run": run_observations,
         "incremental_append": streamed_observations,
+        "distinct_keys": lambda lake: distinct_keys(lake.raw("documents"), ["lang", "source"]),
     }
-    lake_work["distinct_keys"] = lambda lake: lake.raw("documents").select("lang", "source").distinct()
     return {name: on_star(r) for name, r in star_reports.items()} | {name: on_lake(w) for name, w in lake_work.items()}

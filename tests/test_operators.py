@@ -104,6 +104,8 @@ def test_upsert_updates_inserts_and_keeps(spark):
     source = spark.createDataFrame([(2, None, "z"), (3, "c", "w")], "k int, name string, fixed string")
     merged = sorted(tuple(r) for r in upsert(target, source, "k", ["name"]).collect())
     assert merged == [(1, "a", "x"), (2, None, "y"), (3, "c", "w")]
+    with pytest.raises(Exception, match="k repeated in the source: 2"):
+        upsert(target, source.unionByName(source), "k", ["name"]).collect()
 
 
 def test_percent_of_max_is_held_within_bounds(spark):

@@ -10,7 +10,7 @@ from orbitlake import schemas
 from orbitlake.plans import analytics as A
 from orbitlake.plans import pipeline
 from orbitlake.plans.warehouse import Warehouse
-from orbitlake.sources import gp_json, staging_csv
+from orbitlake.sources import landing, staging_csv
 from orbitlake.streaming import incremental
 from tests.test_sources import workbook
 
@@ -103,6 +103,41 @@ def test_broken_file_stops_a_strict_run_before_anything_is_published(spark, tmp_
     assert Warehouse(spark, root).real_observations().count() == 4
 
 
+def test_a_run_stages_the_newest_day_of_every_source(spark, tmp_path, landing_folder):
+    root = str(tmp_path / "warehouse")
+    pipeline.run(spark, str(landing_folder), root, AS_OF)
+    land(landing_folder, "celestrak-active", [element(1, "2024-04-01T06:00:00")], stamp="20240401T040000000Z")
+    land(landing_folder, "celestrak-active", [element(2, "2024-04-02T06:00:00")], stamp="20240402T040000000Z")
+    star = pipeline.run(spark, str(landing_folder), root, AS_OF + dt.timedelta(days=1))
+    # object 2 left its feed; the other feeds had no new file and keep their last one
+    assert sorted(r.norad_id for r in star.stg_gp.collect()) == [1, 4]
+    assert star.stg_registry.count() == 2 and star.stg_launch.count() == 1
+    assert sorted(r.norad_id for r in star.objects.where("norad_id is not null").collect()) == [1, 4]
+
+
+def test_a_broken_workbook_stays_one_reject(spark, tmp_path, landing_folder):
+    land(landing_folder, "ucs-satellite-database", b"PK\x03\x04 and nothing more", stamp="20240331T040002000Z", extension="xlsx")
+    with pytest.raises(ValueError, match="ucs-satellite-database"):
+        pipeline.run(spark, str(landing_folder), str(tmp_path / "strict"), AS_OF)
+    star = pipeline.run(spark, str(landing_folder), str(tmp_path / "tolerant"), AS_OF, on_error="skip")
+    assert star.stg_registry.count() == 2
+    rejected = pipeline.stage_only(spark, str(landing_folder), str(tmp_path / "out"), AS_OF)
+    assert sorted(r.reason for r in rejected.collect()) == ["malformed workbook", "missing required field"]
+
+
+def test_streamed_staging_equals_the_run(spark, tmp_path, landing_folder):
+    land(landing_folder, "ucs-satellite-database", b"PK\x03\x04 broken", stamp="20240331T040002000Z", extension="xlsx")
+    batch, rejected = pipeline.parse_landing(landing.read_day(spark, str(landing_folder), AS_OF))
+    bad = []
+    for name, kind in pipeline.KINDS.items():
+        staged = str(tmp_path / name)
+        incremental.ingest_new_files(spark, str(landing_folder), kind, staged, f"{tmp_path}/progress-{name}").awaitTermination()
+        streamed = spark.read.schema(schemas.TABLES[name]).parquet(f"{staged}/batch=0")
+        assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch[name].collect())) and streamed.count()
+        bad += [r.reason for r in spark.read.parquet(f"{staged}_rejects").collect()]
+    assert sorted(bad) == sorted(r.reason for r in rejected.collect())
+
+
 def test_staging_only_variant_goes_on(spark, tmp_path, landing_folder):
     land(landing_folder, "celestrak-stations", "oops")
     rejected = pipeline.stage_only(spark, str(landing_folder), str(tmp_path / "out"), AS_OF)
@@ -118,7 +153,7 @@ def test_incremental_ingest_and_append(spark, tmp_path, landing_folder):
 
     def advance():
         incremental.ingest_new_files(
-            spark, str(landing_folder), K.GP, gp_json.parse_gp_json, staged, f"{progress}/ingest", files_per_batch=1
+            spark, str(landing_folder), K.GP, staged, f"{progress}/ingest", files_per_batch=1
         ).awaitTermination()
         incremental.append_new_observations(
             warehouse, staged, star.objects, star.sources, star.stg_registry, f"{progress}/append", files_per_batch=1

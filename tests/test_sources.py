@@ -61,7 +61,6 @@ def test_gp_row_is_rejected_alone(spark, item):
         (GOOD, "not an array"),
         ("<html><body>[]</body></html>", "not json"),
         ("", "not json"),
-        (" " * 600 + f"[{GOOD}]", "not json"),
         (f"[{GOOD},", "malformed json"),
         (f"[{GOOD}, 7]", "malformed json"),
     ],
@@ -154,7 +153,7 @@ def test_registry_first_non_blank_of_duplicates_and_aliases(spark):
 def test_registry_gates_and_rejects(spark):
     rows, bad = registry_of(spark, "<!DOCTYPE HTML><p>", " \nName\nx", "PK\x03\x04rest", "﻿Name,Status\n,Active\nA,\n")
     assert [r["satellite_name"] for r in rows] == ["A"]
-    assert sorted((r.path, r.reason) for r in bad) == [("f0", "html"), ("f1", "empty"), ("f3", "no satellite name")]
+    assert sorted((r.path, r.reason) for r in bad) == [("f0", "html"), ("f1", "empty"), ("f2", "workbook"), ("f3", "no satellite name")]
 
 
 def test_registry_quote_that_never_closes_costs_one_field(spark):
@@ -196,6 +195,40 @@ def test_workbooks(spark):
     assert [r.reason for r in bad.collect()] == ["no satellite name"]
 
 
+def test_a_workbook_that_cannot_be_read_is_one_reject(spark):
+    row = '<row r="1"><c r="A1" t="inlineStr"><is><t>Name</t></is></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>Sat</t></is></c></row>'
+    whole = workbook(row)
+    sheetless = io.BytesIO()
+    with zipfile.ZipFile(sheetless, "w") as book:
+        book.writestr("xl/workbook.xml", "<workbook/>")
+    offered = {"cut": whole[: len(whole) // 2], "broken": workbook(row + "<row"), "sheetless": sheetless.getvalue(), "whole": whole}
+    books = spark.createDataFrame(
+        [(name, "s", AT, content) for name, content in offered.items()],
+        "path string, source_name string, downloaded_at timestamp, content binary",
+    )
+    good, bad = registry.parse_workbooks(books)
+    assert [r.satellite_name for r in good.collect()] == ["Sat"]
+    assert sorted((r.path, r.reason) for r in bad.collect()) == [("broken", registry.MALFORMED), ("cut", registry.MALFORMED), ("sheetless", registry.NO_SHEET)]
+
+
+def test_marks_and_leading_blanks_lose_nothing(spark):
+    element = '[{"OBJECT_NAME":"A","NORAD_CAT_ID":1,"EPOCH":"2024-01-01T00:00:00","INCLINATION":1,"ECCENTRICITY":0.1,"MEAN_MOTION":15}]'
+    launch = '{"results":[{"id":"L1","name":"N"}]}'
+    for lead in ("\ufeff", "\n" * 600, "\ufeff" + " " * 600):
+        assert gp_json.parse_gp_json(snapshots(spark, lead + element))[0].count() == 1
+        assert launches.parse_launches(snapshots(spark, lead + launch))[0].count() == 1
+
+
+def test_a_table_whose_header_begins_like_a_container(spark):
+    good, bad = registry.parse_registry(snapshots(spark, "PK,Name,NORAD Number\n1,Sat,42\n"))
+    assert [(r.satellite_name, r.norad_id) for r in good.collect()] == [("Sat", 42)] and bad.count() == 0
+
+
+def test_refused_files_are_kept_whole(spark):
+    text = "x" * 2000
+    assert [r.detail for r in gp_json.parse_gp_json(snapshots(spark, text))[1].collect()] == [text]
+
+
 def test_latest_snapshot_per_source(spark, tmp_path):
     import os
 
@@ -216,9 +249,11 @@ def test_feeds_attach_to_files(spark, tmp_path):
     assert got["celestrak-geo"].kind == "gp_json" and "GROUP=geo" in got["celestrak-geo"].source_uri
     assert got["celestrak-geo"].downloaded_at == dt.datetime(2024, 1, 1, 1, 2, 3, 4000)
     assert got["other"].kind is None
-    landing.write_archive(landing.read_snapshots(spark, str(tmp_path)), f"{tmp_path}/archive")
-    archived = spark.read.parquet(f"{tmp_path}/archive")
+    landing.write_archive(landing.read_snapshots(spark, str(tmp_path)), f"{tmp_path}-archive")
+    archived = spark.read.parquet(f"{tmp_path}-archive")
     assert archived.count() == 2 and "ingest_date" in archived.columns
+    landing.write_archive(landing.read_snapshots(spark, str(tmp_path)), f"{tmp_path}-archive")
+    assert spark.read.parquet(f"{tmp_path}-archive").count() == 2
 
 
 def test_staging_csv_round_trip(spark, tmp_path, rows):
