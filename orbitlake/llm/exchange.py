@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, BUCKET = "_chunk", "_bucket"
-PACKED = f"{CHUNK} int, {BUCKET} int, marks binary, multi binary, flag binary"
+PACKED = f"{CHUNK} int, {BUCKET} int, marks binary, counts binary, flag binary"
 ANSWER = f"{CHUNK} int, {BUCKET} int, answer binary"
 CHUNK_BYTES = 4 << 20
 BUCKET_MARKS = 1 << 20
@@ -53,12 +53,12 @@ class Marks:
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.cumsum(new) - 1
         self.order, self.mark = order, mark[self.heads]
+        self.counts = np.minimum(np.diff(np.append(self.heads, len(order))), 255).astype(np.uint8)
         self.buckets, self.begin = np.unique(bucket[self.heads], return_index=True)
         self.end = np.append(self.begin[1:], len(self.heads))
 
     def packed(self, chunk: int, flag: np.ndarray | None = None) -> pa.Table:
         """One row per bucket; ``flag``: a truth value for each given hash, or-ed over equal ones."""
-        sizes = np.diff(np.append(self.heads, len(self.order)))
         any_flag = np.zeros(len(self.heads), bool)
         if flag is not None and len(self.heads):
             any_flag = np.logical_or.reduceat(flag[self.order], self.heads)
@@ -68,7 +68,7 @@ class Marks:
                 CHUNK: pa.array([chunk] * len(rows), pa.int32()),
                 BUCKET: pa.array(self.buckets, pa.int32()),
                 "marks": pa.array([self.mark[a:b].tobytes() for a, b in rows], pa.binary()),
-                "multi": pa.array([np.packbits(sizes[a:b] > 1).tobytes() for a, b in rows], pa.binary()),
+                "counts": pa.array([self.counts[a:b].tobytes() for a, b in rows], pa.binary()),
                 "flag": pa.array([np.packbits(any_flag[a:b]).tobytes() for a, b in rows], pa.binary()),
             }
         )
@@ -83,15 +83,30 @@ class Marks:
         return yes[self.place]
 
 
+    def weights(self, table: pa.Table) -> np.ndarray:
+        """For each given hash the byte that its bucket answered, 0 without an answer."""
+        given = np.zeros(len(self.heads), np.uint8)
+        at = {int(b): (int(x), int(y)) for b, x, y in zip(self.buckets, self.begin, self.end)}
+        for bucket, answer in zip(table[BUCKET].to_pylist(), table["answer"].to_pylist()):
+            given[slice(*at[bucket])] = np.frombuffer(answer, np.uint8)
+        return given[self.place]
+
+
+def log_weight(count: np.ndarray) -> np.ndarray:
+    """A count as a byte: 1 + 8 log2, at most 255."""
+    return np.clip(1 + 8 * np.log2(count), 1, 255).astype(np.uint8)
+
+
 def _bits(columns: list[bytes], lengths: np.ndarray) -> np.ndarray:
     if not len(lengths):
         return np.zeros(0, bool)
     return np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=n) for c, n in zip(columns, lengths)]).astype(bool)
 
 
-def shared_marks(flagged: bool, wide: bool = False):
+def shared_marks(flagged: bool = False, wide: bool = False, weighed: bool = False):
     """Of one bucket: the answer to every chunk, a bit per mark, set where the hash occurs at least twice
-    (and, if ``flagged``, carries the flag somewhere)."""
+    (and, if ``flagged``, carries the flag somewhere). ``weighed``: a byte per mark, 0 or the log weight of how often
+    the hash occurs."""
     kind = np.uint64 if wide else np.uint32
 
     def answer(table: pa.Table) -> pa.Table:
@@ -102,19 +117,21 @@ def shared_marks(flagged: bool, wide: bool = False):
         new = np.ones(len(order), bool)
         new[1:] = marks[order][1:] != marks[order][:-1]
         heads = np.flatnonzero(new)
-        multi = _bits(table["multi"].to_pylist(), lengths)
-        yes = np.diff(np.append(heads, len(order))) > 1
-        yes |= np.logical_or.reduceat(multi[order], heads)
+        counts = np.concatenate([np.frombuffer(c, np.uint8) for c in table["counts"].to_pylist()])
+        held = np.add.reduceat(counts[order].astype(np.int64), heads)
+        yes = held > 1
         if flagged:
             yes &= np.logical_or.reduceat(_bits(table["flag"].to_pylist(), lengths)[order], heads)
-        out = np.empty(len(order), bool)
-        out[order] = yes[np.cumsum(new) - 1]
+        told = np.where(yes, log_weight(held), 0).astype(np.uint8) if weighed else yes
+        out = np.empty(len(order), told.dtype)
+        out[order] = told[np.cumsum(new) - 1]
         ends = np.cumsum(lengths)
+        answers = [out[e - n : e] if weighed else np.packbits(out[e - n : e]) for e, n in zip(ends, lengths)]
         return pa.table(
             {
                 CHUNK: table[CHUNK],
                 BUCKET: table[BUCKET],
-                "answer": pa.array([np.packbits(out[e - n : e]).tobytes() for e, n in zip(ends, lengths)], pa.binary()),
+                "answer": pa.array([a.tobytes() for a in answers], pa.binary()),
             }
         )
 

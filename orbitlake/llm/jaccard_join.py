@@ -8,9 +8,11 @@ thresholds per size band by cost; per set, the segments to probe are then chosen
 
 1. Sets are hashed; documents with equal sets form one class, whose least id stands for it.
 2. Signatures are counted (``exchange``). A set whose segments that nobody else shares outweigh k has no partner.
-3. The few that remain are linked through a few of their shared signatures to the least holder, and verified.
+3. Nor has a set of which too few shingles occur in any other set that remains. The rest is linked through a few of
+   its shared signatures to their most popular holders, and verified.
 4. Signatures whose holders all are in one component now need no more probing. A set that still lacks weight probes
-   the rarest other ones; these pairs are verified, so no link between different components is lost.
+   the rarest other ones, and is compared with the pieces of components that hold them, so no link between different
+   components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from orbitlake.workspace import write_through
 SHINGLE = 5
 THRESHOLD = 0.75
 KEYS = 8  # shared signatures that link a set to their least holder before the exact probing
+PIECE = 512  # sets compared with each other in one group
 SHARED_PART = 0.2  # the plan lets a set of which so much is shared with others still be settled by its own part
 
 
@@ -235,10 +238,14 @@ def _keep_unsettled(n: int, percent: int, buckets: int):
         is_answer = pa.array(np.array([b is not None for b in told[X.BUCKET].to_pylist()], bool))
         chunk = _Texts(_standing(texts, told.filter(pa.array(~np.array(is_answer)))), n, percent)
         found = chunk.all
-        busy = X.Marks(found.hashes, buckets).answered(told.filter(is_answer))
+        weights = X.Marks(found.hashes, buckets).weights(told.filter(is_answer))
+        busy = weights > 0
+        full = ~found.empty[found.segment]
+        of_text = np.bincount(chunk.text[full], minlength=len(chunk.ids))
+        popular = np.bincount(chunk.text[full], weights[full], len(chunk.ids)) / np.maximum(of_text, 1)
         open_sides = ~found.settled(busy)
         keep = np.flatnonzero(open_sides[0::2] | open_sides[1::2])
-        useful = busy & ~found.empty[found.segment]
+        useful = busy & full
         order = np.lexsort((found.hashes, chunk.text))
         order = order[useful[order]]
         first = np.searchsorted(chunk.text[order], np.arange(len(chunk.ids) + 1))
@@ -250,6 +257,7 @@ def _keep_unsettled(n: int, percent: int, buckets: int):
                 "id": pa.array(chunk.ids[keep], pa.int64()),
                 "text": W.string_array(chunk.table["text"]).take(pa.array(keep)).cast(pa.string()),
                 "keys": pa.array([hashes[order[first[d] : min(first[d] + KEYS, first[d + 1])]] for d in keep], pa.list_(pa.int64())),
+                "popular": pa.array(popular[keep], pa.float64()),
                 "busy": pa.array([np.packbits(busy[by_text[bounds[d] : bounds[d + 1]]]).tobytes() for d in keep], pa.binary()),
             }
         )
@@ -257,6 +265,28 @@ def _keep_unsettled(n: int, percent: int, buckets: int):
     return run
 
 
+def _send_shingles(n: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(W.string_array(table["text"]), n)
+        return X.Marks(sets.hashes, buckets).packed(table[X.CHUNK][0].as_py())
+
+    return run
+
+
+def _enough_shared(n: int, percent: int, buckets: int):
+    """Sets of which enough shingles occur in other sets too: a partner holds ``percent`` of them."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        sets = shingle_sets(W.string_array(texts["text"]), n)
+        shared = X.Marks(sets.hashes, buckets).answered(told)
+        sums = np.concatenate([[0], np.cumsum(shared)])
+        held = sums[sets.first[1:]] - sums[sets.first[:-1]]
+        kept = texts.select(KEPT_COLUMNS).append_column("held", pa.array(held, pa.int64()))
+        return kept.filter(pa.array(100 * held >= percent * sets.sizes))
+
+    return run
+
+
 def _verify(n: int, percent: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         is_pair = np.array([t is None for t in told["text"].to_pylist()], bool)
@@ -270,6 +300,28 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _compare(n: int, percent: int):
+    """Of one piece and some probing sets: the links between the two."""
+
+    def run(texts: pa.Table, probing: pa.Table) -> pa.Table:
+        ids, others = np.array(texts["id"].to_pylist(), np.int64), np.array(probing["asking"].to_pylist(), np.int64)
+        sets, asking = shingle_sets(W.string_array(texts["text"]), n), shingle_sets(W.string_array(probing["asking_text"]), n)
+        order = np.argsort(sets.hashes, kind="stable")
+        hashes, holder = sets.hashes[order], np.repeat(np.arange(len(ids)), sets.sizes)[order]
+        links: list[tuple[int, int]] = []
+        for d, other in enumerate(others.tolist()):
+            own = asking.of(d)
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            spans = high - low
+            at = np.arange(spans.sum()) + np.repeat(low - (np.cumsum(spans) - spans), spans)
+            common = np.bincount(holder[at], minlength=len(ids))
+            good = (common > 0) & (100 * common >= percent * (len(own) + sets.sizes - common)) & (ids != other)
+            links += [(other, int(i)) for i in ids[good]]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def _busy(chunk: _Texts) -> np.ndarray:
     """Of each signature whether another set had it in the first count."""
     by_text = np.argsort(chunk.text, kind="stable")
@@ -281,12 +333,17 @@ def _busy(chunk: _Texts) -> np.ndarray:
     return busy
 
 
-def _roots(chunk: _Texts, told: pa.Table) -> np.ndarray:
-    known = {i: r for i, r in zip(told["node"].to_pylist(), told["root"].to_pylist()) if i is not None}
-    return np.array([known.get(i, i) for i in chunk.ids.tolist()], np.int64)
+KEPT = "id long, text string, keys array<long>, popular double, busy binary"
+KEPT_COLUMNS = [c.split()[0] for c in KEPT.split(", ")]
+
 
+def _told_of(chunk: _Texts, told: pa.Table, column: str) -> np.ndarray:
+    """What ``told`` says in a column about every set of the chunk."""
+    known = dict(zip(told["node"].to_pylist(), told[column].to_pylist()))
+    return np.array([known[i] for i in chunk.ids.tolist()], np.int64)
 
-LABELLED = f"{X.CHUNK} int, {X.BUCKET} int, marks binary, labels binary, mixed binary"
+
+LABELLED = f"{X.CHUNK} int, {X.BUCKET} int, marks binary, counts binary, labels binary, mixed binary"
 
 
 def _send_labels(n: int, percent: int, buckets: int):
@@ -294,9 +351,10 @@ def _send_labels(n: int, percent: int, buckets: int):
         chunk = _Texts(texts, n, percent)
         busy = _busy(chunk)
         marks = X.Marks(chunk.all.hashes[busy], buckets)
-        labels = _roots(chunk, told)[chunk.text[busy]][marks.order]
+        labels = _told_of(chunk, told, "root")[chunk.text[busy]][marks.order]
         if not len(labels):
-            return pa.schema([(X.CHUNK, pa.int32()), (X.BUCKET, pa.int32()), ("marks", pa.binary()), ("labels", pa.binary()), ("mixed", pa.binary())]).empty_table()
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            return pa.schema([(c.split()[0], k) for c, k in zip(LABELLED.split(", "), kinds)]).empty_table()
         low, high = np.minimum.reduceat(labels, marks.heads), np.maximum.reduceat(labels, marks.heads)
         sent, ends = marks.packed(key[0].as_py()), list(zip(marks.begin, marks.end))
         return pa.table(
@@ -304,6 +362,7 @@ def _send_labels(n: int, percent: int, buckets: int):
                 X.CHUNK: sent[X.CHUNK],
                 X.BUCKET: sent[X.BUCKET],
                 "marks": sent["marks"],
+                "counts": sent["counts"],
                 "labels": pa.array([low[a:b].tobytes() for a, b in ends], pa.binary()),
                 "mixed": pa.array([np.packbits((low != high)[a:b]).tobytes() for a, b in ends], pa.binary()),
             }
@@ -313,7 +372,7 @@ def _send_labels(n: int, percent: int, buckets: int):
 
 
 def _mixed_weights(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each mark 0 if all its holders have one label, else about 8 * log2 of its chunks, from 1."""
+    """Of one bucket: for each mark 0 if all its holders have one label, else the log weight of their number."""
     parts = [np.frombuffer(m, np.uint32) for m in table["marks"].to_pylist()]
     lengths = np.array([len(p) for p in parts])
     marks, labels = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in table["labels"].to_pylist()])
@@ -323,8 +382,9 @@ def _mixed_weights(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(new)
     mixed = np.minimum.reduceat(labels[order], heads) != np.maximum.reduceat(labels[order], heads)
     mixed |= np.logical_or.reduceat(X._bits(table["mixed"].to_pylist(), lengths)[order], heads)
-    held = np.diff(np.append(heads, len(order)))
-    weights = np.where(mixed, np.clip(1 + 8 * np.log2(held), 1, 255), 0).astype(np.uint8)
+    counts = np.concatenate([np.frombuffer(c, np.uint8) for c in table["counts"].to_pylist()])
+    held = np.add.reduceat(counts[order].astype(np.int64), heads)
+    weights = np.where(mixed, X.log_weight(held), 0).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
     out[order] = weights[np.cumsum(new) - 1]
     ends = np.cumsum(lengths)
@@ -337,19 +397,20 @@ def _probe(n: int, percent: int, buckets: int):
         is_answer = np.array([b is not None for b in told[X.BUCKET].to_pylist()], bool)
         chunk = _Texts(texts, n, percent)
         found, busy = chunk.all, _busy(chunk)
-        roots = _roots(chunk, told.filter(pa.array(~is_answer)))
+        labels = told.filter(pa.array(~is_answer))
+        roots, pieces = _told_of(chunk, labels, "root"), _told_of(chunk, labels, "piece")
         marks = X.Marks(found.hashes[busy], buckets)
-        given = np.zeros(len(marks.heads), np.uint8)
-        at = {int(b): (int(x), int(y)) for b, x, y in zip(marks.buckets, marks.begin, marks.end)}
-        answers = told.filter(pa.array(is_answer))
-        for bucket, answer in zip(answers[X.BUCKET].to_pylist(), answers["answer"].to_pylist()):
-            given[slice(*at[bucket])] = np.frombuffer(answer, np.uint8)
         cost = np.zeros(len(found.hashes), np.int64)
-        cost[busy] = given[marks.place]
-        # an owner that lacks free weight probes its cheapest other segments until it has enough
+        cost[busy] = marks.weights(told.filter(pa.array(is_answer)))
+        # an owner that lacks free weight probes its cheapest other segments until it has enough, empty ones last
         heaviest = np.zeros(len(found.owner), np.int64)
         np.maximum.at(heaviest, found.segment, cost)
-        lack = found.need - found.free(cost > 0)
+        heaviest[found.empty & (heaviest > 0)] = 256
+        # a partner shares at most the held shingles, so it is not larger than this, and differs by less than need
+        held, sizes = np.array(chunk.table["held"].to_pylist(), np.int64), chunk.sets.sizes
+        largest = (100 + percent) * held // percent - sizes
+        need = np.minimum(found.need, np.repeat((sizes + largest) * (100 - percent) // (100 + percent) + 1, 2))
+        lack = need - np.maximum(found.free(cost > 0), np.repeat(sizes - held, 2))
         some = np.flatnonzero((heaviest > 0) & (lack[found.owner] > 0))
         some = some[np.lexsort((heaviest[some], found.owner[some]))]
         total = np.cumsum(found.weight[some])
@@ -366,7 +427,9 @@ def _probe(n: int, percent: int, buckets: int):
                 "signature": pa.array(found.hashes[rows].view(np.int64)),
                 "id": pa.array(chunk.ids[text]),
                 "root": pa.array(roots[text]),
-                "n": pa.array(chunk.sets.sizes[text], pa.int64()),
+                "piece": pa.array(pieces[text]),
+                "n": pa.array(sizes[text], pa.int64()),
+                "held": pa.array(held[text], pa.int64()),
                 "probe": pa.array(probed[found.segment[rows]]),
             }
         )
@@ -385,6 +448,14 @@ class _Unsettled:
     def by_chunk(self, *columns: str):
         return self.table.select(X.chunk_of(self.chunks, "id"), "id", "text", *columns).groupBy(X.CHUNK)
 
+    def narrowed(self) -> _Unsettled:
+        """Without the sets whose own shingles alone rule out a partner."""
+        mine = self.by_chunk("keys", "popular", "busy")
+        sent = self.by_chunk().applyInArrow(_send_shingles(self.n, self.buckets), X.PACKED)
+        told = sent.groupBy(X.BUCKET).applyInArrow(X.shared_marks(), X.ANSWER).groupBy(X.CHUNK)
+        kept = mine.cogroup(told).applyInArrow(_enough_shared(self.n, self.percent, self.buckets), f"{KEPT}, held long")
+        return _Unsettled(write_through(kept, "narrowed"), self.n, self.percent)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold. Each chunk gets the texts of the b it asks for."""
         asked = pairs.select(X.chunk_of(self.chunks, "a"), "a", "b")
@@ -397,27 +468,61 @@ class _Unsettled:
         mine = needed.select(X.chunk_of(self.chunks, "id"), "id", "text").groupBy(X.CHUNK)
         return mine.cogroup(told.groupBy(X.CHUNK)).applyInArrow(_verify(self.n, self.percent), "a long, b long")
 
-    def star_links(self) -> DataFrame:
-        """Links of each set to the least holder of some of its shared signatures."""
-        held = self.table.select("id", F.explode("keys").alias("key"))
-        least = write_through(held.groupBy("key").agg(F.min("id").alias("b")), "least-holders")
-        pairs = held.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-        return self.verified(write_through(pairs, "pairs"))
-
-    def other_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs in different components that may reach the threshold."""
-        labels = roots.select(X.chunk_of(self.chunks, "node"), "node", "root")
-        mine = self.by_chunk("busy")
+    def star_pairs(self) -> DataFrame:
+        """Each set with the most popular holder of some of its shared signatures: the text that the others of a group
+        are copies of shares most of its signatures with most of them."""
+        held = self.table.select("id", F.explode("keys").alias("key"), F.struct("popular", (-F.col("id")).alias("less")).alias("rank"))
+        best = write_through(held.groupBy("key").agg((-F.max("rank")["less"]).alias("b")), "popular-holders")
+        return held.join(best, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+    def pieces(self, stars: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(node, root, piece) of every set. A piece holds up to about ``PIECE`` sets of one component, or of sets
+        without links whose popular holders are in the same component; larger ones are dealt by a hash of the id."""
+        root_of = stars.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        near = pairs.join(root_of, F.col("b") == F.col("_node"), "left").groupBy("a").agg(F.min(F.coalesce("_root", "b")).alias("near"))
+        linked = stars.select("node", "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        linked = write_through(linked, "linked")
+        known = self.table.select("id").join(linked, F.col("id") == F.col("node"), "left").join(near, F.col("id") == F.col("a"), "left")
+        family = F.coalesce("root", "near", "id").alias("family")
+        named = write_through(known.select("id", F.coalesce("root", "id").alias("root"), F.col("node").isNull().alias("single"), family), "families")
+        sizes = named.groupBy("family", "single").agg(F.ceil(F.count("*") / PIECE).alias("parts"))
+        sizes = write_through(sizes.select(F.col("family").alias("_family"), F.col("single").alias("_single"), "parts"), "family-sizes")
+        dealt = named.join(sizes, (F.col("family") == F.col("_family")) & (F.col("single") == F.col("_single")))
+        piece = F.xxhash64("family", "single", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return write_through(dealt.select(F.col("id").alias("node"), "root", piece.alias("piece")), "pieces")
+
+    def probes(self, pieces: DataFrame) -> DataFrame:
+        """(id, piece): the sets that may have links into another component, and the pieces these may lead to."""
+        labels = pieces.select(X.chunk_of(self.chunks, "node"), "node", "root", "piece")
+        mine = self.by_chunk("busy", "held")
         sent = mine.cogroup(labels.groupBy(X.CHUNK)).applyInArrow(_send_labels(self.n, self.percent, self.buckets), LABELLED)
         answers = sent.groupBy(X.BUCKET).applyInArrow(_mixed_weights, X.ANSWER)
         told = answers.unionByName(labels, allowMissingColumns=True)
-        rows = "signature long, id long, root long, n long, probe boolean"
+        rows = "signature long, id long, root long, piece long, n long, held long, probe boolean"
         held = mine.cogroup(told.groupBy(X.CHUNK)).applyInArrow(_probe(self.n, self.percent, self.buckets), rows)
-        held = write_through(held.distinct(), "holders")
-        other = held.select("signature", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "n")))
-        lesser, greater = F.least("n", "n_b"), F.greatest("n", "n_b")
-        met = held.where("probe").join(other, "signature").where((F.col("root") != F.col("root_b")) & (100 * lesser >= self.percent * greater))
-        return met.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
+        held = write_through(held, "holders")
+        span = [f(c).alias(f"{name}_{c}") for name, f in (("least", F.min), ("most", F.max)) for c in ("n", "held", "root")]
+        groups = write_through(held.groupBy(F.col("signature").alias("_signature"), F.col("piece").alias("_piece")).agg(*span), "holding-pieces")
+        # what two sets hold of shared shingles bounds their overlap, which has to reach this part of their sizes
+        enough = (100 + self.percent) * F.least("held", "most_held") >= self.percent * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * self.percent / 100)))
+        fits = (100 * F.col("n") >= self.percent * F.col("least_n")) & (100 * F.col("most_n") >= self.percent * F.col("n"))
+        elsewhere = (F.col("least_root") != F.col("root")) | (F.col("most_root") != F.col("root"))
+        met = held.where("probe").join(groups, (F.col("signature") == F.col("_signature")) & enough & fits & elsewhere)
+        return write_through(met.select("id", F.col("_piece").alias("piece")).distinct(), "probes")
+
+    def found(self, probes: DataFrame, pieces: DataFrame) -> DataFrame:
+        """Links (a, b) between the probing sets and the sets of the pieces they probe. A piece that very many sets probe
+        is compared with so many of them at a time."""
+        turns = probes.groupBy(F.col("piece").alias("_piece")).agg(F.ceil(F.count("*") / PIECE).alias("turns"))
+        turns = write_through(turns, "turns")
+        texts = self.table.select("id", "text")
+        asking = probes.join(turns, F.col("piece") == F.col("_piece")).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")))
+        asking = asking.select("piece", "turn", "id").join(texts, "id")
+        asking = asking.toDF("asking", "to_piece", "to_turn", "asking_text")
+        of_piece = pieces.select(F.col("node").alias("id"), "piece").join(turns, F.col("piece") == F.col("_piece")).join(texts, "id")
+        asked = of_piece.select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "id", "text")
+        both = asked.groupBy("piece", "turn").cogroup(asking.groupBy("to_piece", "to_turn"))
+        return both.applyInArrow(_compare(self.n, self.percent), "a long, b long")
 
 
 def similar_documents(
@@ -451,12 +556,12 @@ def _class_roots(source: DataFrame, classes: DataFrame, n: int, percent: int) ->
     standing = classes.select(X.chunk_of(chunks, "stand"), F.col("stand").alias("id")).distinct()
     texts = source.where("id is not null").select(X.chunk_of(chunks, "id"), "id", "text").groupBy(X.CHUNK)
     sent = texts.cogroup(standing.groupBy(X.CHUNK)).applyInArrow(_count(n, percent, buckets), X.PACKED)
-    answers = sent.groupBy(X.BUCKET).applyInArrow(X.shared_marks(flagged=False), X.ANSWER)
+    answers = sent.groupBy(X.BUCKET).applyInArrow(X.shared_marks(weighed=True), X.ANSWER)
     told = answers.unionByName(standing, allowMissingColumns=True).groupBy(X.CHUNK)
-    kept = "id long, text string, keys array<long>, busy binary"
-    unsettled = texts.cogroup(told).applyInArrow(_keep_unsettled(n, percent, buckets), kept)
-    rest = _Unsettled(write_through(unsettled, "unsettled"), n, percent)
-    stars = components(write_through(rest.star_links(), "links"), "a", "b")
-    pairs = write_through(rest.other_pairs(stars), "pairs")
-    links = rest.verified(pairs).unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    unsettled = texts.cogroup(told).applyInArrow(_keep_unsettled(n, percent, buckets), KEPT)
+    rest = _Unsettled(write_through(unsettled, "unsettled"), n, percent).narrowed()
+    pairs = write_through(rest.star_pairs(), "pairs")
+    stars = components(write_through(rest.verified(pairs), "links"), "a", "b")
+    pieces = rest.pieces(stars, pairs)
+    links = rest.found(rest.probes(pieces), pieces).unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return components(write_through(links, "links"), "a", "b")
