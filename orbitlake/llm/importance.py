@@ -70,7 +70,7 @@ def _weighed(ratio: np.ndarray, id_type: pa.DataType):
         for batch in batches:
             for at, texts in W.slices(batch["text"]):
                 cell, text = _cells(texts, len(ratio))
-                weight = np.bincount(text, ratio[cell], len(texts))
+                weight = np.bincount(text, ratio[cell], len(texts)).astype(np.float64)  # whole numbers where there are no words
                 yield pa.record_batch({"id": batch["id"].slice(at, len(texts)).cast(id_type), "log_weight": pa.array(weight)})
 
     return run
