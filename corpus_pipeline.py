@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orbitlake.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from orbitlake.llm.queries import table, toxicity_model
+from orbitlake.llm.sizes import broadcast_if_small
 from orbitlake.workspace import write_through
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +26,7 @@ TOXIC = 0.5
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is among ``ids``; rows without an id stay."""
     gone = write_through(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone")
+    gone = broadcast_if_small(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

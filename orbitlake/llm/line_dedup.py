@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake.llm.components import components
+from orbitlake.llm.sizes import broadcast_if_small
 from orbitlake.workspace import write_through
 
 THRESHOLD = 0.75
 CHARACTERS = 8  # of a shingle
 STRIDE = 6  # characters of a word from one start to the next
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
-#: Candidate lines whose ids are broadcast (8 bytes each, 16 MB); more of them are joined by a shuffle.
-BROADCAST_LINES = 2_000_000
 
 
 def shingles(line: Column) -> Column:
@@ -64,9 +63,7 @@ def _candidates(signatures: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets of shingles reach the threshold."""
     wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
-    wanted = write_through(wanted, "candidate-lines")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if_small(write_through(wanted, "candidate-lines"))
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
     sets = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
     sets = write_through(found.select("line_id", sets.alias("set")), "line-sets")

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.llm import decontaminate, importance, jaccard_join, line_dedup, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
+from orbitlake.llm.sizes import broadcast_if_small
+from orbitlake.session import ship_package
 from orbitlake.workspace import fresh_path, write_through
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -27,8 +30,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
     """Learned from the labelled documents that are not held out."""
-    labels = table(spark, folder, "labels").where(~held_out()).select("doc_id", "toxic")
-    return toxicity.fit(table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out()))
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +48,8 @@ def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    good = docs.join(table(spark, folder, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    good = broadcast_if_small(table(spark, folder, "labels").where("quality = 1").select("doc_id"))
+    good = docs.join(good, "doc_id", "left_semi")
     return importance.resample(docs, good)
 
 

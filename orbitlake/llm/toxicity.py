@@ -243,15 +243,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from ``labelled`` (id, text, label 0 or 1), from ``LABELLED_DOCUMENTS`` of them at most, chosen by a hash
-    of the id. Null labels are left out; null texts are empty. Without both labels the seeds alone decide."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"), (F.col(label_col) > 0).cast("boolean").alias("toxic")
-    )
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("id", F.lit("labels")), F.lit(1_000_000)) < min(1.0, LABELLED_DOCUMENTS / max(1, n)) * 1_000_000
-    rows = rows.where(draw).select("text", "toxic")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from the documents that ``labels`` (id, label 0 or 1) names, from about ``LABELLED_DOCUMENTS`` of them at
+    most, drawn by a hash of the id; the drawn labels are what is broadcast. Null labels and ids are left out, null texts
+    are empty. Without both labels the seeds alone decide."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = known.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("toxic"))
+    share = min(1.0, LABELLED_DOCUMENTS / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit("labels")), F.lit(1_000_000)) < share * 1_000_000)
+    texts = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("text"))
+    rows = texts.join(F.broadcast(drawn), F.col("_id") == F.col("id")).select("text", "toxic")
     ones, total = rows.agg(F.sum(F.col("toxic").cast("int")), F.count("*")).first()
     if not ones or ones == total:
         return Model(Lexicon.of({}), np.zeros(N_FEATURES), np.ones(N_FEATURES), np.eye(N_FEATURES)[-3], -SEED_ODDS / 2)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # texts are hashed in slices of about so many bytes; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts are hashed in slices of about so many bytes; a longer text is a slice of its own
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,7 +40,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps[0] = 1
         with np.errstate(over="ignore"):
             known = np.multiply.accumulate(steps)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 8 * SLICE_BYTES:
             _POWERS[base] = known
     return known
 
