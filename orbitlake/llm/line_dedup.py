@@ -24,7 +24,8 @@ BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0
 
 def shingles(line: Column) -> Column:
     """Character shingles of a line in lower case; a character outside the Latin scripts starts one each."""
-    pattern = rf"(?s)(?=(.{{1,{CHARACTERS}}}))(?:[!-ɏ]{{1,{STRIDE}}}|\S)\s*"
+    # atomic and possessive: a match never gives back what it has taken
+    pattern = rf"(?s)(?=(.{{1,{CHARACTERS}}}+))(?>[!-ɏ]{{1,{STRIDE}}}+|\S)\s*+"
     return F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(1))
 
 
