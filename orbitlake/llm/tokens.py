@@ -14,9 +14,9 @@ import pyarrow as pa
 
 from orbitlake.llm import words as W
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Pieces a worker keeps encoded (about 25 bytes each); beyond that it starts afresh. Affects speed only.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 1_000_000
 #: UTF-8 bytes after which another byte or two spell white space outside ASCII.
 _WIDE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _ODD_ASCII = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
