@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 CHUNK, BUCKET = "_chunk", "_bucket"
 PACKED = f"{CHUNK} int, {BUCKET} int, marks binary, counts binary, flag binary"
 ANSWER = f"{CHUNK} int, {BUCKET} int, answer binary"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_MARKS = 1 << 20
 
 
