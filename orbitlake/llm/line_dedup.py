@@ -3,8 +3,9 @@
 A shingle is the run of characters from the start of a word, or from within a long word or unspaced script, onwards;
 starts lie close enough for every character to be in one. Signatures are minima of the shingles' hashes under fixed
 exclusive-ors, which Spark computes as plain aggregates. Lines that agree in a band of minima are compared with the
-least and the greatest line of that band, so a band of n lines costs 2n comparisons; those that reach the Jaccard
-threshold are linked, and of every component the first line stays.
+least and the greatest line of that band; those that reach the Jaccard threshold are linked. Of the other pairs of a
+band, those that these links already join need no comparison; all the rest are compared, unless a sketch of the sets
+proves them too different. Of every component the first line stays.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from orbitlake.workspace import write_through
 THRESHOLD = 0.75
 CHARACTERS = 8  # of a shingle
 STRIDE = 6  # characters of a word from one start to the next
+SKETCH = 4  # words of a sketch of a set, a power of two
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
 
 
@@ -49,11 +51,15 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return least.select("line_id", F.array(*bands).alias("bands"))
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a band: each with the least and the greatest line of it."""
+def _bands(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(line_id, band) of all lines, and (band, n, least, most) of the bands that lines share."""
     held = signatures.select("line_id", F.explode("bands").alias("band"))
     groups = held.groupBy("band").agg(F.count("*").alias("n"), F.min("line_id").alias("least"), F.max("line_id").alias("most"))
-    groups = write_through(groups.where("n > 1"), "bands")
+    return held, write_through(groups.where("n > 1"), "bands")
+
+
+def _candidates(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a band: each with the least and the greatest line of it."""
     small = groups.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
     # the groups are a written table: a plain join, in which Spark can split a band that many lines share
     large = held.join(groups.where("n > 2"), "band").select("line_id", F.explode(F.array("least", "most")).alias("b"))
@@ -61,13 +67,48 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets of shingles reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
+def _other_pairs(held: DataFrame, groups: DataFrame, roots: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines that share a band, are not in one component, and that ``_candidates`` left out, but for
+    those whose sketches rule out the threshold."""
+    large = held.join(groups.where("n > 2"), "band").join(roots, F.col("line_id") == F.col("node"), "left")
+    large = large.select("band", "line_id", "least", "most", F.coalesce("root", "line_id").alias("component"))
+    large = write_through(large, "large-bands")
+    # a pair of which one line is the least or the greatest has been compared
+    large_open = large.where("line_id <> least and line_id <> most").drop("least", "most")
+    several = large_open.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+    several = write_through(several.select("band"), "open-bands")
+    large_open = write_through(large_open.join(several, "band", "left_semi"), "open-lines")
+    sketches = write_through(_sets(large_open.select("line_id").distinct(), lines).select("line_id", *_sketch("set")), "line-sketches")
+    each = write_through(large_open.join(sketches, "line_id"), "open-sketches")
+    one = each.select("band", *(F.col(c).alias(f"{c}_a") for c in each.columns if c != "band"))
+    two = each.select(F.col("band").alias("_band"), *(F.col(c).alias(f"{c}_b") for c in each.columns if c != "band"))
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    # sets that reach the threshold differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    ordered = (F.col("line_id_a") < F.col("line_id_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = one.join(two, (F.col("band") == F.col("_band")) & ordered & near)
+    return pairs.select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).distinct()
+
+
+def _sketch(column: str) -> list[Column]:
+    """Size of a set of hashes, and its parities: bit i of word j says whether an odd number of hashes fall there. Two
+    sets differ in at least as many hashes as their parities differ in bits."""
+    parity = "aggregate({0}, 0L, (acc, h) -> acc ^ if(((h >> 6) & {1}) = {2}, shiftleft(1L, cast(h & 63 as int)), 0L))"
+    return [F.size(column).alias("size"), *(F.expr(parity.format(column, SKETCH - 1, i)).alias(f"p{i}") for i in range(SKETCH))]
+
+
+def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, set): the hashes of the shingles of the lines of ``wanted``."""
     wanted = broadcast_if_small(write_through(wanted, "candidate-lines"))
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
     sets = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    sets = write_through(found.select("line_id", sets.alias("set")), "line-sets")
+    return write_through(found.select("line_id", sets.alias("set")), "line-sets")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets of shingles reach the threshold."""
+    wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
+    sets = _sets(wanted, lines)
     one = sets.select(F.col("line_id").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("line_id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
@@ -75,10 +116,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """Links (a, b) between the ids (64-bit hashes) of different lines whose Jaccard similarity reaches ``threshold``."""
+    """Links (a, b) between the ids (64-bit hashes) of different lines whose Jaccard similarity reaches ``threshold``:
+    as many as join all the lines that pairs sharing a band would join."""
     lines = _lines(docs.select(F.lit(None).alias("key"), F.lit(None).alias("id"), F.col(text_col).alias("text")))
-    pairs = write_through(_candidates(write_through(_signatures(lines), "line-signatures")), "line-pairs")
-    return _verified(pairs, lines, round(100 * threshold))
+    percent = round(100 * threshold)
+    held, groups = _bands(write_through(_signatures(lines), "line-signatures"))
+    links = write_through(_verified(write_through(_candidates(held, groups), "line-pairs"), lines, percent), "line-links")
+    others = write_through(_other_pairs(held, groups, components(links, "a", "b"), lines, percent), "other-pairs")
+    return links if others.isEmpty() else links.unionByName(_verified(others, lines, percent))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from orbitlake.llm import line_dedup
 from tests.llm import helpers as H
 
@@ -82,3 +84,43 @@ def test_recall_of_pairs_over_the_threshold(spark):
 def test_only_column_functions(spark):
     plan = line_dedup.dedup_lines(H.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def all_pairs_of_bands(spark, texts):
+    """Roots over the distinct lines, from every pair that shares a band and reaches the threshold."""
+    docs = H.documents(spark, texts).selectExpr("null as key", "doc_id as id", "text")
+    split = line_dedup._lines(docs)
+    ids = {r.id: r.line for r in split.selectExpr("xxhash64(line) as id", "line").collect()}
+    bands = {}
+    for r in line_dedup._signatures(split).collect():
+        for band in r.bands:
+            bands.setdefault(band, set()).add(r.line_id)
+    order = sorted(ids)
+    place = {i: k for k, i in enumerate(order)}
+    sets = [{s for s in spark_shingles} for spark_shingles in shingle_rows(spark, [ids[i] for i in order])]
+    links = [
+        (place[a], place[b])
+        for held in bands.values()
+        for a in held
+        for b in held
+        if a < b and 100 * len(sets[place[a]] & sets[place[b]]) >= 75 * len(sets[place[a]] | sets[place[b]])
+    ]
+    return order, H.roots(len(order), links)
+
+
+def shingle_rows(spark, lines):
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingles(F.col("line")).alias("s"))
+    return [r.s for r in sorted(rows.collect())]
+
+
+def test_near_copies_in_a_family_of_one_template(spark):
+    """Every line shares a band with many that it does not resemble; its near copy is seldom the least or the greatest."""
+    lines = []
+    for i in range(150):
+        line = H.prose(1, 20, 9000) + " " + H.prose(1000 + i, 6, 9000)
+        lines += [line, H.edited(line, i, 1)]
+    order, expected_roots = all_pairs_of_bands(spark, lines)
+    links = [(r.a, r.b) for r in line_dedup.line_links(H.documents(spark, lines)).collect()]
+    place = {i: k for k, i in enumerate(order)}
+    got = H.roots(len(order), [(place[a], place[b]) for a, b in links])
+    assert got == expected_roots and 1 < len(set(got)) < len(order) - 50
