@@ -2,8 +2,7 @@
 
 A seed is a fixed mask over a span of words; its hash ignores the words under zeros, so a substitution there does not
 hide a copy. The hashes of all benchmark spans are joined with those of all spans of the documents; around every hit
-the item is laid over the document, and the stretch that agrees best is reported if it is long enough and few of its
-words differ.
+the item is laid over the document, and the longest stretch of which few words differ is reported if it is long enough.
 
 The benchmark is the stated query set: it is met block by block, each block bounded by ``BLOCK_SPANS``, and a block
 is broadcast. Documents never move.
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -86,18 +86,23 @@ class Block:
             yield d, item, -start, n, agreeing, places[d, item]
 
     def _stretch(self, words: W.Words, d: int, item: int, at: int, agreement: float):
-        """(words, agreeing words, - first word) of the best stretch of the item laid over text d at word ``at``."""
+        """(words, agreeing words, - first word) of the longest stretch, of the item laid over text d at word ``at``, in
+        which the share ``agreement`` of the words agrees; of equally long ones the best, then the first."""
         low, high = max(at, int(words.first[d])), min(at + int(self.first[item + 1] - self.first[item]), int(words.first[d + 1]))
         shift = int(self.first[item]) - at
         same = words.hashes[low:high] == self.hashes[low + shift : high + shift]
-        # a mismatch costs what the agreement asks of its neighbours; the stretch with the largest sum
-        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - agreement, -agreement))])
+        # in whole numbers, so that a share of just ``agreement`` counts: a stretch qualifies if its sum is not negative
+        share = Fraction(str(agreement))
+        sums = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+        # the first start from which some end qualifies is where the least sum so far falls
         lowest = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - lowest))
-        start = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
-        if end - start < self.least[item]:
+        longest = int((np.arange(len(sums)) - np.searchsorted(-lowest, -sums)).max())
+        if longest < max(self.least[item], 1):
             return None
-        return end - start, int(same[start:end].sum()), -(low - int(words.first[d]) + start)
+        agreeing = np.concatenate([[0], np.cumsum(same)])
+        within = agreeing[longest:] - agreeing[: len(agreeing) - longest]
+        start = int(np.argmax(within))
+        return longest, int(within[start]), -(low - int(words.first[d]) + start)
 
 
 def _search(block, agreement: float, id_type: pa.DataType, item_type: pa.DataType):

@@ -99,3 +99,44 @@ def test_empty_sides(spark):
     assert decontaminate.contaminated(docs, none).count() == 0
     benchmark = spark.createDataFrame([(1, H.prose(1, 20))], "item_id long, text string")
     assert decontaminate.contaminated(H.documents(spark, []), benchmark).count() == 0
+
+
+def longest_overlap(doc, item, least):
+    """Words of the longest stretch of which 4 in 5 agree, by trying every place, start and end."""
+    best = 0
+    for at in range(-len(item) + 1, len(doc)):
+        low, high = max(at, 0), min(at + len(item), len(doc))
+        same = [doc[i] == item[i - at] for i in range(low, high)]
+        best = max([best, *(b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a))])
+    return best if best >= least else 0
+
+
+def test_one_substitution_anywhere(spark):
+    """Whole items of which one word differs, at every place."""
+    items = [H.prose(200 + n, n, 5000) for n in (13, 15, 20)]
+    texts, wanted = [], {}
+    for i, item in enumerate(items):
+        for k in range(len(item.split())):
+            words = item.split()
+            words[k] = "other"
+            wanted[len(texts), i] = longest_overlap(words, item.split(), 13)
+            texts.append(" ".join(words))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in decontaminate.contaminated(H.documents(spark, texts), benchmark).collect()}
+    assert got == wanted
+
+
+def test_longest_stretch_of_a_diagonal():
+    """The longest stretch over random agreements against every start and end."""
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    for _ in range(300):
+        n = draw.randrange(13, 40)
+        item = [f"w{i}" for i in range(n)]
+        doc = [w if draw.random() < 0.8 else f"x{i}" for i, w in enumerate(item)]
+        block = decontaminate.Block([0], [" ".join(item)], decontaminate.MASKS, 13)
+        words = decontaminate.W.split(pa.array([" ".join(doc)], pa.large_string()), lower=True)
+        found = block._stretch(words, 0, 0, 0, 0.8)
+        assert (found[0] if found else 0) == longest_overlap(doc, item, 13)
+        assert not found or (5 * found[1] >= 4 * found[0] and sum(doc[i] == item[i] for i in range(-found[2], -found[2] + found[0])) == found[1])
