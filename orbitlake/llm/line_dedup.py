@@ -1,7 +1,6 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact verification, union-find. Column functions only.
 
-A shingle is the run of characters from the start of a word, or from within a long word or unspaced script, onwards;
-starts lie close enough for every character to be in one. Signatures are minima of the shingles' hashes under fixed
+A shingle is the run of eight characters from any character of a line onwards. Signatures are minima of the shingles' hashes under fixed
 exclusive-ors, which Spark computes as plain aggregates. Lines that agree in a band of minima are compared with the
 least and the greatest line of that band; those that reach the Jaccard threshold are linked. Of the other pairs of a
 band, those that these links already join need no comparison; all the rest are compared, unless a sketch of the sets
@@ -19,18 +18,26 @@ from orbitlake.workspace import write_through
 
 THRESHOLD = 0.75
 CHARACTERS = 8  # of a shingle
-STRIDE = 6  # characters of a word from one start to the next
+BLOCK = 64  # shingles of one piece of a line: finding a character in a text takes time by its distance from the start
 SKETCH = 4  # words of a sketch of a set, a power of two
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
 
 
-def shingles(line: Column) -> Column:
-    """Character shingles of a line in lower case; a character outside the Latin scripts starts one each."""
-    # atomic and possessive: a match never gives back what it has taken
-    pattern = rf"(?s)(?=(.{{1,{CHARACTERS}}}+))(?>[!-ɏ]{{1,{STRIDE}}}+|\S)\s*+"
+def _pieces(line: Column) -> Column:
+    """A line in lower case as pieces of ``BLOCK`` shingles each, which overlap so that no shingle is lost."""
+    pattern = rf"(?s)(?=(.{{{CHARACTERS},{BLOCK + CHARACTERS - 1}}}+|^.{{1,{CHARACTERS - 1}}}+\z)).{{1,{BLOCK}}}+"
     return F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(1))
 
 
+def _starts(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (CHARACTERS - 1), F.lit(1)))
+
+
+def shingles(line: Column) -> Column:
+    """Character shingles of a line in lower case, one from every character; a shorter line is one shingle."""
+    return F.flatten(F.transform(_pieces(line), lambda p: F.transform(_starts(p), lambda i: F.substring(p, i, F.lit(CHARACTERS)))))
+
+
 def _is_blank(line: Column) -> Column:
     return ~line.rlike(r"\S")
 
@@ -42,8 +49,9 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """(line_id, bands): the hash of each band of minima, for every distinct line that is not blank."""
-    hashed = lines.where(~_is_blank(F.col("line"))).select(F.xxhash64("line").alias("line_id"), F.explode(shingles(F.col("line"))).alias("s"))
-    hashed = hashed.select("line_id", F.hash("s").alias("h"))
+    pieces = lines.where(~_is_blank(F.col("line"))).select(F.xxhash64("line").alias("line_id"), F.explode(_pieces(F.col("line"))).alias("piece"))
+    starts = pieces.select("line_id", "piece", F.explode(_starts(F.col("piece"))).alias("start"))
+    hashed = starts.select("line_id", F.hash(F.substring("piece", F.col("start"), F.lit(CHARACTERS))).alias("h"))
     # fixed pseudo-random masks: each makes another order of the hashes
     masks = [(0x9E3779B1 * (i + 1) ^ 0x85EBCA77 * (i * i + 7)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
     least = hashed.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)))

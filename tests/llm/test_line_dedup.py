@@ -124,3 +124,30 @@ def test_near_copies_in_a_family_of_one_template(spark):
     place = {i: k for k, i in enumerate(order)}
     got = H.roots(len(order), [(place[a], place[b]) for a, b in links])
     assert got == expected_roots and 1 < len(set(got)) < len(order) - 50
+
+
+def grams(line: str) -> set[str]:
+    return {line.lower()[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def test_shingles_start_at_every_character(spark):
+    lines = ["a", "1234567", "12345678", "  Lead and trail  ", "ab\r", "é ß 日本語 😀 " * 30, "x" * 200, *(H.prose(n, 60)[: n + 60] for n in range(90))]
+    assert [set(s) for s in shingle_rows(spark, lines)] == [grams(line) for line in lines]
+
+
+def test_one_character_more_in_lines_without_spaces(spark):
+    """Candidates are MinHash, so nearly all pairs, and no others."""
+    lines = []
+    for i in range(30):
+        for n in (60, 120, 300):
+            line = H.prose(50 + 1000 * n + i, 90, 9000).replace(" ", ",")[:n]
+            lines += [line, line[:9] + "q" + line[9:]]
+        page = f"//example.org/a/long/path/{H.prose(i, 12, 9000)}".replace(" ", "/")
+        lines += ["http:" + page, "https:" + page]
+    pairs = list(zip(lines[::2], lines[1::2]))
+    assert all(100 * len(grams(a) & grams(b)) >= 75 * len(grams(a) | grams(b)) for a, b in pairs)
+    texts = H.documents(spark, lines)
+    ids = [r.id for r in texts.selectExpr("doc_id", "xxhash64(text) as id").sort("doc_id").collect()]
+    links = {frozenset(r) for r in line_dedup.line_links(texts).collect()}
+    wanted = {frozenset(ids[i : i + 2]) for i in range(0, len(ids), 2)}
+    assert links <= wanted and len(links) >= 0.97 * len(wanted)
