@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import decontaminate, importance, jaccard_join, line_dedup, oracle, packing, pii, substring_dedup, topk_search, toxicity, warc
+from orbitlake.llm import align, bpe, decontaminate, importance, jaccard_join, line_dedup, oracle, packing, pii, runs, substring_dedup, topk_search, toxicity, warc
 from orbitlake.llm.sizes import broadcast_if_small
 from orbitlake.session import ship_package
 from orbitlake.workspace import fresh_path, write_through
@@ -106,6 +106,56 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
 
 
+def _crc(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten repeats the words from some place on; a document without an id stays as it is."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    planted = docs.select("doc_id", "text", F.when(_crc() % 10 == 0, words).alias("_words")).withColumn("_n", F.size("_words"))
+    g = F.floor(_crc() / 10)
+    planted = planted.withColumn("_a", g % F.col("_n")).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    n, a, p = (F.col(c).cast("int") for c in ("_n", "_a", "_p"))
+    period = F.slice("_words", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+    return planted.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    # the greatest by length, then by least start and period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_longest.s")).alias("start"),
+        F.col("_longest.l").alias("length"),
+        (-F.col("_longest.p")).alias("period"),
+        F.expr("1000 * _longest.l div -_longest.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.align(table(spark, folder, "documents"), keep=lambda groups: F.sha2(groups, 256))
+    digest = F.coalesce("groups", F.lit("")).alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_line_dedup,
@@ -118,6 +168,9 @@ def queries() -> dict[str, Query]:
         op8_pii,
         op9_substring_dedup,
         op10_jaccard_join,
+        op11_periodic_runs,
+        op12_bpe_round_trip,
+        op13_token_alignment,
     )
     return {query.__name__: query for query in every}
 
