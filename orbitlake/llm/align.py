@@ -2,9 +2,9 @@
 
 Both tokenizers cut the same bytes, so where a token of each ends at the same byte the text falls into groups. The
 two arrays of token ends are compared at the current shift between their indexes: exponential probing doubles the
-stretch as long as the ends agree and halves it after a difference, so a stretch of one-to-one tokens costs a few block
-comparisons whatever its length. Where the ends differ, the side that lies behind advances until they meet; that group
-is irregular, and the shift changes by the difference of its sizes.
+stretch as long as the ends agree, so a stretch of one-to-one tokens costs a few block comparisons. Where the ends differ, the side that lies behind advances until they meet; that group
+is irregular, and the shift changes by the difference of its sizes. Any common end is a place to start from, so a chunk
+is cut into lanes there, and numpy moves all lanes at once.
 
 Texts are aligned in chunks. A chunk names each of its distinct id pairs once, so the corpus-wide count adds chunks,
 not tokens; the counts come back to the chunk, and its documents look up their links by number.
@@ -28,8 +28,9 @@ from orbitlake.workspace import write_through
 
 #: Text of a chunk. Larger chunks send fewer pairs and take more memory.
 CHUNK_BYTES = 4 << 20
-SLICE_BYTES = 1 << 20
-_WIDTH = 8  # bytes of an end
+SLICE_BYTES, ROW_BYTES = 1 << 20, 64
+#: Tokens of a lane, and the ends a probe compares at first and at most.
+LANE, FIRST_PROBE, LAST_PROBE = 512, 4, 64
 
 
 def pieces_vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -47,111 +48,149 @@ def _pieces(path: str):
     return model, spelled
 
 
-def matched_stretches(a: bytes, b: bytes, width: int = _WIDTH) -> list[tuple[int, int, int, int, bool]]:
-    """Groups of two rising arrays of ends, given as big-endian bytes: (i, j, m, n, regular) are m tokens from i on
-    against n tokens from j on. A regular entry is a stretch of m = n groups of one token each, any other entry is one
-    group. Stops where one side ends."""
-    out: list[tuple[int, int, int, int, bool]] = []
-    i, j, end_a, end_b = 0, 0, len(a) // width, len(b) // width
-    while i < end_a and j < end_b:
-        run, step, growing = 0, 1, True
-        while step:
-            x, y = (i + run) * width, (j + run) * width
-            if i + run + step <= end_a and j + run + step <= end_b and a[x : x + step * width] == b[y : y + step * width]:
-                run += step
-                step = step * 2 if growing else step // 2
-            else:
-                growing, step = False, step // 2
-        if run:
-            out.append((i, j, run, run, True))
-            i, j = i + run, j + run
-            continue
-        m, n = i + 1, j + 1
-        x, y = a[i * width : m * width], b[j * width : n * width]
-        while x != y:
-            if x < y:
-                x = a[m * width : (m + 1) * width]
-                m += 1
-            else:
-                y = b[n * width : (n + 1) * width]
-                n += 1
-            if not x or not y:
-                return out
-        out.append((i, j, m - i, n - j, False))
-        i, j = m, n
-    return out
-
-
-def _ends(ids: list[int], spelled: list[bytes]) -> bytes:
-    return np.cumsum([len(spelled[t]) for t in ids], dtype=np.int64).astype(">i8").tobytes()
-
-
-class _Chunk:
-    """Aligned documents whose id pairs are named together."""
-
-    def __init__(self):
-        self.rows, self.links, self.weight = [], [], 0
-
-    def add(self, text: str | None, a: list[int], b: list[int], spelled_a: list[bytes], spelled_b: list[bytes]) -> None:
-        self.weight += 64 + len(text or "")
-        whole = b" " + text.encode() if text else b""
-        if not text or b"".join([spelled_a[t] for t in a]) != whole or b"".join([spelled_b[t] for t in b]) != whole:
-            self.rows.append((0, 0, 0, None))
-            self.links.append(np.zeros(0, np.int64))
-            return
-        spelt_a, spelt_b, groups, last_a, last_b = list(map(str, a)), list(map(str, b)), [], [], []
-        for i, j, m, n, regular in matched_stretches(_ends(a, spelled_a), _ends(b, spelled_b)):
-            if regular:
-                groups += map("|".join, zip(spelt_a[i : i + m], spelt_b[j : j + m]))
-                last_a += a[i : i + m]
-                last_b += b[j : j + m]
-            else:
-                groups.append(f"{','.join(spelt_a[i : i + m])}|{','.join(spelt_b[j : j + n])}")
-                last_a.append(a[i + m - 1])
-                last_b.append(b[j + n - 1])
-        self.rows.append((len(a), len(b), len(groups), ";".join(groups)))
-        self.links.append((np.array(last_a, np.int64) << 32) | np.array(last_b, np.int64))
-
-    def batch(self, ids: pa.Array, name: int) -> pa.RecordBatch:
-        pairs, place, counts = np.unique(np.concatenate(self.links), return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(x) for x in self.links])
-        place = place.astype("<i4")
-        n_a, n_b, n_groups, groups = zip(*self.rows)
-        rest = len(ids) - 1
-        return pa.record_batch(
-            {
-                "id": ids,
-                "chunk": pa.array(np.full(len(ids), name, np.int64)),
-                "n_a": pa.array(n_a, pa.int64()),
-                "n_b": pa.array(n_b, pa.int64()),
-                "n_groups": pa.array(n_groups, pa.int64()),
-                "groups": pa.array(groups, pa.string()),
-                "links": pa.array([place[e - len(x) : e].tobytes() for e, x in zip(ends, self.links)], pa.binary()),
-                "pairs": pa.array([pairs, *[None] * rest], pa.list_(pa.int64())),
-                "counts": pa.array([counts, *[None] * rest], pa.list_(pa.int64())),
-            }
-        )
+def _lanes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the work may be taken up: indexes behind common ends, at most about ``LANE`` tokens of ``a`` apart
+    where there are any. The first is (0, 0)."""
+    i = np.arange(LANE, len(a), LANE)
+    j = np.searchsorted(b, a[i])
+    live = np.arange(len(i))
+    while len(live):  # whichever side lies behind advances, as within an irregular group
+        live = live[(i[live] < len(a) - 1) & (j[live] < len(b) - 1)]
+        x, y = a[i[live]], b[j[live]]
+        i[live[x < y]] += 1
+        j[live[y < x]] += 1
+        live = live[x != y]
+    found = a[i] == b[np.minimum(j, len(b) - 1)] if len(b) else np.zeros(len(i), bool)
+    i, first = np.unique(i[found] + 1, return_index=True)
+    return np.concatenate([[0], i]), np.concatenate([[0], j[found][first] + 1])
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For two rising arrays of ends: which tokens of each end together with one of the other.
+
+    Many lanes advance at once. Each compares its next ends at its present shift j - i, twice as many after every
+    stretch that agreed to its end; a difference stops the stretch, the lane resolves that group alone, and goes on at
+    the shift that comes of it.
+    """
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    if not len(a) or not len(b):
+        return in_a, in_b
+    i, j = _lanes(a, b)
+    stop = np.append(i[1:], len(a))
+    width = np.full(len(i), FIRST_PROBE)
+    live = np.flatnonzero((i < stop) & (j < len(b)))
+    while len(live):
+        agreed = np.zeros(len(live), np.int64)
+        for size in np.unique(width[live]).tolist():
+            own = np.flatnonzero(width[live] == size)
+            steps = np.arange(size)
+            at_i, at_j = i[live[own], None] + steps, j[live[own], None] + steps
+            inside = (at_i < stop[live[own], None]) & (at_j < len(b))
+            same = (a[np.minimum(at_i, len(a) - 1)] == b[np.minimum(at_j, len(b) - 1)]) & inside
+            whole = same.all(1)
+            agreed[own] = run = np.where(whole, size, same.argmin(1))
+            marked = steps < run[:, None]
+            in_a[at_i[marked]] = True
+            in_b[at_j[marked]] = True
+        i[live] += agreed
+        j[live] += agreed
+        grown = agreed == width[live]
+        width[live] = np.where(grown, np.minimum(2 * width[live], LAST_PROBE), FIRST_PROBE)
+        live = live[(i[live] < stop[live]) & (j[live] < len(b))]
+        own = live[a[i[live]] != b[j[live]]]
+        while len(own):
+            x, y = a[i[own]], b[j[own]]
+            met = x == y
+            in_a[i[own[met]]] = True
+            in_b[j[own[met]]] = True
+            i[own] += x <= y
+            j[own] += y <= x
+            own = own[~met]
+            own = own[(i[own] < stop[own]) & (j[own] < len(b))]
+        live = live[(i[live] < stop[live]) & (j[live] < len(b))]
+    return in_a, in_b
+
+
+class _Speller:
+    """The tokens of both vocabularies: their bytes, and how they are written before a comma or at the end of a group."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.encoder = bpe.encoder(path_a, False)
+        self.model, self.bytes_b = _pieces(path_b)
+        self.bytes_a = self.encoder.bytes_of
+        self.width_a, self.width_b = (np.array([len(x) for x in s], np.int64) for s in (self.bytes_a, self.bytes_b))
+        self.written = [f"{i}{mark}" for n, end in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for mark in (",", end) for i in range(n)]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of every text by both vocabularies; none for a text that either does not spell back."""
+        led = self.encoder.encode([f" {t}" if t else "" for t in texts])
+        out, none = [], np.zeros(0, np.int32)
+        for text, packed, pieces in zip(texts, led, self.model.encode([t or "" for t in texts], num_threads=1)):
+            ids, whole = np.frombuffer(packed, "<i4"), b" " + text.encode() if text else b""
+            good = (
+                text
+                and b"".join(map(self.bytes_b.__getitem__, pieces)) == whole
+                and b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == whole
+            )
+            out.append((ids, np.array(pieces, np.int32)) if good else (none, none))
+        return out
+
+    def written_groups(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[str]:
+        """Every token as written, in the order of the groups: those of ``a``, then those of ``b``."""
+        group_a, group_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        before_b = np.searchsorted(group_b, group_a)  # tokens of b in earlier groups
+        upto_a = np.searchsorted(group_a, group_b, "right")
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + before_b] = a + in_a * len(self.bytes_a)
+        codes[np.arange(len(b)) + upto_a] = 2 * len(self.bytes_a) + b + in_b * len(self.bytes_b)
+        return list(map(self.written.__getitem__, codes.tolist()))
+
+
+def _chunk(speller: _Speller, tokens: list[tuple[np.ndarray, np.ndarray]], ids: pa.Array, name: int) -> pa.RecordBatch:
+    """One row per document, and on the first one the distinct id pairs of all and their counts."""
+    n_a, n_b = (np.array([len(t[side]) for t in tokens]) for side in (0, 1))
+    a, b = (np.concatenate([t[side] for t in tokens]).astype(np.int64) for side in (0, 1))
+    # the texts one after the other: both sides of each end at the same byte
+    in_a, in_b = common_ends(np.cumsum(speller.width_a[a]), np.cumsum(speller.width_b[b]))
+    ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+    links = np.diff(np.concatenate([[0], np.cumsum(in_a)])[np.concatenate([[0], ends_a])])
+    written = speller.written_groups(a, b, in_a, in_b)
+    bounds = np.concatenate([[0], ends_a + ends_b]).tolist()
+    groups = ["".join(written[x:y])[:-1] if y > x else None for x, y in zip(bounds, bounds[1:])]
+    pairs, place, counts = np.unique((a[in_a] << 32) | b[in_b], return_inverse=True, return_counts=True)
+    place, ends = place.astype("<i4"), np.cumsum(links)
+    rest = len(ids) - 1
+    return pa.record_batch(
+        {
+            "id": ids,
+            "chunk": pa.array(np.full(len(ids), name, np.int64)),
+            "n_a": pa.array(n_a, pa.int64()),
+            "n_b": pa.array(n_b, pa.int64()),
+            "n_groups": pa.array(links, pa.int64()),
+            "groups": pa.array(groups, pa.string()),
+            "links": pa.array([place[e - n : e].tobytes() for e, n in zip(ends, links)], pa.binary()),
+            "pairs": pa.array([pairs, *[None] * rest], pa.list_(pa.int64())),
+            "counts": pa.array([counts, *[None] * rest], pa.list_(pa.int64())),
+        }
+    )
 
 
 def _aligned(path_a: str, path_b: str):
     def run(batches):
         from pyspark import TaskContext
 
-        name = TaskContext.get().partitionId() << 32
-        encoder_a, (model_b, spelled_b) = bpe.encoder(path_a, False), _pieces(path_b)
-        chunk, ids = _Chunk(), []
+        name, speller = TaskContext.get().partitionId() << 32, _Speller(path_a, path_b)
+        tokens, ids, weight = [], [], 0
         for batch in batches:
             for at, texts in W.slices(batch["text"], SLICE_BYTES):
-                texts = texts.to_pylist()
-                led = encoder_a.encode([f" {t}" if t else "" for t in texts])
-                for row, (text, a, b) in enumerate(zip(texts, led, model_b.encode(texts, num_threads=1)), at):
-                    chunk.add(text, a, b, encoder_a.bytes_of, spelled_b)
-                    ids.append(batch["id"][row])
-                    if chunk.weight >= CHUNK_BYTES:
-                        yield chunk.batch(pa.array(ids, batch["id"].type), name)
-                        chunk, ids, name = _Chunk(), [], name + 1
+                tokens += speller.encode(texts.to_pylist())
+                ids.append(batch["id"].slice(at, len(texts)))
+                weight += texts.nbytes + ROW_BYTES * len(texts)
+                if weight >= CHUNK_BYTES:
+                    yield _chunk(speller, tokens, pa.concat_arrays(ids), name)
+                    tokens, ids, weight, name = [], [], 0, name + 1
         if ids:
-            yield chunk.batch(pa.array(ids, ids[0].type), name)
+            yield _chunk(speller, tokens, pa.concat_arrays(ids), name)
 
     return run
 

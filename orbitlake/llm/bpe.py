@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,11 @@ from orbitlake.llm import words as W
 
 SLICE_BYTES = 1 << 20
 #: Words a worker keeps encoded, and the longest kept, in characters. Affects speed only.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+KEPT_WORDS, KEPT_LENGTH = 400_000, 40
+#: Words up to so many bytes are merged side by side, longer ones one at a time with a heap.
+SHORT = 40
+_BETWEEN = "\u0100"  # stands between words; no byte
+ID_BYTES = 4
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -64,6 +69,10 @@ def _splitter():
     return regex.compile(public_tokenizers.PATTERN), frozenset(newer)
 
 
+def _packed(ids) -> bytes:
+    return np.asarray(ids, "<i4").tobytes()
+
+
 class Merges:
     """The merge rules as arrays over token ids: ``born`` is the rank of the merge that makes a token (-1: a byte),
     ``left`` and ``right`` are its parts."""
@@ -130,8 +139,7 @@ class Merges:
         """Exact merging: always the pair of least rank, of equal ones the leftmost."""
         rules, n = self.rules, len(tokens)
         tokens, after, before = list(tokens), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*rules[pair], i) for i, pair in enumerate(zip(tokens, tokens[1:])) if pair in rules]
-        heap = [(rank, i, product) for rank, product, i in heap]
+        heap = [(rules[pair][0], i, rules[pair][1]) for i, pair in enumerate(zip(tokens, tokens[1:])) if pair in rules]
         heapq.heapify(heap)
         while heap:
             rank, i, product = heapq.heappop(heap)
@@ -142,21 +150,44 @@ class Merges:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                found = rules.get((product, tokens[k]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, found[1]))
-            h = before[i]
-            if h >= 0:
-                found = rules.get((tokens[h], product))
-                if found:
-                    heapq.heappush(heap, (found[0], h, found[1]))
+            for at, pair in ((i, (product, tokens[k] if k < n else -1)), (before[i], (tokens[before[i]], product))):
+                if at >= 0 and pair in rules:
+                    heapq.heappush(heap, (rules[pair][0], at, rules[pair][1]))
         return [t for t in tokens if t >= 0]
 
+    def merge_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many token rows of one length at once: the merged rows, and how long each still is."""
+        rows, n = rows.astype(np.int64), rows.shape[1]
+        lengths = np.full(len(rows), n)
+        ranks = np.full((len(rows), n), _NEVER)
+        ranks[:, : n - 1] = self.rank(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), n - 1)
+        places, live = np.arange(n), np.arange(len(rows))
+        while len(live):
+            own = ranks[live]
+            at = own.argmin(1)
+            least = own[np.arange(len(live)), at]
+            go = least != _NEVER
+            live, at, least, own = live[go], at[go], least[go], own[go]
+            # everything behind the merged pair moves up by one
+            source = np.minimum(places + (places > at[:, None]), n - 1)
+            row, own = np.take_along_axis(rows[live], source, 1), np.take_along_axis(own, source, 1)
+            each = np.arange(len(live))
+            row[each, at] = self.made[least]
+            lengths[live] -= 1
+            last = lengths[live] - 1
+            own[each, last] = _NEVER
+            left, right = at > 0, at < last
+            own[each[left], at[left] - 1] = self.rank(row[each[left], at[left] - 1], row[each[left], at[left]])
+            own[each[right], at[right]] = self.rank(row[each[right], at[right]], row[each[right], at[right] + 1])
+            rows[live], ranks[live] = row, own
+        return rows, lengths
+
 
 class Encoder:
     """Reads the vocabulary file. ``special``: spellings of added tokens in a text are those tokens."""
 
     def __init__(self, path: str, special: bool = True):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as source:
@@ -172,19 +203,19 @@ class Encoder:
         self.merges = Merges(ids, [(bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in pairs])
         self.ids_of_bytes = [ids[bytes([b])] for b in range(256)]
         stable = self.merges.stable
-        self.proposed = {piece: i for piece, i in ids.items() if stable[i]}
-        #: Longest proposed token by its first two bytes.
-        self.reach: dict[bytes, int] = {}
-        for piece in self.proposed:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+        self.proposed = ahocorasick.Automaton()
+        for piece, i in ids.items():
+            if stable[i]:
+                self.proposed.add_word(piece.decode("latin-1"), i)
+        self.proposed.make_automaton()
         size = max([*ids.values(), *added.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for piece, i in [*ids.items(), *((t.encode(), i) for t, i in added.items())]:
             self.bytes_of[i] = piece
-        self.added = added if special else {}
+        self.added = {t: _packed([i]) for t, i in added.items()} if special else {}
         spelled = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.added_pattern = regex.compile(f"({spelled})") if spelled else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = dict(self.added)
         self._library = (path, None)
 
     def split(self, text: str) -> list[str]:
@@ -200,72 +231,79 @@ class Encoder:
             self._library = (path, library)
         return [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        whole = self.proposed.get(word)
-        if whole is not None:
-            return [whole]
-        proposed, reach, out, at = self.proposed, self.reach, [], 0
-        while at < len(word):
-            end = at + min(reach.get(word[at : at + 2], 1), len(word) - at)
-            while (token := proposed.get(word[at:end])) is None:
-                end -= 1
-            out.append(token)
-            at = end
+    def words(self, text: str) -> list[str]:
+        """The words of a text and the added tokens between them. No word is spelled like an added token, as texts are
+        cut at those first."""
+        parts = [text] if self.added_pattern is None else self.added_pattern.split(text)
+        if len(parts) == 1:
+            return self.split(text)
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.split(part))]
+
+    def propose(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The greedy longest matches of all given words, one after the other, and which word each belongs to."""
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        joined = _BETWEEN.join([r.decode("latin-1") for r in raw])
+        found = np.fromiter(chain.from_iterable(self.proposed.iter_long(joined) if joined else ()), np.int64).reshape(-1, 2)
+        return found[:, 1], np.searchsorted(ends, found[:, 0], "right")
+
+    def merge_words(self, raw: list[bytes]) -> list[bytes]:
+        """The packed ids of words by exact merging."""
+        out = [b""] * len(raw)
+        of_byte, sizes = np.array(self.ids_of_bytes), np.array([len(r) for r in raw], np.int64)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size).tolist()
+            if size > SHORT:
+                for i in own:
+                    out[i] = _packed(self.merges.merge(of_byte[np.frombuffer(raw[i], np.uint8)].tolist()))
+                continue
+            data = np.frombuffer(b"".join([raw[i] for i in own]), np.uint8).reshape(-1, size)
+            rows, lengths = self.merges.merge_rows(of_byte[data])
+            packed, width = _packed(rows.ravel()), ID_BYTES * size
+            for i, at, length in zip(own, range(0, len(packed), width), (ID_BYTES * lengths).tolist()):
+                out[i] = packed[at : at + length]
         return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of every given word."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of every given word."""
         raw = [w.encode() for w in words]
-        guesses = [self.propose(r) for r in raw]
-        lengths = np.array([len(g) for g in guesses], np.int64)
-        flat = np.array([t for g in guesses for t in g], np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
+        flat, word = self.propose(raw)
         seam = np.flatnonzero(word[1:] == word[:-1])
         if self.merges.ordered:
             seam = seam[~self.merges.compatible(flat[seam], flat[seam + 1])]
-        for failing in np.unique(word[seam]).tolist():
-            guesses[failing] = self.merges.merge([self.ids_of_bytes[b] for b in raw[failing]])
-        return [tuple(g) for g in guesses]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of every text."""
-        cut = []  # per text its words, and for each added token its id
-        for text in texts:
-            parts = [text] if self.added_pattern is None else self.added_pattern.split(text)
-            cut.append([w for i, part in enumerate(parts) for w in ([self.added[part]] if i % 2 else self.split(part) if part else [])])
+        packed, bounds = _packed(flat), (ID_BYTES * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        out = [packed[a:b] for a, b in zip(bounds, bounds[1:])]
+        failing = np.unique(word[seam]).tolist()
+        for i, ids in zip(failing, self.merge_words([raw[i] for i in failing])):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, packed as little-endian 32-bit numbers."""
+        cut = [self.words(text) if text else [] for text in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
+            self.known = dict(self.added)
         known = self.known
-        new = [w for w in {w for words in cut for w in words if w not in known} if isinstance(w, str)]
-        found = dict(zip(new, self.encode_words(new)))
-        known |= {w: ids for w, ids in found.items() if len(w) <= KEPT_LENGTH}
-        long = {w: ids for w, ids in found.items() if len(w) > KEPT_LENGTH}
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                if w.__class__ is int:
-                    ids.append(w)
-                else:
-                    ids += known[w] if len(w) <= KEPT_LENGTH else long[w]
-            out.append(ids)
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, self.encode_words(new)))
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del known[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, ids outside the vocabulary nothing."""
         table, size = self.bytes_of, len(self.bytes_of)
-        try:
-            return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-        except IndexError:
-            return b"".join([table[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= size):
+            ids = [i for i in ids if 0 <= i < size]
+        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def list_array(lists: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def list_array(packed: list[bytes]) -> pa.Array:
+    """Packed ids as an array of lists."""
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(x) // ID_BYTES for x in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def encode(docs: DataFrame, path: str | None = None, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +342,9 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
             at, ids = 0, batch["ids"]
             while at < len(ids):
                 part = ids.slice(at, 200)
-                texts = [use.decode([i for i in row if i is not None] if row else []) for row in part.to_pylist()]
+                bounds, flat = part.offsets.to_numpy(), part.values
+                flat = (flat.fill_null(-1) if flat.null_count else flat).to_numpy()
+                texts = [use.decode(flat[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.record_batch({"id": batch["id"].slice(at, 200), "ids": part, "text": pa.array(texts, pa.string())})
                 at += 200
 
