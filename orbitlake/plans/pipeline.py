@@ -44,7 +44,13 @@ def parse_landing(snapshots: dict[str, DataFrame]) -> tuple[dict[str, DataFrame]
 
 
 def build(warehouse: Warehouse, staging: dict[str, DataFrame], as_of: dt.date) -> Star:
-    """Dimensions and facts from staging. Running it again with the same staging and day changes nothing."""
+    """Dimensions and facts from staging, published together. Running it again with the same staging and day changes
+    nothing."""
+    with warehouse.transaction():
+        return _build(warehouse, staging, as_of)
+
+
+def _build(warehouse: Warehouse, staging: dict[str, DataFrame], as_of: dt.date) -> Star:
     spark = warehouse.spark
     gp, reg, launch = (staging[name] for name in STAGING)
 
@@ -107,13 +113,22 @@ def star(warehouse: Warehouse, sources, bands, operators, objects, staging: dict
     )
 
 
-def open_star(spark: SparkSession, root: str) -> Star:
-    """The reports' tables of an existing warehouse."""
-    warehouse = Warehouse(spark, root)
+def open_star(spark: SparkSession, root: str, commit: int | None = None) -> Star:
+    """The reports' tables of an existing warehouse, all as of one commit, by default the newest."""
+    warehouse = Warehouse(spark, root).at(commit)
     dims = (warehouse.snapshot(t) for t in ("dim_source", "dim_orbit_band", "dim_operator", "dim_space_object"))
     return star(warehouse, *dims, {name: warehouse.snapshot(name) for name in STAGING})
 
 
+def _parse_day(
+    spark: SparkSession, landing_folder: str, as_of: dt.date, feeds: DataFrame | None, archive_folder: str | None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    snapshots = landing.read_day(spark, landing_folder, as_of, feeds, unknown=archive_folder is not None)
+    if archive_folder:
+        landing.write_archive(reduce(DataFrame.unionByName, snapshots.values()), archive_folder)
+    return parse_landing(snapshots)
+
+
 def run(
     spark: SparkSession,
     landing_folder: str,
@@ -122,29 +137,36 @@ def run(
     on_error: str = "fail",
     export_folder: str | None = None,
     feeds: DataFrame | None = None,
+    archive_folder: str | None = None,
 ) -> Star:
     """One whole run over the newest files of a landing folder: of every source those of its last day up to ``as_of``.
 
-    ``on_error="fail"`` stops before anything is published when a file is broken; ``"skip"`` goes on without
-    it (the rejects table says what was left out). ``export_folder`` also writes the staging CSV files.
+    All tables of the run are published by one commit at its end. ``on_error="fail"`` stops before that when a file is
+    broken; ``"skip"`` goes on without it (the rejects table says what was left out). ``export_folder`` also writes the
+    staging CSV files. ``archive_folder`` keeps the run's files as they are, before they are parsed, and those of
+    unknown feeds with them.
     """
-    staging, rejected = parse_landing(landing.read_day(spark, landing_folder, as_of, feeds))
+    staging, rejected = _parse_day(spark, landing_folder, as_of, feeds, archive_folder)
     broken = rejected.where(F.col("reason").isin(_BROKEN))
     if on_error == "fail" and not broken.isEmpty():
         raise ValueError(f"broken landing file: {broken.first().path}")
 
     warehouse = Warehouse(spark, root)
-    warehouse.replace("rejects", rejected)
-    published = {name: warehouse.replace(name, staging[name]) for name in STAGING}
-    if export_folder:
-        for name, table in published.items():
-            staging_csv.write_staging(table, export_folder, name, as_of)
-    return build(warehouse, published, as_of)
-
-
-def stage_only(spark: SparkSession, landing_folder: str, export_folder: str, run_date: dt.date) -> DataFrame:
-    """The tolerant variant: parse what can be parsed, write the staging files, return the rejects."""
-    staging, rejected = parse_landing(landing.read_day(spark, landing_folder, run_date))
+    with warehouse.transaction():
+        warehouse.replace("rejects", rejected)
+        published = {name: warehouse.replace(name, staging[name]) for name in STAGING}
+        if export_folder:
+            for name, table in published.items():
+                staging_csv.write_staging(table, export_folder, name, as_of)
+        return build(warehouse, published, as_of)
+
+
+def stage_only(
+    spark: SparkSession, landing_folder: str, export_folder: str, run_date: dt.date, archive_folder: str | None = None
+) -> DataFrame:
+    """The tolerant variant: parse what can be parsed, write the staging files, return the rejects. One source's broken
+    files stop no other source; ``archive_folder`` as in :func:`run`."""
+    staging, rejected = _parse_day(spark, landing_folder, run_date, None, archive_folder)
     for name, table in staging.items():
         staging_csv.write_staging(table, export_folder, name, run_date)
     return rejected

@@ -57,10 +57,12 @@ def read_snapshots(spark: SparkSession, landing: str, feeds: DataFrame | None =
     return with_feed(files, feed_table(spark) if feeds is None else feeds).drop("modified")
 
 
-def files_of_day(spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None) -> DataFrame:
+def files_of_day(
+    spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None, unknown: bool = False
+) -> DataFrame:
     """(path, kind) of the files a run of the day ``as_of`` stages: of every source those of its newest day up to then,
     so that a feed without a new file keeps its last one. Files without a time in their name count as of the day.
-    Lists files without reading them.
+    ``unknown``: also those of feeds that are not configured, with a NULL kind. Lists files without reading them.
     """
     files = (
         spark.read.format("binaryFile")
@@ -68,17 +70,21 @@ def files_of_day(spark: SparkSession, landing: str, as_of: dt.date, feeds: DataF
         .load(landing)
         .select("path", F.lit(as_of).cast("timestamp").alias("modified"))
     )
-    known = with_feed(files, feed_table(spark) if feeds is None else feeds).where(F.col("kind").isNotNull())
+    known = with_feed(files, feed_table(spark) if feeds is None else feeds)
+    known = known if unknown else known.where(F.col("kind").isNotNull())
     dated = known.withColumn("_day", F.to_date("downloaded_at")).where(F.col("_day") <= F.lit(as_of))
     newest = dated.groupBy(F.col("source_name").alias("_source")).agg(F.max("_day").alias("_newest"))
     chosen = (F.col("source_name") == F.col("_source")) & (F.col("_day") == F.col("_newest"))
     return dated.join(newest, chosen, "left_semi").select("path", "kind").distinct()
 
 
-def read_day(spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The day's snapshots by kind, with binary content; each kind's scan lists only its own files."""
+def read_day(
+    spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None, unknown: bool = False
+) -> dict[str | None, DataFrame]:
+    """The day's snapshots by kind, with binary content; each kind's scan lists only its own files. ``unknown`` as in
+    ``files_of_day``."""
     paths: dict[str, list[str]] = {kind: [] for kind in (K.GP, K.REGISTRY, K.LAUNCHES)}
-    for row in files_of_day(spark, landing, as_of, feeds).toLocalIterator():
+    for row in files_of_day(spark, landing, as_of, feeds, unknown).toLocalIterator():
         paths.setdefault(row.kind, []).append(row.path)
     nothing = spark.createDataFrame([], "path string, content binary, modified timestamp")
 

@@ -4,12 +4,13 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.plans import analytics as A
 from orbitlake.plans import pipeline
-from orbitlake.plans.warehouse import Warehouse
+from orbitlake.plans.warehouse import CommitLog, Conflict, Warehouse
 from orbitlake.sources import landing, staging_csv
 from orbitlake.streaming import incremental
 from tests.test_sources import workbook
@@ -115,6 +116,81 @@ def test_a_run_stages_the_newest_day_of_every_source(spark, tmp_path, landing_fo
     assert sorted(r.norad_id for r in star.objects.where("norad_id is not null").collect()) == [1, 4]
 
 
+def test_a_run_is_published_whole_or_not_at_all(spark, tmp_path, landing_folder, monkeypatch):
+    """Whatever write a run dies after: what readers saw before every single write is the warehouse of the last run."""
+    root, seen = str(tmp_path / "warehouse"), []
+    pipeline.run(spark, str(landing_folder), root, AS_OF)
+    before, first = state(Warehouse(spark, root)), Warehouse(spark, root).manifest
+    land(landing_folder, "celestrak-geo", [element(1, "2024-03-10T06:00:00")], stamp="20240401T040000000Z")
+    write = DataFrameWriter.parquet
+
+    def watched(self, path, *args, **kwargs):
+        if str(path).startswith(root):
+            seen.append(Warehouse(spark, root).manifest == first)
+        return write(self, path, *args, **kwargs)
+
+    def refused(self, manifest):
+        raise OSError("killed before the commit")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", watched)
+        patch.setattr(CommitLog, "put", refused)
+        with pytest.raises(OSError, match="killed"):
+            pipeline.run(spark, str(landing_folder), root, AS_OF + dt.timedelta(days=1))
+    # everything was written, and nothing of it is seen
+    assert len(seen) >= 11 and all(seen) and state(Warehouse(spark, root)) == before
+    assert pipeline.open_star(spark, root).stg_gp.count() == 3
+
+    pipeline.run(spark, str(landing_folder), root, AS_OF + dt.timedelta(days=1))
+    warehouse = Warehouse(spark, root)
+    assert warehouse.manifest.number == first.number + 1 == 2 and warehouse.real_observations().count() == 4
+    assert pipeline.open_star(spark, root).stg_gp.count() == 4
+    old = pipeline.open_star(spark, root, commit=1)
+    assert state(warehouse.at(1)) == before and old.stg_gp.count() == 3
+
+
+def test_transactions(spark, tmp_path):
+    warehouse, other = (Warehouse(spark, str(tmp_path / "warehouse")) for _ in range(2))
+    rows = spark.range(3).withColumnRenamed("id", "n")
+    assert warehouse.manifest.number == 0 and warehouse.snapshot("t", rows.schema).count() == 0
+    with warehouse.transaction():
+        assert warehouse.replace("t", rows).count() == 3
+        with warehouse.transaction():
+            warehouse.replace("u", rows)
+        assert warehouse.snapshot("u", rows.schema).count() == 3
+        assert other.snapshot("t", rows.schema).count() == 0
+    assert other.snapshot("t", rows.schema).count() == 3 and other.manifest.number == 1
+    with pytest.raises(Conflict):
+        with warehouse.transaction():
+            warehouse.replace("t", rows.limit(1))
+            other.replace("t", rows.limit(2))
+    assert warehouse.snapshot("t", rows.schema).count() == 2 and warehouse.log.numbers() == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        with warehouse.transaction():
+            warehouse.replace("t", rows.limit(1))
+            1 / 0
+    assert warehouse.snapshot("t", rows.schema).count() == 2 and warehouse.manifest.number == 2
+    with warehouse.transaction():
+        pass
+    assert warehouse.log.numbers() == [1, 2]
+    with pytest.raises(RuntimeError, match="pinned"):
+        warehouse.at(1).replace("t", rows)
+    assert not [p.name for p in (tmp_path / "warehouse" / "_commits").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_a_run_archives_its_files(spark, tmp_path, landing_folder):
+    archive = str(tmp_path / "archive")
+    land(landing_folder, "celestrak-stations", "oops")
+    for _ in range(2):
+        pipeline.stage_only(spark, str(landing_folder), str(tmp_path / "out"), AS_OF, archive_folder=archive)
+    kept = {r.source_name: r for r in spark.read.parquet(archive).collect()}
+    assert len(kept) == 6 == len(spark.read.parquet(archive).select("path").collect()) - 1  # two registry files
+    assert kept["somebody-else"].kind is None and bytes(kept["somebody-else"].content) == b"ignored"
+    assert bytes(kept["celestrak-stations"].content) == b"oops"
+    pipeline.run(spark, str(landing_folder), str(tmp_path / "warehouse"), AS_OF, on_error="skip", archive_folder=archive)
+    assert spark.read.parquet(archive).count() == 7
+
+
 def test_a_broken_workbook_stays_one_reject(spark, tmp_path, landing_folder):
     land(landing_folder, "ucs-satellite-database", b"PK\x03\x04 and nothing more", stamp="20240331T040002000Z", extension="xlsx")
     with pytest.raises(ValueError, match="ucs-satellite-database"):
