@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.functions import tle as T
 from orbitlake.functions.lenient import lenient_double, lenient_int, trimmed, without_mark
+from orbitlake.sources import landing, lines
 from orbitlake.sources.rows import NOTHING, computed_once, rejected
 
 
@@ -17,11 +18,32 @@ def _framed(snapshots: DataFrame, pattern: str) -> DataFrame:
     records = found.select(
         "path", "source_name", "downloaded_at", F.posexplode_outer("_records").alias("record_no", "_record")
     )
-    lines = F.split(F.col("_record"), "\n")
+    parts = F.split(F.col("_record"), "\n")
     return computed_once(
         records,
         ["path", "source_name", "downloaded_at", "record_no"],
-        {"name": trimmed(lines[0]), "line1": F.rtrim(lines[1]), "line2": F.rtrim(lines[2])},
+        {"name": trimmed(parts[0]), "line1": F.rtrim(parts[1]), "line2": F.rtrim(parts[2])},
+    )
+
+
+def framed_lines(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    """The records of text files as ``_framed`` finds them, without ever holding a file: read in splits, framed by line.
+
+    A record is three lines in a row. Two records that overlap share the second one's name line, which is the first
+    one's last: of such a chain, left to right, every other record stands. ``record_no`` is the number of the name line.
+    """
+    triples = lines.with_next(lines.read_lines(spark, paths), 2)
+    likely = F.col("next_1").startswith("1 ") & F.col("next_2").startswith("2 ")
+    whole = F.regexp_extract(F.concat_ws("\n", "line", "next_1", "next_2"), pattern, 0) != ""
+    records = lines.alternate(triples.where(likely).where(whole), 2)
+    return records.select(
+        "path",
+        landing.source_of(F.col("path")).alias("source_name"),
+        landing.downloaded_at(F.col("path"), F.col("modified")).alias("downloaded_at"),
+        F.col("line_no").alias("record_no"),
+        trimmed(F.col("line")).alias("name"),
+        F.rtrim("next_1").alias("line1"),
+        F.rtrim("next_2").alias("line2"),
     )
 
 
@@ -33,9 +55,8 @@ def _field2(name: str) -> Column:
     return T.field(F.col("line2"), T.LINE_2_FIELDS[name])
 
 
-def _read(snapshots: DataFrame, pattern: str, fields: dict[str, Column], numbers: list[str]) -> DataFrame:
+def _read(framed: DataFrame, fields: dict[str, Column], numbers: list[str]) -> DataFrame:
     """One row per record; a number that is none makes the record a reject."""
-    framed = _framed(snapshots, pattern)
     parsed = computed_once(framed, framed.columns, fields)
     malformed = F.lit(False)
     for n in numbers:
@@ -47,6 +68,15 @@ def _read(snapshots: DataFrame, pattern: str, fields: dict[str, Column], numbers
 
 def parse_tle(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Element sets with orbit measures and epoch, and records with malformed numbers."""
+    return _elements(_framed(snapshots, T.FULL_RECORD))
+
+
+def parse_tle_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``parse_tle`` of text files, read in splits: a large file is many tasks."""
+    return _elements(framed_lines(spark, paths, T.FULL_RECORD))
+
+
+def _elements(framed: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = {
         "object_name": F.col("name"),
         "norad_id": lenient_int(_field1("norad_id")),
@@ -59,13 +89,22 @@ def parse_tle(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
         "mean_motion": lenient_double(_field2("mean_motion")),
     }
     numbers = ["norad_id", "epoch_year", "epoch_day", "inclination_deg", "eccentricity", "mean_motion"]
-    rows = _read(snapshots, T.FULL_RECORD, fields, numbers)
+    rows = _read(framed, fields, numbers)
     kept = rows.where(F.col("reason").isNull()).drop("reason", "detail", "name")
     return kept.withColumn("epoch", T.epoch(F.col("epoch_year"), F.col("epoch_day"))), rejected(rows)
 
 
 def parse_tle_catalogue(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalogue variant: only the ids and the epoch numbers, the designator in parts, a short line 2 allowed."""
+    return _catalogue(_framed(snapshots, T.CATALOGUE_RECORD))
+
+
+def parse_tle_catalogue_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``parse_tle_catalogue`` of text files, read in splits."""
+    return _catalogue(framed_lines(spark, paths, T.CATALOGUE_RECORD))
+
+
+def _catalogue(framed: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = {
         "satellite_name": F.col("name"),
         "norad_id": lenient_int(_field1("norad_id")),
@@ -77,7 +116,7 @@ def parse_tle_catalogue(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
         "epoch_day": lenient_double(_field1("epoch_day")),
     }
     numbers = ["norad_id", "designator_year", "designator_launch_number", "epoch_year", "epoch_day"]
-    rows = _read(snapshots, T.CATALOGUE_RECORD, fields, numbers)
+    rows = _read(framed, fields, numbers)
     return rows.where(F.col("reason").isNull()).drop("reason", "detail", "name"), rejected(rows)
 
 

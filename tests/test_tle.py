@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orbitlake import schemas
 from orbitlake.functions import tle as T
+from orbitlake.sources import lines as lines_of
 from orbitlake.sources import tle
 
 L1 = "1 {id}U 98067A   {yy}{day}  .00000023  00000-0"
@@ -106,3 +108,73 @@ def test_stage_columns(spark):
     stage = tle.tle_stage(good)
     assert stage.columns == schemas.STG_TLE.names
     assert stage.first().DOWNLOADED_AT_UTC == "2024-01-02T00:00:00.0000000Z"
+
+
+def framed_files(spark, folder, pattern):
+    rows = tle.framed_lines(spark, str(folder), pattern).select("path", "record_no", "name", "line1", "line2").collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.record_no)):
+        found.setdefault(r.path.rsplit("/", 1)[1], []).append((r.name, r.line1, r.line2))
+    return found
+
+
+@pytest.fixture
+def small_blocks(spark, monkeypatch):
+    """Text scans in blocks of a given number of bytes; the tables written after that are read as ever."""
+    own = lines_of.read_lines
+
+    def cut(size):
+        def read_lines(session, paths):
+            session.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            session.conf.set("spark.sql.files.openCostInBytes", "0")
+            try:
+                return own(session, paths)
+            finally:
+                session.conf.unset("spark.sql.files.maxPartitionBytes")
+                session.conf.unset("spark.sql.files.openCostInBytes")
+
+        monkeypatch.setattr(lines_of, "read_lines", read_lines)
+
+    return cut
+
+
+@pytest.mark.parametrize("block", [150, 900])
+def test_framing_in_splits_equals_sequential_scan(spark, tmp_path, small_blocks, block):
+    """Blocks of two lines and of some fifteen; chains of overlapping records that run over many blocks."""
+    chance = random.Random(block)
+    files = {f"r{i}.txt": [chance.choice(PIECES) for _ in range(chance.randrange(0, 60))] for i in range(6)}
+    files["chains.txt"] = [x for k in (1, 2, 7, 20) for x in ["N", *[line1(), line2()] * k, "", "M"]]
+    files["odd.txt"] = ["N"] + [line1(), line2()] * 9 + [line1("00007"), line2("00007")] * 9
+    files["empty.txt"] = []
+    for i, (name, lines) in enumerate(files.items()):
+        (tmp_path / name).write_bytes(("\r\n", "\n", "\r")[i % 3].join(lines).encode())
+    (tmp_path / "marked.txt").write_text("\ufeffISS\n" + line1() + "\n" + line2())
+    files["marked.txt"] = ["ISS", line1(), line2()]
+    small_blocks(block)
+    pattern, shortest = ((T.FULL_RECORD, 63), (T.CATALOGUE_RECORD, 7))[block == 900]
+    got = framed_files(spark, tmp_path, pattern)
+    for name, lines in files.items():
+        assert got.get(name, []) == scan(lines, shortest), name
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path, small_blocks):
+    (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(500)))
+    small_blocks(100)
+    rows = lines_of.with_next(lines_of.read_lines(spark, str(tmp_path)), 2).collect()
+    assert len({r.block for r in rows}) > 10
+    assert sorted((r.line_no, int(r.line)) for r in rows) == [(i, i) for i in range(500)]
+    number = lambda x: None if x is None else int(x)
+    assert all(number(r.next_1) == (i if (i := r.line_no + 1) < 500 else None) for r in rows)
+    assert all(number(r.next_2) == (i if (i := r.line_no + 2) < 500 else None) for r in rows)
+
+
+def test_elements_of_files(spark, tmp_path):
+    text = "\n".join(["A", line1(yy="xx"), line2(), "B", line1(), line2()])
+    (tmp_path / "20240102T000000000Z_tle-a.txt").write_text(text)
+    good, bad = tle.parse_tle_files(spark, str(tmp_path))
+    same, wrong = tle.parse_tle(snapshots(spark, text))
+    columns = [c for c in same.columns if c not in ("path", "record_no")]
+    assert good.select(columns).collect() == same.select(columns).collect()
+    assert bad.select("source_name", "reason", "detail").collect() == wrong.select("source_name", "reason", "detail").collect()
+    rows = tle.parse_tle_catalogue_files(spark, str(tmp_path))[0].collect()
+    assert [r.satellite_name for r in rows] == ["B"]
