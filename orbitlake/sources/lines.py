@@ -15,11 +15,13 @@ from orbitlake.workspace import write_through
 BYTE_ORDER_MARK = "﻿"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = None) -> DataFrame:
     """(path, modified, block, line_no, line): every line with its number in its file, from 0. A line ends at a line
-    feed, a carriage return or both. An empty file has no lines. Written once, as the order within a block is the scan's.
+    feed, a carriage return or both, or at ``ends`` only. An empty file has no lines. Written once, as the order within
+    a block is the scan's.
     """
-    scan = spark.read.option("recursiveFileLookup", True).text(paths)
+    reader = spark.read.option("recursiveFileLookup", True)
+    scan = (reader.option("lineSep", ends) if ends else reader).text(paths)
     lines = scan.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
@@ -78,3 +80,47 @@ def alternate(rows: DataFrame, step: int) -> DataFrame:
     moved = chained.join(shifts, piece, "left")
     taken = (F.col("_nth") + F.coalesce("_shift", F.lit(0))) % 2 == 0
     return moved.where(taken).select(*rows.columns)
+
+
+def states(lines: DataFrame, of_outside: str, of_inside: str) -> DataFrame:
+    """``lines`` with ``inside_before`` and ``inside_after`` (0 or 1), the state of a two-state automaton around each line.
+
+    The columns ``of_outside`` and ``of_inside`` say where a line leads from either state. Such a function is constant,
+    leaves the state alone or swaps it, so the state is the last constant plus the swaps since, modulo two. Blocks are
+    composed the same way: only one function a block meets those of its file's other blocks.
+    """
+    swaps = (F.col(of_outside) == 1) & (F.col(of_inside) == 0)
+    constant = F.col(of_outside) == F.col(of_inside)
+    within = Window.partitionBy("path", "block").orderBy("line_no")
+    sofar = within.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_swaps", F.sum(F.when(swaps, 1).otherwise(0)).over(sofar))
+    lines = lines.withColumn("_anchor", F.last(F.when(constant, F.col(of_outside) + F.col("_swaps")), ignorenulls=True).over(sofar))
+    blocks = lines.groupBy("path", "block").agg(F.max_by(F.struct("_swaps", "_anchor"), "line_no").alias("_all"))
+    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_total", F.sum("_all._swaps").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    anchored = F.when(F.col("_all._anchor").isNotNull(), F.col("_all._anchor") + F.col("_all._swaps") + F.col("_total"))
+    blocks = blocks.withColumn("_block_anchor", anchored)
+    before = F.coalesce(F.last("_block_anchor", ignorenulls=True).over(upto), F.lit(0)) + F.coalesce(F.sum("_all._swaps").over(upto), F.lit(0))
+    blocks = blocks.select("path", "block", (before % 2).cast("int").alias("_enters"))
+    lines = lines.join(blocks, ["path", "block"])
+    after = ((F.coalesce("_anchor", "_enters") + F.col("_swaps")) % 2).cast("int")
+    lines = lines.withColumn("inside_after", after)
+    lines = lines.withColumn("inside_before", F.coalesce(F.lag("inside_after").over(within), F.col("_enters")))
+    return lines.drop("_swaps", "_anchor", "_enters")
+
+
+def chunks(lines: DataFrame, starts: str) -> DataFrame:
+    """(path, line_no, text): lines joined from each one that ``starts`` a chunk up to the next such line of the file.
+
+    Only chunks of several lines are gathered; ``alone`` says which lines are chunks by themselves.
+    """
+    within = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("_chunk", F.last(F.when(F.col(starts), F.col("line_no")), ignorenulls=True).over(within))
+    lasts = marked.groupBy("path", "block").agg(F.max("_chunk").alias("_last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("path", "block", F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_open"))
+    marked = marked.join(lasts, ["path", "block"]).withColumn("_chunk", F.coalesce("_chunk", "_open"))
+    alone = marked.where("alone").select("path", "line_no", F.col("line").alias("text"))
+    parts = marked.where("NOT alone").groupBy("path", "_chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_parts"))
+    joined = parts.select("path", F.col("_chunk").alias("line_no"), F.array_join(F.col("_parts.line"), "\n").alias("text"))
+    return alone.unionByName(joined)

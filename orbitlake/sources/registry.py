@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.functions.lenient import WHITE_SPACE, is_blank, lenient_date, lenient_int, trimmed, without_mark
 from orbitlake.functions.naming import normalised_header
+from orbitlake.sources import landing
+from orbitlake.sources import lines as L
 from orbitlake.sources.rows import NOTHING, computed_once, split
+from orbitlake.workspace import write_through
 
 # Separators in order of preference when equally frequent
 SEPARATORS = ["\t", ";", ","]
@@ -147,6 +150,12 @@ def read_registry(snapshots: DataFrame) -> DataFrame:
         *keep, "sep", *_AT, problem.alias("_file_problem"), F.when(~is_table, F.col("_preview")).alias("_preview"),
         F.posexplode_outer("_records").alias("record_no", "_record"),
     )
+    return _rows(exploded)
+
+
+def _rows(exploded: DataFrame) -> DataFrame:
+    """Staging rows and problems of records; record 0 of a file is its header."""
+    keep = ["path", "source_name", "downloaded_at"]
     is_header = F.coalesce(F.col("record_no") == 0, F.lit(False))
     rows = computed_once(
         exploded,
@@ -159,6 +168,63 @@ def read_registry(snapshots: DataFrame) -> DataFrame:
     return _resolve(rows)
 
 
+def _quote_states(line: Column, sep: Column) -> dict[str, Column]:
+    """Where a line leads: 1 if it ends within quotes, when it begins outside of them and when it begins within."""
+    text, whole = r'[^"]*+(?:""[^"]*+)*+', {}
+
+    def ends_inside(s: str) -> str:
+        plain = rf"[^{s}\r\n]*+"
+        field = rf'(?: *+"{text}"{plain}|(?! *"){plain})'
+        return rf'(?:{field}[{s}\r])*+ *+"{text}$'
+
+    whole["_of_outside"] = _by_separator(sep, lambda s: line.rlike(rf"^{ends_inside(s)}"))
+    closed = _by_separator(sep, lambda s: line.rlike(rf'^{text}"[^{s}\r\n]*+[{s}\r]{ends_inside(s)}'))
+    whole["_of_inside"] = closed | line.rlike(rf"^{text}$")
+    return {name: F.coalesce(c, F.lit(False)).cast("int") for name, c in whole.items()}
+
+
+def read_registry_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``read_registry`` of delimited files, read in splits: a file of any size is many tasks.
+
+    A record may run over line ends within quotes, so which lines begin a record depends on all lines before: every
+    line is a function of "within quotes or not", and the functions are composed over blocks. From a quote that never
+    closes on, lines stand for themselves. A file without a byte has no lines, and gives no reject either.
+    """
+    lines = L.read_lines(spark, paths, ends="\n")
+    firsts = lines.where("line_no = 0").select("path", "modified", first_line(F.col("line")).alias("_preview"))
+    kinds = computed_once(firsts, ["path", "modified", "_preview"], {"_kind": container(F.col("_preview")), "sep": separator(F.col("_preview"))})
+    kinds = write_through(kinds, "registry-files")
+    tables = lines.drop("modified").join(kinds.where("_kind = 'table'").select("path", "sep"), "path")
+    stated = L.states(tables.withColumns(_quote_states(F.col("line"), F.col("sep"))), "_of_outside", "_of_inside")
+    stated = write_through(stated, "registry-lines")
+    # the line on which the last quote was opened, of files that end within it
+    before, after = F.col("inside_before") == 1, F.col("inside_after") == 1
+    opens = after & (~before | ~F.col("line").rlike(r'^[^"]*+(?:""[^"]*+)*+$'))
+    ends = stated.groupBy("path").agg(F.max_by("inside_after", "line_no").alias("_ends_inside"), F.max(F.when(opens, F.col("line_no"))).alias("_opened"))
+    ends = ends.where("_ends_inside = 1").select("path", "_opened")
+    stated = stated.join(ends, "path", "left")
+    loose = F.coalesce(F.col("line_no") > F.col("_opened"), F.lit(False))
+    last_open = F.coalesce(F.col("line_no") == F.col("_opened"), F.lit(False))
+    stated = stated.withColumns({"_starts": ~before | loose, "alone": loose | (~before & (~after | last_open))})
+    texts = L.chunks(stated.select("path", "block", "line_no", "line", "_starts", "alone"), "_starts").join(kinds, "path")
+    found = texts.select("path", "modified", "sep", "line_no", F.posexplode(split_records(F.col("text"), F.col("sep"))).alias("_nth", "_record"))
+    found = write_through(found, "registry-records")
+    headers = found.groupBy("path").agg(F.min_by(F.struct("line_no", "_nth", "_record", "sep"), F.struct("line_no", "_nth")).alias("_head"))
+    header = F.transform(split_fields(F.col("_head._record"), F.col("_head.sep")), normalised_header)
+    headed = computed_once(headers, ["path", "_head"], {"headers": header})
+    placed = computed_once(headed, ["path", F.struct("_head.line_no", "_head._nth").alias("_first")], _positions(F.col("headers")))
+    record_no = F.when(F.struct("line_no", "_nth") == F.col("_first"), 0).otherwise(1)
+    named = {"source_name": landing.source_of(F.col("path")), "downloaded_at": landing.downloaded_at(F.col("path"), F.col("modified"))}
+    nothing = {"_file_problem": F.lit(None).cast("string"), "_preview": F.lit(None).cast("string")}
+    records = found.join(write_through(placed, "registry-headers"), "path").withColumns(named | nothing | {"record_no": record_no})
+    refused = kinds.where("_kind <> 'table'").select("path", "modified", "_preview", F.col("_kind").alias("_file_problem"))
+    return _rows(records.unionByName(refused.withColumns(named), allowMissingColumns=True))
+
+
+def parse_registry_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    return split(read_registry_files(spark, paths), schemas.STG_REGISTRY)
+
+
 def parse_registry(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split(read_registry(snapshots), schemas.STG_REGISTRY)
 

@@ -412,6 +412,16 @@ def _builds() -> dict[str, str]:
             [GP, REG, LNC],
             " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (GP, REG, LNC)),
         ),
+        "run_versions": over(
+            [GP, REG, LNC],
+            " UNION ALL ".join(
+                f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({commit} AS BIGINT) AS commit_no FROM {t}{kept}"
+                for commit, t, kept in (
+                    (1, GP, ""), (1, REG, ""), (1, LNC, ""),
+                    (2, GP, " WHERE norad_id % 2 = 0"), (2, REG, ""), (2, LNC, " WHERE payload_count IS NOT NULL"),
+                )
+            ),
+        ),
         "fact_observation": over(
             _BUILD_TABLES, _NUMBERED_CANDIDATES.format(last=0), operator_cte, object_cte, _CANDIDATES
         ),

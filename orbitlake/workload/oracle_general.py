@@ -77,7 +77,7 @@ def _sources() -> dict[str, str]:
     tle_id = "CAST(c_custkey % 100000 AS INTEGER) AS norad_id"
     page_text = "SELECT html AS body, 'celestrak-stations-json' AS source_name FROM pages"
     document_text = "SELECT text AS body, 'celestrak-' || source || '-json' AS source_name FROM documents"
-    return {
+    sql = {
         "gp_roundtrip": _parsed_gp("ts", ""),
         "gp_rejects": """SELECT 'celestrak-' || CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'fengyun-1c-debris'
               WHEN 'purchase' THEN 'geo' WHEN 'signup' THEN 'starlink' ELSE 'unlisted' END AS source_name,
@@ -106,6 +106,7 @@ def _sources() -> dict[str, str]:
               CAST(67 AS INTEGER) AS designator_launch_number, 'A' AS designator_piece,
               CAST(c_nationkey + 40 AS INTEGER) AS epoch_year, CAST({tle_day} AS DOUBLE) AS epoch_day
             FROM customer WHERE c_acctbal <= 9000""",
+        "ucs_split_roundtrip": _parsed_registry(_REGISTRY_NAME) + f" {_CUSTOMER_NATION}",
         "raw_archive": f"""SELECT 'spacedevs-recent-launches' AS source_name,
               CAST({_downloaded("o_orderkey")} AS DATE) AS ingest_date, count(DISTINCT (o_orderstatus, o_orderkey // 1000)) AS n_files
             FROM orders GROUP BY 2
@@ -132,6 +133,7 @@ def _sources() -> dict[str, str]:
               'tle/' || CAST(c_nationkey AS VARCHAR) || '/' || CAST(c_custkey // 1000 AS VARCHAR) AS "RAW_FILE_PATH"
             FROM customer WHERE c_acctbal <= 9000""",
     }
+    return sql | {"tle_split_roundtrip": sql["tle_roundtrip"], "tle_split_catalogue_roundtrip": sql["tle_catalogue_roundtrip"]}
 
 
 def _runs() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,6 +230,57 @@ def tle_catalogue_rows(lake: Lake) -> DataFrame:
     )
 
 
+def tle_split_rows(lake: Lake) -> DataFrame:
+    """Landed two-line files, read in splits."""
+    good = tle.parse_tle_files(lake.spark, landed(lake, rawtext.tle_files(lake)))[0]
+    return zoneless(good).select(
+        "object_name", "norad_id", "classification", "international_designator", "epoch_year", "epoch_day", "epoch",
+        "inclination_deg", "eccentricity", "mean_motion",
+    )
+
+
+def tle_split_catalogue_rows(lake: Lake) -> DataFrame:
+    good = tle.parse_tle_catalogue_files(lake.spark, landed(lake, rawtext.tle_files(lake)))[0]
+    return good.select(
+        "satellite_name", "norad_id", "designator_year", "designator_launch_number", "designator_piece", "epoch_year", "epoch_day"
+    )
+
+
+def registry_split_rows(lake: Lake) -> DataFrame:
+    """Landed registry tables, read in splits."""
+    good = registry.parse_registry_files(lake.spark, landed(lake, rawtext.registry_files(lake)))[0]
+    return good.drop("imported_at")
+
+
+class Abandoned(Exception):
+    """A run that does not reach its commit."""
+
+
+def run_versions(lake: Lake) -> DataFrame:
+    """Rows of the staging tables as of each commit: all of them, a run given up before its commit, and a run that
+    replaces two of the three."""
+    warehouse, star = Warehouse(lake.spark, fresh_path(lake.spark, "warehouse")), lake.star
+    tables = dict(zip(pipeline.STAGING, [star.stg_gp, star.stg_registry, star.stg_launch]))
+    with warehouse.transaction():
+        for name, df in tables.items():
+            warehouse.replace(name, df)
+    try:
+        with warehouse.transaction():
+            for name, df in tables.items():
+                warehouse.replace(name, df.where(F.lit(False)))
+            raise Abandoned
+    except Abandoned:
+        pass
+    with warehouse.transaction():
+        warehouse.replace(pipeline.STAGING[0], star.stg_gp.where("norad_id % 2 = 0"))
+        warehouse.replace(pipeline.STAGING[2], star.stg_launch.where("payload_count IS NOT NULL"))
+    counts = [
+        pipeline.row_counts({name: warehouse.at(number).snapshot(name) for name in tables}).withColumn("commit_no", F.lit(number).cast("long"))
+        for number in warehouse.log.numbers()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def content_gate(lake: Lake) -> DataFrame:
     """Whole pages and documents offered to the JSON parser: what is refused, and why."""
     offered = rawtext.page_snapshots(lake).unionByName(rawtext.document_snapshots(lake))
@@ -393,6 +445,10 @@ def queries() -> dict[str, Query]:
         "workbook_roundtrip": workbook_rows,
         "tle_roundtrip": tle_rows,
         "tle_catalogue_roundtrip": tle_catalogue_rows,
+        "tle_split_roundtrip": tle_split_rows,
+        "tle_split_catalogue_roundtrip": tle_split_catalogue_rows,
+        "ucs_split_roundtrip": registry_split_rows,
+        "run_versions": run_versions,
         "content_gate": content_gate,
         "table_gate": table_gate,
         "source_group": groups_of_feeds,

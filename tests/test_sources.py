@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -280,3 +281,39 @@ def test_staging_csv_bad_value_fails_the_load(spark, tmp_path):
 def test_over_long_values_are_reported(spark):
     df = spark.createDataFrame([("x" * 129, "n"), ("ok", "n")], "launch_id string, launch_name string")
     assert [r.over_long for r in schemas.over_long(df).collect()] == [["launch_id"]]
+
+
+@pytest.mark.parametrize("block", [90, 4000])
+def test_delimited_files_in_splits_equal_whole_files(spark, tmp_path, monkeypatch, block):
+    """Random quoting over many line ends, cut into blocks of a few lines; one quote in three files never closes."""
+    draw, own = random.Random(block), registry.L.read_lines
+    cells = ["A", "b c", '"q"', '"x,y;z"', '"two\nlines"', '"three\r\nof\n them"', '"say ""no"" twice"', ' "lead" tail', 'mid"quote', '""', '""""', "", "1", '"a,\n"",b"']
+    texts = {}
+    for i in range(9):
+        sep, end = draw.choice([",", ";", "\t"]), draw.choice(["\n", "\r\n"])
+        rows = [sep.join(draw.choice(cells) for _ in range(3)) for _ in range(draw.randrange(3, 40))]
+        if i % 3 == 0:
+            rows.insert(draw.randrange(1, len(rows)), f'B{sep}"never closed{sep}C')
+        texts[f"20240331T04000{i}000Z_s{i}.csv"] = sep.join(["Name", "NORAD ID", "Status"]) + end + end.join(rows) + draw.choice(["", end])
+    texts |= {"page.csv": "<html>\n<p>", "blank.csv": "\nName\nx", "mac.csv": "Name,Status\rA,Active\rB,x", "none.csv": "", "marked.csv": "\ufeffName\nA"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+
+    def read_lines(session, paths, ends=None):
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        session.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            return own(session, paths, ends)
+        finally:
+            session.conf.unset("spark.sql.files.maxPartitionBytes")
+            session.conf.unset("spark.sql.files.openCostInBytes")
+
+    monkeypatch.setattr(registry.L, "read_lines", read_lines)
+    shown = lambda df: sorted((r.path.rsplit("/", 1)[-1], *map(str, r[1:])) for r in df.collect())
+    columns = ["path", "source_name", "satellite_name", "norad_id", "operational_status", "reason", "detail"]
+    got = shown(registry.read_registry_files(spark, str(tmp_path)).where("reason is null or reason <> ''").select(columns))
+    frame = spark.createDataFrame([(n, t) for n, t in texts.items() if t], "path string, content string")
+    frame = frame.withColumns({"source_name": landing.source_of(F.col("path")), "downloaded_at": F.lit(AT)})
+    want = shown(registry.read_registry(frame).where("reason is null or reason <> ''").select(columns))
+    assert [x for x in got if x not in want] == [x for x in want if x not in got] == []
+    assert got == want and len(got) > 60
