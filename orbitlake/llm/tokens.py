@@ -2,15 +2,19 @@
 
 The vocabulary never merges across the cut before a single space or line end that stands between two other
 characters. So the texts of a slice are cut there, each distinct piece is encoded once, and a text's ids are its
-pieces' ids in order, gathered by numpy. Texts with other white space are encoded whole.
+pieces' ids in order, gathered by numpy. Texts with other white space, with very long words or with added tokens are
+encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from orbitlake.llm import words as W
 
@@ -21,6 +25,8 @@ KEPT_PIECES = 1_000_000
 _WIDE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _ODD_ASCII = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _SPACE = np.isin(np.arange(256), [32, 10])
+#: Words beyond so many bytes are not told apart by a polynomial hash; texts that hold one are encoded whole.
+LONGEST_HASHED = 256
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -67,6 +73,13 @@ def odd_texts(texts: pa.Array) -> np.ndarray:
     return found
 
 
+def long_words(texts: pa.Array) -> np.ndarray:
+    """Texts with a word of more than ``LONGEST_HASHED`` bytes."""
+    words = W.split(texts)
+    longer = np.concatenate([[0], np.cumsum(words.ends - words.starts > LONGEST_HASHED)])
+    return longer[words.first[1:]] > longer[words.first[:-1]]
+
+
 def _ragged(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, … (lengths[0] of them), begin[1], …"""
     ahead = np.cumsum(lengths) - lengths
@@ -82,7 +95,10 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as source:
+            added = {t["content"]: t["id"] for t in json.load(source)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.added = "|".join(map(re.escape, added))
         (self.line_end,) = self.whole("\n")
         self._forget()
 
@@ -91,12 +107,14 @@ class Encoder:
         self.known = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
-        """Ids of one text; spellings of special tokens are ordinary text."""
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        """Ids of one text; spellings of added tokens are those tokens."""
+        return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text of a large_string array without nulls."""
-        odd = odd_texts(texts)
+        odd = odd_texts(texts) | long_words(texts)
+        if self.added:
+            odd |= pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         whole = iter(texts.filter(pa.array(odd)).to_pylist())
         plain = self._plain(texts.filter(pa.array(~odd)))
         return [self.whole(next(whole)) if o else next(plain) for o in odd]

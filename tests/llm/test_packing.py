@@ -13,13 +13,16 @@ from tokenizers import Tokenizer
 from orbitlake.llm import packing, tokens
 from tests.llm import helpers as H
 
-ODD = ["a\nb  c", " x y ", "\n\na", "a \n b", "x\n", "\n", "a'll b's", "it 's 12 3a\nB.. ..", "a\n'll b", "\nab c\nab", "日本 語\n日", "a\xa0b", "a\xa0", "x　y", "\x85", "​ z", "🙂 🙂\n🙂"]
+MORSE = "a"
+for _ in range(10):
+    MORSE += MORSE.translate(str.maketrans("ab", "ba"))
+#: Two words of 1,024 letters that polynomials modulo 2**64 do not tell apart, and added tokens.
+ODD = [MORSE, MORSE.translate(str.maketrans("ab", "ba")), f"{MORSE} x", "hello <|endoftext|> there", "<|endoftext|><|endoftext|>\n", "<|endoftext>", "a\nb  c", " x y ", "\n\na", "a \n b", "x\n", "\n", "a'll b's", "it 's 12 3a\nB.. ..", "a\n'll b", "\nab c\nab", "日本 語\n日", "a\xa0b", "a\xa0", "x　y", "\x85", "​ z", "🙂 🙂\n🙂"]
 
 
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
