@@ -109,7 +109,17 @@ def states(lines: DataFrame, of_outside: str, of_inside: str) -> DataFrame:
     return lines.drop("_swaps", "_anchor", "_enters")
 
 
-def chunks(lines: DataFrame, starts: str) -> DataFrame:
+def running_sum(lines: DataFrame, column: str, into: str) -> DataFrame:
+    """``lines`` with ``into``, the sum of ``column`` over the lines of the file before each line, summed per block first."""
+    within = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.sum(column).alias("_sum"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_earlier"))
+    summed = lines.withColumn(into, F.coalesce(F.sum(column).over(within), F.lit(0)))
+    return summed.join(blocks, ["path", "block"]).withColumn(into, F.col(into) + F.col("_earlier")).drop("_earlier")
+
+
+def chunks(lines: DataFrame, starts: str, joiner: str = "\n") -> DataFrame:
     """(path, line_no, text): lines joined from each one that ``starts`` a chunk up to the next such line of the file.
 
     Only chunks of several lines are gathered; ``alone`` says which lines are chunks by themselves.
@@ -122,5 +132,5 @@ def chunks(lines: DataFrame, starts: str) -> DataFrame:
     marked = marked.join(lasts, ["path", "block"]).withColumn("_chunk", F.coalesce("_chunk", "_open"))
     alone = marked.where("alone").select("path", "line_no", F.col("line").alias("text"))
     parts = marked.where("NOT alone").groupBy("path", "_chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_parts"))
-    joined = parts.select("path", F.col("_chunk").alias("line_no"), F.array_join(F.col("_parts.line"), "\n").alias("text"))
+    joined = parts.select("path", F.col("_chunk").alias("line_no"), F.array_join(F.col("_parts.line"), joiner).alias("text"))
     return alone.unionByName(joined)

@@ -133,7 +133,10 @@ def _sources() -> dict[str, str]:
               'tle/' || CAST(c_nationkey AS VARCHAR) || '/' || CAST(c_custkey // 1000 AS VARCHAR) AS "RAW_FILE_PATH"
             FROM customer WHERE c_acctbal <= 9000""",
     }
-    return sql | {"tle_split_roundtrip": sql["tle_roundtrip"], "tle_split_catalogue_roundtrip": sql["tle_catalogue_roundtrip"]}
+    # the landed copies are named by Spark, so their download time is when they were written
+    timeless = {f"{feed}_split_roundtrip": f"SELECT * EXCLUDE (imported_at) FROM ({sql[f'{feed}_roundtrip']})" for feed in ("gp", "launch")}
+    same = {"tle_split_roundtrip": "tle_roundtrip", "tle_split_catalogue_roundtrip": "tle_catalogue_roundtrip", "gp_split_rejects": "gp_rejects"}
+    return sql | timeless | {name: sql[whole] for name, whole in same.items()}
 
 
 def _runs() -> dict[str, str]:

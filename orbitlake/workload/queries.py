@@ -20,7 +20,7 @@ from orbitlake.plans import analytics as A
 from orbitlake.plans import dimensions as D
 from orbitlake.plans import facts, pipeline, quality
 from orbitlake.plans.warehouse import Warehouse
-from orbitlake.sources import gp_json, landing, launches, registry, staging_csv, tle
+from orbitlake.sources import gp_json, json_pieces, landing, launches, registry, staging_csv, tle
 from orbitlake.streaming import incremental
 from orbitlake.workload import rawtext
 from orbitlake.workload.analogue import AS_OF, Lake
@@ -246,6 +246,22 @@ def tle_split_catalogue_rows(lake: Lake) -> DataFrame:
     )
 
 
+def gp_split_rows(lake: Lake) -> DataFrame:
+    """Landed arrays of element sets, read in splits."""
+    good = json_pieces.parse_gp_json_files(lake.spark, landed(lake, rawtext.gp_files(lake)))[0]
+    return zoneless(good).drop("imported_at")
+
+
+def gp_split_rejects(lake: Lake) -> DataFrame:
+    return reject_counts(json_pieces.parse_gp_json_files(lake.spark, landed(lake, rawtext.gp_files(lake)))[1])
+
+
+def launch_split_rows(lake: Lake) -> DataFrame:
+    """Landed launches, arrays read in splits."""
+    good = json_pieces.parse_launch_files(lake.spark, landed(lake, rawtext.launch_files(lake)))[0]
+    return zoneless(good).drop("imported_at")
+
+
 def registry_split_rows(lake: Lake) -> DataFrame:
     """Landed registry tables, read in splits."""
     good = registry.parse_registry_files(lake.spark, landed(lake, rawtext.registry_files(lake)))[0]
@@ -448,6 +464,9 @@ def queries() -> dict[str, Query]:
         "tle_split_roundtrip": tle_split_rows,
         "tle_split_catalogue_roundtrip": tle_split_catalogue_rows,
         "ucs_split_roundtrip": registry_split_rows,
+        "gp_split_roundtrip": gp_split_rows,
+        "gp_split_rejects": gp_split_rejects,
+        "launch_split_roundtrip": launch_split_rows,
         "run_versions": run_versions,
         "content_gate": content_gate,
         "table_gate": table_gate,
