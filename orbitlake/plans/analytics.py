@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from orbitlake import constants as K
 from orbitlake.functions import classify as C
 from orbitlake.functions import geometry as G
+from orbitlake.operators.exact import exact_mean, exact_sum
 from orbitlake.operators.keyed import latest_per_key
 from orbitlake.operators.numbering import global_dense_rank, systematic_sample, top_dense_rank
 from orbitlake.operators.skyline import skyline
@@ -37,14 +38,13 @@ class Star:
     stg_launch: DataFrame | None = None
 
 
-RISK_DIGITS = 9
-
 # --- shared partial totals -----------------------------------------------------------------------
 
 _TOTALS = {
     "n_rows": F.count,
     "n_objects": F.sum,
     "risk_sum": F.sum,
+    "risk_units": F.sum,
     "risk_n": F.count,
     "altitude_sum": F.sum,
     "altitude_n": F.count,
@@ -57,6 +57,7 @@ def object_band_totals(star: Star) -> DataFrame:
         F.count("*").alias("n_rows"),
         F.sum("object_count").cast("bigint").alias("n_objects"),
         F.sum("debris_risk_score").alias("risk_sum"),
+        exact_sum(F.col("debris_risk_score")).alias("risk_units"),
         F.count("debris_risk_score").alias("risk_n"),
         F.sum("altitude_km").alias("altitude_sum"),
         F.count("altitude_km").alias("altitude_n"),
@@ -85,7 +86,7 @@ def _with_operator(totals: DataFrame, star: Star) -> DataFrame:
     per_operator = (
         totals.join(objects, "object_id")
         .groupBy("operator_id", *keys)
-        .agg(F.sum("n_objects").alias("n_objects"), F.sum("risk_sum").alias("risk_sum"), F.sum("risk_n").alias("risk_n"))
+        .agg(*(F.sum(c).alias(c) for c in ("n_objects", "risk_sum", "risk_units", "risk_n")))
     )
     return per_operator.join(star.operators.select("operator_id", "operator_name", "country"), "operator_id", "left")
 
@@ -177,8 +178,8 @@ def orbit_statistics(star: Star) -> DataFrame:
 
 
 def risk_groups(star: Star, totals: DataFrame | None = None) -> DataFrame:
-    """Objects and mean risk per class and operator. The mean is rounded far below its meaning, so that the
-    order in which tasks add up decides no comparison between groups.
+    """Objects and mean risk per class and operator. The mean comes from an exact sum, so that the order in which tasks
+    add up decides no comparison between groups.
     """
     totals = object_band_totals(star) if totals is None else totals
     named = _with_band(_with_operator(totals, star), star)
@@ -187,8 +188,7 @@ def risk_groups(star: Star, totals: DataFrame | None = None) -> DataFrame:
             C.labelled(F.col("orbit_class")).alias("orbit_class"),
             C.labelled(F.col("operator_name")).alias("operator_name"),
         )
-        .agg(_objects_sum(), _mean_risk())
-        .withColumn("average_risk_score", F.round(F.coalesce("average_risk_score", F.lit(0.0)), RISK_DIGITS))
+        .agg(_objects_sum(), F.coalesce(exact_mean(F.sum("risk_units"), F.sum("risk_n")), F.lit(0.0)).alias("average_risk_score"))
     )
 
 

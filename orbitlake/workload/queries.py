@@ -13,6 +13,7 @@ from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.functions.lenient import lenient_date
 from orbitlake.functions.naming import fallback_launch_id, source_group
+from orbitlake.operators.exact import exact_mean, exact_sum
 from orbitlake.operators.keyed import append_missing, distinct_keys, latest_per_key, missing_from, percent_of_max, with_days
 from orbitlake.operators.numbering import global_dense_rank, global_row_number, systematic_sample
 from orbitlake.operators.skyline import skyline
@@ -162,10 +163,10 @@ def part_skyline(lake: Lake) -> DataFrame:
         .groupBy("l_partkey")
         .agg(
             F.sum(F.col("l_quantity").cast("bigint")).alias("pieces"),
-            F.round(F.avg("l_discount"), A.RISK_DIGITS).alias("mean_discount"),
+            exact_mean(exact_sum(F.col("l_discount")), F.count("l_discount")).alias("mean_discount"),
         )
     )
-    return skyline(write_through(parts, "parts"), "pieces", "mean_discount")
+    return rounded(skyline(write_through(parts, "parts"), "pieces", "mean_discount"), 9)
 
 
 def part_gaps(lake: Lake) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators against brute force on random rows, with one value holding a third of them."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from orbitlake.operators.exact import exact_mean, exact_sum
 from orbitlake.operators.keyed import (
     append_missing,
     duplicates,
@@ -54,6 +56,24 @@ def test_skyline_keeps_rows_without_a_measure(spark):
     assert sorted(r.id for r in skyline(df, "n", "risk").collect()) == [1, 2, 3]
 
 
+def test_exact_means_do_not_depend_on_order(spark):
+    draw = random.Random(4)
+    made = [(k, draw.choice([draw.random(), 0.1, 1e-9, -draw.random() * 100, None])) for k in range(5) for _ in range(300)]
+    made += [(10, 0.3)] * 3 + [(11, 0.3)] * 7 + [(12, x) for x in (0.1, 0.2, 0.6)] + [(13, 0.3 + 1e-12)] + [(14, None)]
+    means = []
+    for parts in (1, 7, 40):
+        draw.shuffle(made)
+        df = spark.createDataFrame(made, "k int, x double").repartition(parts)
+        grouped = df.groupBy("k").agg(exact_mean(exact_sum(F.col("x")), F.count("x")).alias("mean"))
+        means.append({r.k: r["mean"] for r in grouped.collect()})
+    assert means[0] == means[1] == means[2]
+    got = means[0]
+    assert got[10] == got[11] == got[12] == 0.3 < got[13] < 0.3 + 2e-12 and got[14] is None
+    for k in range(5):
+        values = [x for i, x in made if i == k and x is not None]
+        assert abs(got[k] - math.fsum(values) / len(values)) < 1e-13
+
+
 def test_row_numbers_follow_the_order_across_partitions(spark):
     df = spark.range(2000).select((F.hash("id") % 7).alias("k"), "id").repartition(9)
     numbered = global_row_number(df, [F.col("k").desc(), F.col("id")], "n").collect()
