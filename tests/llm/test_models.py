@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +158,23 @@ def test_importance_prefers_good_documents(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").where(F.col("quality").isNotNull()).collect()
     share = {q: np.mean([r.doc_id in kept for r in labels if r.quality == q]) for q in (0, 1)}
     assert share[1] > share[0] + 0.3
+
+
+def test_number_regions_equal_one_pattern():
+    """Regions found by whole runs are those of a single pattern that tries every start."""
+    draw = random.Random(8)
+    pattern = re.compile(r"[0-9(+][0-9 ().+/\[\]-]{5,}[0-9]")
+    for _ in range(3000):
+        text = "".join(draw.choice("01 ().+/[]-x") for _ in range(draw.randrange(40)))
+        assert pii._numbers(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_very_long_texts_of_personal_data():
+    """Time by length, not by its square: runs of any one character the patterns look at."""
+    size = 1_000_000
+    began = time.process_time()
+    for part in ("7", "(", "[", ".", "1.", "+", "+1", "@", "a@", " at ", "a ", "-"):
+        text = part * (size // len(part))
+        base = pii.base_spans(text)
+        assert pii.candidates(text) is not None and base == sorted(base), part
+    assert time.process_time() - began < 120
