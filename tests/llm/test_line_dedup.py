@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from orbitlake.llm import line_dedup
 from tests.llm import helpers as H
 
-SHINGLE = re.compile(r"(?s)(?=(.{1,8}))(?:[!-ɏ]{1,6}|\S)\s*")
-
-
 def shingles(line: str) -> set[str]:
-    return {m[1] for m in SHINGLE.finditer(line.lower())}
+    """Runs of eight characters from every character; a shorter line is one."""
+    return {line.lower()[i : i + 8] for i in range(max(1, len(line) - 7))}
 
 
 def expected(texts, first: int = 0):
@@ -75,10 +73,12 @@ def test_recall_of_pairs_over_the_threshold(spark):
     for i in range(150):
         line = H.prose(i, 40, 20_000)
         lines += [line, H.edited(line, i, 1 + i % 3)]
-    sets = [shingles(line) for line in lines]
-    linked = [i for i in range(0, 300, 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])]
-    found = line_dedup.line_links(H.documents(spark, lines)).count()
-    assert len(linked) > 60 and found >= 0.97 * len(linked)
+    sets = {line: shingles(line) for line in lines}
+    pairs = {frozenset((a, b)) for a, b in zip(lines[::2], lines[1::2]) if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    texts = H.documents(spark, lines)
+    line_of = {r.id: r.text for r in texts.selectExpr("text", "xxhash64(text) as id").collect()}
+    found = {frozenset((line_of[r.a], line_of[r.b])) for r in line_dedup.line_links(texts).collect()}
+    assert len(pairs) > 60 and len(pairs & found) >= 0.97 * len(pairs)
 
 
 def test_only_column_functions(spark):
@@ -126,13 +126,9 @@ def test_near_copies_in_a_family_of_one_template(spark):
     assert got == expected_roots and 1 < len(set(got)) < len(order) - 50
 
 
-def grams(line: str) -> set[str]:
-    return {line.lower()[i : i + 8] for i in range(max(1, len(line) - 7))}
-
-
 def test_shingles_start_at_every_character(spark):
     lines = ["a", "1234567", "12345678", "  Lead and trail  ", "ab\r", "é ß 日本語 😀 " * 30, "x" * 200, *(H.prose(n, 60)[: n + 60] for n in range(90))]
-    assert [set(s) for s in shingle_rows(spark, lines)] == [grams(line) for line in lines]
+    assert [set(s) for s in shingle_rows(spark, lines)] == [shingles(line) for line in lines]
 
 
 def test_one_character_more_in_lines_without_spaces(spark):
@@ -145,7 +141,7 @@ def test_one_character_more_in_lines_without_spaces(spark):
         page = f"//example.org/a/long/path/{H.prose(i, 12, 9000)}".replace(" ", "/")
         lines += ["http:" + page, "https:" + page]
     pairs = list(zip(lines[::2], lines[1::2]))
-    assert all(100 * len(grams(a) & grams(b)) >= 75 * len(grams(a) | grams(b)) for a, b in pairs)
+    assert all(100 * len(shingles(a) & shingles(b)) >= 75 * len(shingles(a) | shingles(b)) for a, b in pairs)
     texts = H.documents(spark, lines)
     ids = [r.id for r in texts.selectExpr("doc_id", "xxhash64(text) as id").sort("doc_id").collect()]
     links = {frozenset(r) for r in line_dedup.line_links(texts).collect()}
