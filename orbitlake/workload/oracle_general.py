@@ -55,6 +55,14 @@ def _operators() -> dict[str, str]:
             SELECT * FROM parts p WHERE NOT EXISTS (
               SELECT 1 FROM parts d WHERE d.pieces >= p.pieces AND d.mean_discount >= p.mean_discount
                 AND (d.pieces > p.pieces OR d.mean_discount > p.mean_discount))""",
+        "skyline_parts_in_three": """WITH parts AS (
+              SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS pieces,
+                     round(avg(l_discount), 9) AS mean_discount, max(CAST(l_shipdate AS DATE)) AS last_day
+              FROM lineitem GROUP BY 1)
+            SELECT * FROM parts p WHERE NOT EXISTS (
+              SELECT 1 FROM parts d
+              WHERE d.pieces >= p.pieces AND d.mean_discount >= p.mean_discount AND d.last_day >= p.last_day
+                AND (d.pieces > p.pieces OR d.mean_discount > p.mean_discount OR d.last_day > p.last_day))""",
         "gap_fill_parts": """WITH shipped AS (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS day FROM lineitem),
             spread AS (SELECT l_partkey, max(day) AS last_day,
                          CAST(unnest(generate_series(max(day) - 27, max(day), INTERVAL 1 DAY)) AS DATE) AS day

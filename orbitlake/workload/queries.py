@@ -16,7 +16,7 @@ from orbitlake.functions.naming import fallback_launch_id, source_group
 from orbitlake.operators.exact import exact_mean, exact_sum
 from orbitlake.operators.keyed import append_missing, distinct_keys, latest_per_key, missing_from, percent_of_max, with_days
 from orbitlake.operators.numbering import global_dense_rank, global_row_number, systematic_sample
-from orbitlake.operators.skyline import skyline
+from orbitlake.operators.skyline import skyline, skyline_of
 from orbitlake.plans import analytics as A
 from orbitlake.plans import dimensions as D
 from orbitlake.plans import facts, pipeline, quality
@@ -169,6 +169,20 @@ def part_skyline(lake: Lake) -> DataFrame:
     return rounded(skyline(write_through(parts, "parts"), "pieces", "mean_discount"), 9)
 
 
+def part_skyline_in_three(lake: Lake) -> DataFrame:
+    """Parts not beaten in pieces sold, mean discount and the day they were last shipped."""
+    parts = (
+        lake.raw("lineitem")
+        .groupBy("l_partkey")
+        .agg(
+            F.sum(F.col("l_quantity").cast("bigint")).alias("pieces"),
+            exact_mean(exact_sum(F.col("l_discount")), F.count("l_discount")).alias("mean_discount"),
+            F.max(F.col("l_shipdate").cast("date")).alias("last_day"),
+        )
+    )
+    return rounded(skyline_of(write_through(parts, "parts"), "pieces", "mean_discount", "last_day"), 9)
+
+
 def part_gaps(lake: Lake) -> DataFrame:
     """Days without a shipment in the four weeks up to each part's last one."""
     days = lake.raw("lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day"))
@@ -452,6 +466,7 @@ def queries() -> dict[str, Query]:
         "latest_per_key": latest_lines,
         "global_dense_rank": ranked_suppliers,
         "skyline_parts": part_skyline,
+        "skyline_parts_in_three": part_skyline_in_three,
         "gap_fill_parts": part_gaps,
         "systematic_sample": sampled_orders,
         "append_missing": appended_lines,

@@ -17,7 +17,7 @@ from orbitlake.operators.keyed import (
     with_days,
 )
 from orbitlake.operators.numbering import global_dense_rank, global_row_number, systematic_sample, top_dense_rank
-from orbitlake.operators.skyline import skyline
+from orbitlake.operators.skyline import skyline, skyline_of
 
 
 def points(seed, n=300, span=12):
@@ -56,6 +56,44 @@ def test_skyline_keeps_rows_without_a_measure(spark):
     assert sorted(r.id for r in skyline(df, "n", "risk").collect()) == [1, 2, 3]
 
 
+def undominated_in(made, first):
+    """Brute force over the columns from ``first`` on."""
+    full = [p[first:] for p in made if None not in p[first:]]
+    return sorted(
+        (p for p in made if None in p[first:] or not any(q != p[first:] and all(a >= b for a, b in zip(q, p[first:])) for q in full)),
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("span", [4, 1000])
+def test_skyline_of_three_measures_equals_pairwise_comparison(spark, span):
+    draw = random.Random(span)
+    made = [(i, 2 if i % 3 == 0 else draw.randrange(span), draw.randrange(span), float(draw.randrange(span))) for i in range(600)]
+    made += [(600, None, 1, 1.0), (601, 5, 5, None), (602, *made[7][1:])]
+    df = spark.createDataFrame(made, "id int, a int, b bigint, _m0 double").repartition(5)
+    assert sorted((tuple(r) for r in skyline_of(df, "a", "b", "_m0").collect()), key=repr) == undominated_in(made, 1)
+
+
+def test_skyline_of_points_that_all_survive(spark):
+    draw = random.Random(1)
+    pairs = [(draw.randrange(1000), draw.randrange(1000)) for _ in range(800)]
+    df = spark.createDataFrame([(a, b, 2000 - a - b) for a, b in pairs], "a int, b int, c int")
+    assert skyline_of(df, "a", "b", "c").count() == 800
+
+
+@pytest.mark.parametrize("measures", [("a",), ("a", "b"), ("a", "b", "c", "d")])
+def test_skyline_of_other_numbers_of_measures(spark, measures):
+    draw = random.Random(len(measures))
+    made = [tuple(draw.randrange(30) for _ in measures) for _ in range(200)]
+    df = spark.createDataFrame(made, ", ".join(f"{m} int" for m in measures))
+    assert sorted((tuple(r) for r in skyline_of(df, *measures).collect()), key=repr) == undominated_in(made, 0)
+
+
+def test_skyline_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a int, b int, c date")
+    assert skyline_of(df, "a", "b", "c").collect() == []
+
+
 def test_exact_means_do_not_depend_on_order(spark):
     draw = random.Random(4)
     made = [(k, draw.choice([draw.random(), 0.1, 1e-9, -draw.random() * 100, None])) for k in range(5) for _ in range(300)]
