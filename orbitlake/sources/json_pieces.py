@@ -1,8 +1,8 @@
 """JSON files in splits: a file that is one large array becomes many small arrays, in many tasks.
 
-Files are cut at closing braces, wherever blocks end. Whether a piece begins within a string is a two-state automaton
-over the pieces, how deep it lies a running sum of brackets outside strings; both are composed per block, then over the
-blocks of a file. A brace that closes at the depth of the array's own elements ends a chunk, and the chunk in brackets
+Files are cut at closing braces, wherever blocks end, and a block's pieces gathered in runs of bounded size. Whether a
+run begins within a string is a two-state automaton over the runs, how deep it lies a running sum of brackets outside
+strings; both are composed per block, then over the blocks of a file, from a row of counts a run. A brace that closes at the depth of the array's own elements ends a chunk, and the chunk in brackets
 of its own is a document for the whole-file readers. A file is broken exactly if one of its chunks is.
 
 Strings in single quotes, which the readers tolerate, may hold no brackets and no double quotes here.
@@ -10,35 +10,135 @@ Strings in single quotes, which the readers tolerate, may hold no brackets and n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake import schemas
 from orbitlake.sources import gp_json, landing, launches
 from orbitlake.sources import lines as L
 from orbitlake.sources.rows import split
+from orbitlake.session import ship_package
 from orbitlake.workspace import write_through
 
 CLOSE = "}"
-BROKEN = "["  # no document: what a chunk becomes that no comma parts from the one before
-BLANKS = r"^[ \t\r\n]*"
+BROKEN = b"["  # no document: what a chunk becomes that no comma parts from the one before
+OPENS = re.compile(rb"\s*([\[{])")
+END, COMMA = re.compile(rb"[ \t\r\n]*\]"), re.compile(rb"[ \t\r\n]*,(?!\s*\])")
+RUN_BYTES = 1 << 14  # of pieces that are scanned together
+SUMMARY = ["begins", "odd", "change_0", "low_0", "change_1", "low_1"]
+STEP = np.zeros(256, np.int8)  # what a byte adds to the depth
+STEP[[ord("["), ord("{")]], STEP[[ord("]"), ord("}")]] = 1, -1
 MARK_BYTES = 3  # of a byte-order mark, which the scan leaves out
 
 
-def _count(text: Column, character: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
-
-
-def _lowest(brackets: Column) -> Column:
-    """Least depth after any of the brackets, counted from the depth before them."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("low"))
-
-    def step(seen: Column, bracket: Column) -> Column:
-        depth = seen["depth"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(depth.alias("depth"), F.least(seen["low"], depth).alias("low"))
-
-    # nearly every piece is one flat object
-    return F.when(brackets == "{}", 0).when(brackets != "", F.aggregate(F.split(brackets, ""), start, step)["low"])
+def _marks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte, whether it is a quote and what it adds to the depth; escaped ones count for nothing. No escape
+    reaches over a closing brace, as pieces end there."""
+    quotes, step = text == ord('"'), STEP[text]
+    slashes = np.flatnonzero(text == ord("\\"))
+    if len(slashes):
+        ends = np.flatnonzero(np.diff(slashes, append=len(text) + 1) != 1)
+        odd = np.diff(ends, prepend=-1) % 2 == 1
+        escaped = slashes[ends[odd]] + 1
+        escaped = escaped[escaped < len(text)]
+        escaped = escaped[text[escaped] != ord(CLOSE)]
+        quotes[escaped], step[escaped] = False, 0
+    return quotes, step
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per run: the bracket it begins with, the parity of its quotes, and per state before it what its brackets add to
+    the depth and the least sum on the way, all without its last brace."""
+    for batch in batches:
+        rows = []
+        for content in batch["text"].to_pylist():
+            quotes, step = _marks(np.frombuffer(content, np.uint8))
+            inside = np.cumsum(quotes) % 2
+            begins = OPENS.match(content)
+            row = {"begins": begins[1].decode() if begins else "", "odd": int(inside[-1]) if len(inside) else 0}
+            for state in (0, 1):
+                sums = np.cumsum(step[(step != 0) & (inside == state)], dtype=np.int64)
+                row[f"change_{state}"] = int(sums[-1]) if len(sums) else 0
+                row[f"low_{state}"] = int(sums.min()) if len(sums) else None
+            rows.append(row)
+        columns = {n: batch[n] for n in ("path", "block", "run", "lines", "bytes")}
+        told = [pa.array([r[n] for r in rows], pa.string() if n == "begins" else pa.int64()) for n in SUMMARY]
+        yield pa.RecordBatch.from_arrays([*columns.values(), *told], [*columns, *SUMMARY])
+
+
+def _cut(content: bytes, inside: int, depth: int, first: bool, closed: bool, last: bool, ending: bool) -> tuple[list[bytes], bytes | None, bytes | None]:
+    """A run of an array's pieces as chunks: those that lie in it, what ends a chunk begun before, and what begins one
+    that goes on. ``ending``: the array closes in it."""
+    content += CLOSE.encode() * closed
+    text = np.frombuffer(content, np.uint8)
+    quotes, step = _marks(text)
+    state = (np.cumsum(quotes) + inside) % 2
+    step[state == 1] = 0
+    depths = depth + np.cumsum(step, dtype=np.int64)
+    braces = np.flatnonzero(text == ord(CLOSE))
+    if ending:
+        piece = np.searchsorted(braces, np.flatnonzero((step != 0) & (depths <= 0))[0])
+        braces = braces[: piece + 1]
+        content = content[: braces[-1] + 1] if piece < len(braces) else content
+    # an element ends at a brace that leaves the depth of the array's own elements
+    element = (depths[braces] == 1) & (state[braces] == 0)
+    starts = braces[element] + 1
+    ended = bool(len(starts)) and int(starts[-1]) == len(content) and not ending
+    starts = starts[starts < len(content)].tolist()
+    begins = first or (depth == 1 and inside == 0)
+    bounds = [0, *starts, len(content)]
+    whole: list[bytes] = []
+    head = tail = None
+    for i, (low, high) in enumerate(pairwise(bounds)):
+        part, opens, more = content[low:high], i > 0 or begins, high < len(content)
+        if opens and not (first and i == 0):
+            comma = COMMA.match(part)
+            if END.match(part):
+                part = b"[" + part
+            elif comma:
+                part = b"[" + part[comma.end() :]
+            else:
+                brace = part.find(CLOSE.encode())
+                part = BROKEN + (part[brace:] if brace >= 0 else b"")
+        if more or (ended and not last):
+            part += b"]"
+        if not opens:
+            head = part
+        elif more or ended or ending or last:
+            whole.append(part)
+        else:
+            tail = part
+    return whole, head, tail
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made: list[tuple] = []
+        states = [batch[n].to_pylist() for n in ("text", "opens", "inside_before", "depth", "first", "closed", "last", "ending", "all")]
+        for content, opens, inside, depth, first, closed, last, ending, wanted in zip(*states):
+            if opens == "[":
+                made.append(_cut(content, inside, depth, first, closed, last, ending))
+                continue
+            braced = content + CLOSE.encode() * closed
+            if not wanted:  # the first piece alone
+                made.append(([braced[: braced.find(CLOSE.encode()) + 1] or braced], None, None))
+                continue
+            if ending:
+                quotes, step = _marks(np.frombuffer(braced, np.uint8))
+                step[(np.cumsum(quotes) + inside) % 2 == 1] = 0
+                closing = np.flatnonzero((step != 0) & (depth + np.cumsum(step, dtype=np.int64) <= 0))[0]
+                braced = braced[: braced.find(CLOSE.encode(), closing) + 1] or braced
+            done = ending or last
+            made.append(([braced], None, None) if first and done else ([], None, braced) if first else ([], braced, None))
+        whole, head, tail = zip(*made) if made else ([], [], [])
+        columns = [*(batch[n] for n in ("path", "modified", "block", "nth")), pa.array(whole, pa.list_(pa.binary())), pa.array(head, pa.binary()), pa.array(tail, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "modified", "block", "nth", "whole", "head", "tail"])
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,38 +148,34 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return scan.select(meta["file_path"].alias("path"), meta["file_modification_time"].alias("modified"), meta["file_size"].alias("size"))
 
 
-def _pieces(spark: SparkSession, paths: str | list[str], files: DataFrame) -> DataFrame:
-    """Lines of ``lines.read_lines`` that end at closing braces, with ``opens`` (the bracket the file begins with),
-    ``last`` (no piece of the file follows) and ``closed`` (a brace ends the piece)."""
-    pieces = L.read_lines(spark, paths, CLOSE)
-    facts = pieces.groupBy("path").agg(
-        F.max(F.when(F.col("line_no") == 0, F.regexp_extract("line", r"^\s*([\[{])", 1))).alias("opens"),
-        F.sum(F.octet_length("line")).alias("_bytes"),
-        F.count("*").alias("_pieces"),
-    )
+def _states(runs: DataFrame, files: DataFrame) -> DataFrame:
+    """Per run of ``runs``, without its text: the state and depth it begins in, its number in the file, the bracket the
+    file begins with (``opens``), whether it is the file's first or last, whether a brace ends it (``closed``), and
+    whether the file's root closes in it (``ending``); none of the runs after that."""
+    schema = "path string, block long, run long, lines long, bytes long, begins string, odd long, change_0 long, low_0 long, change_1 long, low_1 long"
+    summed = runs.select("path", "block", "run", "lines", "bytes", "text").mapInArrow(_summed, schema)
+    summed = write_through(summed.withColumnRenamed("run", "line_no"), "json-runs")
+    place = F.struct("block", "line_no")
+    facts = summed.groupBy("path").agg(
+        F.min_by("begins", place).alias("opens"), F.min(place).alias("_from"), F.max(place).alias("_to"),
+        F.sum("bytes").alias("_bytes"), F.sum("lines").alias("_pieces"),
+    )
     beyond = F.col("size") - F.col("_bytes") - F.col("_pieces")
-    facts = facts.join(files.select("path", "size"), "path")
-    facts = facts.select("path", "opens", "_pieces", beyond.isin(0, MARK_BYTES).alias("_ends_closed"))
-    last = F.col("line_no") == F.col("_pieces") - 1
-    joined = pieces.join(facts, "path").withColumns({"last": last, "closed": ~last | F.col("_ends_closed")})
-    return joined.drop("_pieces", "_ends_closed")
-
-
-def _nested(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``inside_before``, ``inside_after``, ``depth`` (of brackets before the piece), ``depth_after`` and
-    ``low`` (the least depth reached in it)."""
-    bare = F.regexp_replace("line", r"(?s)\\.?", "")
-    odd = _count(bare, '"') % 2
-    pieces = L.states(pieces.withColumns({"_outside": odd, "_inside": 1 - odd}), "_outside", "_inside")
-    whole = F.when(F.col("inside_before") == 1, F.concat(F.lit('"'), bare)).otherwise(bare)
-    within = F.regexp_replace(F.regexp_replace(whole, r'"[^"]*+"?+', ""), r"[^\[\]{}]", "")
-    ended = F.when(F.col("closed") & (F.col("inside_after") == 0), CLOSE).otherwise("")
-    pieces = write_through(pieces.withColumn("_brackets", F.concat(within, ended)), "json-pieces")
-    rises = _count(F.col("_brackets"), "[") + _count(F.col("_brackets"), "{")
-    pieces = pieces.withColumn("_change", 2 * rises - F.length("_brackets"))
-    pieces = L.running_sum(pieces, "_change", "depth")
-    pieces = pieces.withColumns({"depth_after": F.col("depth") + F.col("_change"), "low": F.col("depth") + _lowest(F.col("_brackets"))})
-    return pieces.drop("_outside", "_inside", "_brackets", "_change")
+    facts = facts.join(files.select("path", "size"), "path").withColumn("_ends_closed", beyond.isin(0, MARK_BYTES))
+    known = summed.join(facts.select("path", "opens", "_from", "_to", "_ends_closed"), "path")
+    known = known.withColumns({"first": place == F.col("_from"), "last": place == F.col("_to")})
+    known = known.withColumns({"closed": ~F.col("last") | F.col("_ends_closed"), "_outside": F.col("odd"), "_inside": 1 - F.col("odd"), "_one": F.lit(1)})
+    stated = L.states(known, "_outside", "_inside")
+    told = lambda name: F.when(F.col("inside_before") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
+    brace = F.col("closed") & (F.col("inside_after") == 0)
+    stated = stated.withColumn("_change", told("change") - F.when(brace, 1).otherwise(0))
+    stated = stated.withColumn("low", F.least(told("low"), F.when(brace, F.col("_change"))))
+    summed = L.running_sum(L.running_sum(stated, "_change", "depth"), "_one", "nth")
+    summed = write_through(summed.withColumn("_low", F.col("depth") + F.col("low")), "json-states")
+    ends = summed.where("_low <= 0").groupBy("path").agg(F.min("nth").alias("_end"))
+    kept = summed.join(ends, "path", "left").where("_end is null or nth <= _end")
+    kept = kept.withColumn("ending", F.coalesce(F.col("nth") == F.col("_end"), F.lit(False)))
+    return kept.select("path", "block", F.col("line_no").alias("run"), "nth", "opens", "inside_before", "depth", "first", "closed", "last", "ending")
 
 
 def read_json_chunks(spark: SparkSession, paths: str | list[str], objects: bool) -> DataFrame:
@@ -88,36 +184,29 @@ def read_json_chunks(spark: SparkSession, paths: str | list[str], objects: bool)
     up to the first closing brace. Spark's scans skip files of no bytes. What follows the array is left out, as the
     readers do.
     """
+    ship_package(spark)
     files = write_through(_files(spark, paths), "json-files")
-    pieces = write_through(_nested(_pieces(spark, paths, files)), "json-nested")
-    is_array = F.col("opens") == "["
-    ends = pieces.where(F.col("low") <= 0).groupBy("path").agg(F.min("line_no").alias("_end"))
-    pieces = pieces.join(ends, "path", "left").where(F.col("_end").isNull() | (F.col("line_no") <= F.col("_end")))
-    # other files: all of an object if asked for, else the first piece
-    wanted = is_array | (F.col("line_no") == 0)
-    pieces = pieces.where(wanted | (F.col("opens") == "{") if objects else wanted)
-
-    first = F.col("line_no") == 0
-    starts = first | (is_array & (F.col("depth") == 1) & (F.col("inside_before") == 0))
-    root_closes = F.col("line_no") == F.col("_end")
-    element_ends = is_array & (F.col("depth_after") == 1) & (F.col("inside_after") == 0) & F.col("closed") & ~F.coalesce(root_closes, F.lit(False))
-    line = F.col("line")
-    begun = (
-        F.when(first | ~starts, line)
-        .when(line.rlike(BLANKS + r"\]"), F.concat(F.lit("["), line))
-        .when(line.rlike(BLANKS + r",(?!\s*\])"), F.regexp_replace(line, BLANKS + ",", "["))
-        .otherwise(BROKEN)
+    runs = L.read_lines(spark, paths, CLOSE, RUN_BYTES)
+    whole = (F.col("opens") == "{") & F.lit(objects)
+    states = _states(runs, files).where((F.col("opens") == "[") | F.col("first") | whole).withColumn("all", whole)
+    # only here do texts travel, to their states; of the cut runs only what goes on in another one
+    placed = runs.select("path", "modified", "block", "run", "text").join(write_through(states, "json-places"), ["path", "block", "run"])
+    schema = "path string, modified timestamp, block long, nth long, whole array<binary>, head binary, tail binary"
+    cut = write_through(placed.mapInArrow(_chunked, schema), "json-cut")
+    alone = cut.select("path", "modified", F.explode("whole").alias("text"))
+    ends = F.array(
+        F.struct((2 * F.col("nth")).alias("line_no"), F.col("head").alias("line"), F.lit(False).alias("starts")),
+        F.struct((2 * F.col("nth") + 1).alias("line_no"), F.col("tail").alias("line"), F.lit(True).alias("starts")),
     )
-    ended = F.concat(begun, F.when(F.col("closed"), CLOSE).otherwise(""), F.when(element_ends & ~F.col("last"), "]").otherwise(""))
-    alone = starts & (element_ends | F.coalesce(root_closes, F.lit(False)) | F.col("last") | (F.col("opens") == ""))
-    marked = pieces.select("path", "block", "line_no", ended.alias("line"), starts.alias("starts"), alone.alias("alone"))
-    chunks = L.chunks(write_through(marked, "json-marked"), "starts", joiner="")
-    named = chunks.select("path", F.col("text").alias("content")).join(files.select("path", "modified"), "path")
-    return named.select(
+    open_ends = cut.where("head is not null or tail is not null").select("path", "block", F.inline(ends)).where("line is not null")
+    texts = open_ends.withColumns({"line": F.col("line").cast("string"), "alone": F.lit(False)})
+    joined = L.chunks(write_through(texts, "json-ends"), "starts", joiner="").select("path", "text").join(files.select("path", "modified"), "path")
+    chunks = alone.withColumn("text", F.col("text").cast("string")).unionByName(joined)
+    return chunks.select(
         "path",
         landing.source_of(F.col("path")).alias("source_name"),
         landing.downloaded_at(F.col("path"), F.col("modified")).alias("downloaded_at"),
-        "content",
+        F.col("text").alias("content"),
     )
 
 
@@ -126,6 +215,7 @@ def _by_file(rows: DataFrame, refused: list[str]) -> DataFrame:
     NULL, as it may not fit a row; ``path`` says where it is."""
     rows = write_through(rows, "json-rows")
     bad = rows.where(F.col("reason").isin(refused)).groupBy("path", "source_name").agg(F.max("reason").alias("reason"))
+    bad = write_through(bad, "json-refused")
     return rows.join(bad, "path", "left_anti").unionByName(bad, allowMissingColumns=True)
 
 

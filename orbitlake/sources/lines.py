@@ -7,6 +7,11 @@ next one travel to it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +20,63 @@ from orbitlake.workspace import write_through
 BYTE_ORDER_MARK = "﻿"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = None) -> DataFrame:
+def _together(ends: bytes, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of a block's consecutive lines, as the scan gives them, joined by ``ends``."""
+    names, mark = ["path", "modified", "block", "run", "lines", "bytes", "text"], BYTE_ORDER_MARK.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lines, length, number = None, [], 0, 0
+        made: list[tuple] = []
+
+        def finish() -> None:
+            nonlocal lines, length, number
+            if lines:
+                made.append((*key, number, len(lines), sum(map(len, lines)), ends.join(lines)))
+                lines, length, number = [], 0, number + 1
+
+        def written(like: pa.Schema) -> pa.RecordBatch:
+            kinds = [like.field(n).type for n in names[:3]] + [pa.int64()] * 3 + [pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*made), kinds)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        schema = None
+        for batch in batches:
+            schema, values = batch.schema, batch["line"].to_pylist()
+            block = batch["block"].to_numpy(zero_copy_only=False)
+            paths = batch["path"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((block[1:] != block[:-1]) | (paths[1:] != paths[:-1])) + 1
+            for low, high in pairwise([0, *changes.tolist(), len(values)]):
+                if low == high:
+                    continue
+                own = tuple(batch[n][low].as_py() for n in names[:3])
+                if own != key:
+                    finish()
+                    key, number = own, 0
+                    if own[2] == 0:
+                        values[low] = values[low].removeprefix(mark)
+                for value in values[low:high]:
+                    lines.append(value)
+                    length += len(value) + 1
+                    if length >= size:
+                        finish()
+            if made:
+                yield written(schema)
+        finish()
+        if made:
+            yield written(schema)
+
+    return run
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = None, run_bytes: int | None = None) -> DataFrame:
     """(path, modified, block, line_no, line): every line with its number in its file, from 0. A line ends at a line
     feed, a carriage return or both, or at ``ends`` only. An empty file has no lines. Written once, as the order within
     a block is the scan's.
+
+    With ``run_bytes``, (path, modified, block, run, lines, bytes, text): the lines in runs of about that size, which no
+    block's end crosses, numbered from 0 in each block; how many lines, how many bytes without their ends, and the lines
+    joined by ``ends``, as bytes.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     scan = (reader.option("lineSep", ends) if ends else reader).text(paths)
@@ -29,6 +87,10 @@ def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = N
         F.monotonically_increasing_id().alias("_order"),
         F.col("value").alias("line"),
     )
+    if run_bytes:
+        found = lines.select("path", "modified", "block", F.col("line").cast("binary").alias("line"))
+        schema = "path string, modified timestamp, block long, run long, lines long, bytes long, text binary"
+        return write_through(found.mapInArrow(_together(ends.encode(), run_bytes), schema), "runs")
     lines = write_through(lines, "lines")
     blocks = lines.groupBy("path", "block").agg(F.count("*").alias("_size"), F.min("_order").alias("_first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -124,3 +124,24 @@ def test_nothing_to_read(spark, tmp_path):
     (tmp_path / "empty.json").write_text("")
     good, bad = json_pieces.parse_gp_json_files(spark, str(tmp_path))
     assert good.count() == 0 and bad.count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 60, 700])
+def test_runs_of_pieces_equal_whole_file_reading(spark, tmp_path, small_blocks, monkeypatch, size):
+    """Runs that end within elements, strings and escapes, several to a block."""
+    folder = landed(tmp_path, cases(size))
+    whole = landing.read_snapshots(spark, folder).withColumn("content", F.col("content").cast("string"))
+    expected = told(gp_json.parse_gp_json(whole), "*")
+    monkeypatch.setattr(json_pieces, "RUN_BYTES", size)
+    small_blocks(1000)
+    assert told(json_pieces.parse_gp_json_files(spark, folder), "*") == expected
+
+
+def test_pieces_of_a_block_travel_together(spark, tmp_path):
+    """What is shuffled per file is rows of runs, not of pieces."""
+    items = [A.replace('"a"', f'"n{i}"') for i in range(2000)]
+    folder = landed(tmp_path, [f"[{','.join(items)}]"])
+    runs = lines_of.read_lines(spark, folder, json_pieces.CLOSE, json_pieces.RUN_BYTES).collect()
+    assert sum(r.lines for r in runs) == 2001 and len(runs) <= sum(r.bytes for r in runs) / json_pieces.RUN_BYTES + 2
+    told_bytes = [r.bytes + r.lines - 1 for r in sorted(runs, key=lambda r: (r.block, r.run))]
+    assert told_bytes == [len(r.text) for r in sorted(runs, key=lambda r: (r.block, r.run))]
