@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Only the partitions a write touches are replaced.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A listing of many paths shares this many tasks; by default it takes a task a path, up to ten thousand.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 

@@ -50,9 +50,10 @@ def snapshot(df: DataFrame, kind: str) -> DataFrame:
 
 
 def land(snapshots: DataFrame, folder: str) -> None:
-    """Write snapshots as files, one per row, under ``source_name=…`` folders."""
-    parts = snapshots.select("source_name", F.col("path").alias("part"), "content")
-    parts.write.mode("append").partitionBy("source_name", "part").option("lineSep", "\n").text(folder)
+    """Write snapshots as files, one per row, under ``source_name=…`` folders. A source's files share its folder: one
+    folder each would have to be made, renamed and listed, too."""
+    parts = snapshots.select("source_name", "content")
+    parts.write.mode("append").partitionBy("source_name").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder)
 
 
 def feed_group(event_type: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orbitlake import schemas
 from orbitlake.sources import gp_json, landing, launches, registry, staging_csv
+from orbitlake.workload import rawtext
 
 AT = dt.datetime(2024, 1, 2, 3, 4, 5)
 
@@ -317,3 +318,16 @@ def test_delimited_files_in_splits_equal_whole_files(spark, tmp_path, monkeypatc
     want = shown(registry.read_registry(frame).where("reason is null or reason <> ''").select(columns))
     assert [x for x in got if x not in want] == [x for x in want if x not in got] == []
     assert got == want and len(got) > 60
+
+
+def test_landed_files_share_the_folder_of_their_source(spark, tmp_path):
+    """One file a snapshot, whatever its path, and no folder but the sources'."""
+    made = [(f"a/{i}", f"text\n{i}", f"source-{i % 2}", None, "k", AT) for i in range(40)] + [("a/0", "again", "source-0", None, "k", AT)]
+    files = spark.createDataFrame(made, schemas.RAW_SNAPSHOT)
+    rawtext.land(files.coalesce(1), str(tmp_path / "landing"))
+    rawtext.land(files.where("path = 'a/1'"), str(tmp_path / "landing"))
+    folders = {p.name for p in (tmp_path / "landing").rglob("*") if p.is_dir()}
+    found = landing.read_snapshots(spark, str(tmp_path / "landing"))
+    texts = [(r.source_name, bytes(r.content).decode()) for r in found.collect()]
+    assert folders == {"source_name=source-0", "source_name=source-1"}
+    assert sorted(texts) == sorted([(name, f"{text}\n") for _, text, name, *_ in made] + [("source-1", "text\n1\n")])
