@@ -331,3 +331,19 @@ def test_landed_files_share_the_folder_of_their_source(spark, tmp_path):
     texts = [(r.source_name, bytes(r.content).decode()) for r in found.collect()]
     assert folders == {"source_name=source-0", "source_name=source-1"}
     assert sorted(texts) == sorted([(name, f"{text}\n") for _, text, name, *_ in made] + [("source-1", "text\n1\n")])
+
+
+def test_a_listing_of_many_folders_shares_tasks(spark, tmp_path):
+    paths = [tmp_path / f"d{i}" for i in range(100)]
+    for path in paths:
+        path.mkdir()
+        (path / "20240102T000000000Z_celestrak-active.json").write_text("[]")
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        files = spark.read.format("binaryFile").load([str(p) for p in paths])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert files.count() == 100 and sum(s.numTasks for s in stages) in range(1, 65)
