@@ -66,27 +66,34 @@ def _bands(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, write_through(groups.where("n > 1"), "bands")
 
 
-def _candidates(held: DataFrame, groups: DataFrame) -> DataFrame:
+def _large(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, line_id, least, most) of the bands that more than two lines share. All other bands of all lines stay where
+    they are, unless these bands are too many to broadcast."""
+    several = broadcast_if_small(groups.where("n > 2").select("band", "least", "most"))
+    return write_through(held.join(several, "band").select("band", "line_id", "least", "most"), "large-bands")
+
+
+def _candidates(groups: DataFrame, large: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines that share a band: each with the least and the greatest line of it."""
     small = groups.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    # the groups are a written table: a plain join, in which Spark can split a band that many lines share
-    large = held.join(groups.where("n > 2"), "band").select("line_id", F.explode(F.array("least", "most")).alias("b"))
-    large = large.where("line_id <> b").select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b"))
-    return small.unionByName(large).distinct()
+    ends = large.select("line_id", F.explode(F.array("least", "most")).alias("b")).where("line_id <> b")
+    ends = ends.select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b"))
+    return small.unionByName(ends).distinct()
 
 
-def _other_pairs(held: DataFrame, groups: DataFrame, roots: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _other_pairs(large: DataFrame, roots: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of lines that share a band, are not in one component, and that ``_candidates`` left out, but for
     those whose sketches rule out the threshold."""
-    large = held.join(groups.where("n > 2"), "band").join(roots, F.col("line_id") == F.col("node"), "left")
+    large = large.join(roots, F.col("line_id") == F.col("node"), "left")
     large = large.select("band", "line_id", "least", "most", F.coalesce("root", "line_id").alias("component"))
-    large = write_through(large, "large-bands")
+    large = write_through(large, "large-components")
     # a pair of which one line is the least or the greatest has been compared
     large_open = large.where("line_id <> least and line_id <> most").drop("least", "most")
     several = large_open.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
     several = write_through(several.select("band"), "open-bands")
     large_open = write_through(large_open.join(several, "band", "left_semi"), "open-lines")
-    sketches = write_through(_sets(large_open.select("line_id").distinct(), lines).select("line_id", *_sketch("set")), "line-sketches")
+    sets = _texts(large_open.select("line_id").distinct(), lines).select("line_id", _set(F.col("line")).alias("set"))
+    sketches = write_through(sets.select("line_id", *_sketch("set")), "line-sketches")
     each = write_through(large_open.join(sketches, "line_id"), "open-sketches")
     one = each.select("band", *(F.col(c).alias(f"{c}_a") for c in each.columns if c != "band"))
     two = each.select(F.col("band").alias("_band"), *(F.col(c).alias(f"{c}_b") for c in each.columns if c != "band"))
@@ -105,22 +112,34 @@ def _sketch(column: str) -> list[Column]:
     return [F.size(column).alias("size"), *(F.expr(parity.format(column, SKETCH - 1, i)).alias(f"p{i}") for i in range(SKETCH))]
 
 
-def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line_id, set): the hashes of the shingles of the lines of ``wanted``."""
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, line) of the lines of ``wanted``, each once."""
     wanted = broadcast_if_small(write_through(wanted, "candidate-lines"))
-    found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
-    sets = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    return write_through(found.select("line_id", sets.alias("set")), "line-sets")
+    found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi")
+    return write_through(found.dropDuplicates(["line_id"]), "line-texts")
+
+
+def _set(line: Column) -> Column:
+    """The hashes of the shingles of a line."""
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets of shingles reach the threshold."""
+    """Pairs whose sets of shingles reach the threshold. The lines travel to the pairs, not their sets, which take eight
+    bytes a character; a pair makes its two sets where it is compared."""
     wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
-    sets = _sets(wanted, lines)
-    one = sets.select(F.col("line_id").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("line_id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
+    texts = _texts(wanted, lines)
+    one = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
+    two = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
+    both = pairs.join(one, "a").join(two, "b")
+
+    def near(sets: Column) -> Column:
+        common = F.size(F.array_intersect(sets["a"], sets["b"]))
+        return (100 + percent) * common >= percent * (F.size(sets["a"]) + F.size(sets["b"]))
+
+    # an array of one element, so that a set is made once and not at every mention
+    sets = F.array(F.struct(_set(F.col("line_a")).alias("a"), _set(F.col("line_b")).alias("b")))
+    return both.where(F.exists(sets, near)).select("a", "b")
 
 
 def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -129,8 +148,9 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     lines = _lines(docs.select(F.lit(None).alias("key"), F.lit(None).alias("id"), F.col(text_col).alias("text")))
     percent = round(100 * threshold)
     held, groups = _bands(write_through(_signatures(lines), "line-signatures"))
-    links = write_through(_verified(write_through(_candidates(held, groups), "line-pairs"), lines, percent), "line-links")
-    others = write_through(_other_pairs(held, groups, components(links, "a", "b"), lines, percent), "other-pairs")
+    large = _large(held, groups)
+    links = write_through(_verified(write_through(_candidates(groups, large), "line-pairs"), lines, percent), "line-links")
+    others = write_through(_other_pairs(large, components(links, "a", "b"), lines, percent), "other-pairs")
     return links if others.isEmpty() else links.unionByName(_verified(others, lines, percent))
 
 

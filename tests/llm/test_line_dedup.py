@@ -147,3 +147,22 @@ def test_one_character_more_in_lines_without_spaces(spark):
     links = {frozenset(r) for r in line_dedup.line_links(texts).collect()}
     wanted = {frozenset(ids[i : i + 2]) for i in range(0, len(ids), 2)}
     assert links <= wanted and len(links) >= 0.97 * len(wanted)
+
+
+def test_sets_of_shingles_stay_off_the_disk(spark, monkeypatch):
+    """A set takes eight bytes a character: neither intermediate tables nor shuffles may hold one."""
+    written = []
+    keep = line_dedup.write_through
+
+    def watched(df, label):
+        written.append((label, df.dtypes, df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df, label)
+
+    monkeypatch.setattr(line_dedup, "write_through", watched)
+    lines = [H.prose(1, 20, 9000) + " " + H.prose(1000 + i // 2, 6, 9000) + " end" * (i % 2) for i in range(60)]
+    assert not line_dedup.line_links(H.documents(spark, lines)).isEmpty()
+    assert "line-links" in {label for label, _, _ in written}
+    for label, columns, plan in written:
+        assert not any(kind == "array<bigint>" for name, kind in columns if name != "bands"), label
+        made = [step.lstrip(" :+-").split(" ")[0] for step in plan.splitlines() if "array_distinct" in step]
+        assert set(made) <= {"Join", "Filter"} or label == "line-sketches", label
