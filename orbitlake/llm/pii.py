@@ -10,6 +10,7 @@ a look-alike apart. Thresholds are calibrated per kind on candidates that were n
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from orbitlake.llm import boosting
 from orbitlake.llm.words import string_array
+from orbitlake.workspace import write_through
 
 # Kinds in order, patterns of the contract, words that announce a kind
 KINDS = ("email", "ip", "card", "phone")
@@ -45,8 +47,7 @@ LOOSE_IP = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}")
 LOOSE_CARD = re.compile(r"[0-9](?:[ ./-]?[0-9]){12,18}")
 LOOSE_PHONE = re.compile(r"(?:\([0-9]{2,5}\)[ .-]?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}")
 
-SAMPLE_DOCUMENTS = 20_000  # expected number of documents whose candidates the trees are fitted on
-SAMPLE_CANDIDATES = 50_000  # candidates fetched for that at most, those of the smallest hashes
+FEW_CELLS = 50_000  # distinct binned candidates, some 60 bytes each, from which the driver grows the trees itself
 PRECISION = 0.97
 CONTEXT = 30
 
@@ -177,38 +178,125 @@ class Model:
 
 
 FEATURES = 19
+_CELL = "held boolean, kind int, label int, bins binary, n bigint"
 
 
 def _examples(batches):
+    """Kind, features and label of every candidate; those of a quarter of the texts are held out."""
     for batch in batches:
-        rows = []
+        held, kind, label, rows = [], [], [], []
         for text in string_array(batch["text"]).to_pylist():
             found = candidates(text)
             base = base_spans(text) if found else []
-            rows += [([float(passes(text, c, base))] + features(text, c)) for c in found]
+            out = zlib.crc32(text.encode("utf-8", "surrogatepass")) % 4 == 0 if found else False
+            held += [out] * len(found)
+            kind += [c[1] for c in found]
+            label += [int(passes(text, c, base)) for c in found]
+            rows += [features(text, c) for c in found]
         if rows:
-            yield pa.record_batch({"row": pa.array(rows, pa.list_(pa.float64()))})
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Trees and thresholds from the candidates of a sample of documents, chosen by a hash of the id; None where the
-    sample holds no candidates of both sorts. The sample is bounded by the two constants above."""
-    count = docs.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, count))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000
-    sample = docs.where(draw).select(F.col(text_col).alias("text"))
-    drawn = sample.mapInArrow(_examples, "row array<double>").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_CANDIDATES)
-    rows = [r[0] for r in drawn.collect()]
-    data = np.array(rows, np.float64).reshape(-1, FEATURES + 1)
-    data = data[np.lexsort(data.T[::-1])]  # the order of tasks must not show
-    y, x = data[:, 0], data[:, 1:]
-    held = np.arange(len(y)) % 4 == 0
-    if len(y) < 40 or not 0 < y[~held].mean() < 1:
+            own = [pa.array(held), pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array(rows, pa.list_(pa.float64()))]
+            yield pa.record_batch(own, ["held", "kind", "label", "row"])
+
+
+def _binned(trees: boosting.Boosted):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bins = trees.binned(np.array(batch["row"].to_pylist(), np.float64)).astype(np.uint8)
+                own = [batch[c] for c in ("held", "kind", "label")]
+                yield pa.record_batch([*own, pa.array([b.tobytes() for b in bins], pa.binary()), batch["n"]], ["held", "kind", "label", "bins", "n"])
+
+    return run
+
+
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FEATURES).astype(np.int64)
+
+
+def _cells(batch: pa.RecordBatch) -> boosting.Cells:
+    return boosting.Cells(_bins(batch["bins"]), batch["label"].to_numpy(), batch["n"].to_numpy())
+
+
+def _sums(cells: DataFrame) -> boosting.Sums:
+    """Sums over cells in Spark: of every task one row per node, feature and bin."""
+
+    def sums(model: boosting.Boosted, features: np.ndarray, cuts: np.ndarray, level: int) -> np.ndarray:
+        shape = (2, 2**level, FEATURES, boosting.BINS + 1)
+
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                total += _cells(batch).sums(model, features, cuts, level)
+            slope, curve = total.reshape(2, -1)
+            place = np.flatnonzero(curve)
+            yield pa.record_batch([pa.array(place), pa.array(slope[place]), pa.array(curve[place])], ["place", "slope", "curve"])
+
+        each = cells.mapInArrow(run, "place bigint, slope double, curve double").groupBy("place").agg(F.sum("slope"), F.sum("curve"))
+        total = np.zeros((2, int(np.prod(shape[1:]))))
+        for place, slope, curve in each.collect():
+            total[:, place] = slope, curve
+        return total.reshape(shape)
+
+    return sums
+
+
+def _rate(trees: boosting.Boosted):
+    def run(batches):
+        for batch in batches:
+            p = 1 / (1 + np.exp(-trees.margin_of(_bins(batch["bins"]))))
+            own = [batch["kind"], pa.array(p), batch["label"], batch["n"]]
+            yield pa.record_batch(own, ["kind", "p", "label", "n"])
+
+    return run
+
+
+def _pool(batches):
+    """Blocks of sorted rows, pooled as far as a task sees them; they are many fewer than its rows."""
+    blocks: dict[int, list[boosting.Block]] = {}
+    for batch in batches:
+        for kind, p, positives, n in zip(*(batch[c].to_pylist() for c in ("kind", "p", "positives", "n"))):
+            own = blocks.setdefault(kind, [])
+            own.append((positives, n, p))
+            if len(own) % 10_000 == 0:
+                blocks[kind] = boosting.pooled(own)
+    rows = [(kind, *block) for kind, own in blocks.items() for block in boosting.pooled(own)]
+    if rows:
+        yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["kind", "positives", "n", "low"])
+
+
+def _thresholds(held: DataFrame, trees: boosting.Boosted) -> list[float]:
+    """Per kind, from all held-out cells."""
+    rated = held.mapInArrow(_rate(trees), "kind int, p double, label int, n bigint")
+    each = rated.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("positives"), F.sum("n").alias("n"))
+    blocks = each.repartitionByRange("kind", "p").sortWithinPartitions("kind", "p")
+    rows = blocks.mapInArrow(_pool, "kind bigint, positives bigint, n bigint, low double").collect()
+    by_kind = [sorted((r.low, r.positives, r.n) for r in rows if r.kind == k) for k in range(len(KINDS))]
+    return [boosting.threshold_of([(positives, n, low) for low, positives, n in own], PRECISION) for own in by_kind]
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Model | None:
+    """Trees and thresholds from the candidates of all documents; None where there are no candidates of both sorts.
+
+    Candidates are counted by bins and label. Of up to ``FEW_CELLS`` such cells the trees are grown in the driver, else
+    every level of every tree is a pass over the cells; both add up the same whole units and give the same trees.
+    Thresholds come from all candidates of a quarter of the texts, which the trees do not see.
+    """
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_examples, "held boolean, kind int, label int, row array<double>")
+    found = write_through(found.groupBy("held", "kind", "label", "row").agg(F.count("*").alias("n")), "pii-candidates")
+    fitted = found.where("not held")
+    quantiles = [F.percentile(F.col("row")[j], [float(q) for q in boosting.QUANTILES], F.col("n")).alias(f"q{j}") for j in range(FEATURES)]
+    total = found.agg(F.sum("n")).first()[0] or 0
+    seen = fitted.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("positives"), *quantiles).first()
+    if total < 40 or not seen.n or not 0 < seen.positives < seen.n:
         return None
-    trees = boosting.fit(x[~held], y[~held])
-    p = trees.probability(x)
-    of_kind = [held & (x[:, k] == 1) for k in range(len(KINDS))]
-    return Model(trees, [boosting.least_threshold(p[own], y[own], PRECISION) for own in of_kind])
+    edges = [np.unique(seen[f"q{j}"]) for j in range(FEATURES)]
+    cells = found.mapInArrow(_binned(boosting.Boosted(edges)), _CELL).groupBy("held", "kind", "label", "bins").agg(F.sum("n").alias("n"))
+    cells = write_through(cells, "pii-cells")
+    fitted = cells.where("not held")
+    few = fitted.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    sums = _cells(fitted.toArrow().combine_chunks().to_batches()[0]).sums if few else _sums(fitted)
+    trees = boosting.grow(edges, seen.positives / seen.n, sums)
+    return Model(trees, _thresholds(cells.where("held"), trees))
 
 
 def _search(model: Model | None, id_type: pa.DataType):

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -178,3 +179,56 @@ def test_very_long_texts_of_personal_data():
         base = pii.base_spans(text)
         assert pii.candidates(text) is not None and base == sorted(base), part
     assert time.process_time() - began < 120
+
+
+def numbered_texts(count):
+    """Calls and look-alikes: what a candidate is shows in its context, and no two texts are alike."""
+    draw = random.Random(5)
+    texts = []
+    for i in range(count):
+        digits = "".join(draw.choice("0123456789") for _ in range(11))
+        call = f"call +{digits[:2]} {digits[2:5]} {digits[5:]}" if i % 2 else f"part {digits[:3]} {digits[3:6]} {digits[6:]}"
+        texts.append(f"{'w' * (i % 50)} {call} {H.prose(i, 1 + i % 7)}")
+    return texts
+
+
+def test_trees_and_thresholds_see_every_candidate(spark, monkeypatch):
+    """The counts the trees start from are those of all candidates outside the held-out quarter, however many there are."""
+    texts = numbered_texts(300)
+    seen = []
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda edges, share, sums, *more: (seen.append((edges, share)), grow(edges, share, sums, *more))[1])
+    pooled = []
+    threshold = boosting.threshold_of
+    monkeypatch.setattr(boosting, "threshold_of", lambda blocks, precision: (pooled.append(sum(b[1] for b in blocks)), threshold(blocks, precision))[1])
+    for constant in ("SAMPLE_DOCUMENTS", "SAMPLE_CANDIDATES"):
+        monkeypatch.setattr(pii, constant, 30, raising=False)
+    model = pii.fit(H.documents(spark, texts))
+    rows = {True: [], False: []}
+    for text in texts:
+        base = pii.base_spans(text)
+        rows[zlib.crc32(text.encode()) % 4 == 0] += [(pii.passes(text, c, base), pii.features(text, c)) for c in pii.candidates(text)]
+    x, y = np.array([f for _, f in rows[False]]), np.array([float(p) for p, _ in rows[False]])
+    ((edges, share),) = seen
+    assert share == pytest.approx(y.mean()) and sum(pooled) == len(rows[True])
+    expected = boosting.fit(x, y)
+    assert all(np.allclose(a, b) for a, b in zip(edges, expected.edges))
+    assert np.allclose(model.trees.probability(x), expected.probability(x))
+
+
+def test_trees_grown_in_spark_equal_those_of_the_driver(spark, monkeypatch):
+    docs = H.documents(spark, numbered_texts(120)).repartition(3)
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda edges, share, sums: grow(edges, share, sums, rounds=3))
+    one = pii.fit(docs)
+    monkeypatch.setattr(pii, "FEW_CELLS", 0)
+    two = pii.fit(docs)
+    assert one.thresholds == two.thresholds and len(two.trees.trees) == 3
+    for a, b in zip(one.trees.trees, two.trees.trees):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_rows_of_equal_probability_stand_or_fall_together():
+    p, y = np.array([0.2] * 3 + [0.8] * 200), np.array([0.0] * 103 + [1.0] * 100)
+    assert boosting.least_threshold(p, y, 0.97) > 1
+    assert boosting.least_threshold(p, (p > 0.5) * 1.0, 0.97) == 0.8
