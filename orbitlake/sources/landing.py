@@ -57,45 +57,54 @@ def read_snapshots(spark: SparkSession, landing: str, feeds: DataFrame | None =
     return with_feed(files, feed_table(spark) if feeds is None else feeds).drop("modified")
 
 
-def files_of_day(
+def _decoded(path: Column) -> Column:
+    """A path as ``binaryFile`` spells it, from the spelling of ``_metadata``, where it is an encoded address."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _day(path: Column, as_of: dt.date) -> Column:
+    """The day of a file by its name; files without a time in it count as of ``as_of``."""
+    return F.to_date(downloaded_at(path, F.lit(as_of).cast("timestamp")))
+
+
+def newest_days(
     spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None, unknown: bool = False
 ) -> DataFrame:
-    """(path, kind) of the files a run of the day ``as_of`` stages: of every source those of its newest day up to then,
-    so that a feed without a new file keeps its last one. Files without a time in their name count as of the day.
+    """(source_name, kind, day): the newest day up to ``as_of`` of every source, whose files a run of that day stages, so
+    that a feed without a new file keeps its last one. Files without a time in their name count as of the day.
     ``unknown``: also those of feeds that are not configured, with a NULL kind. Lists files without reading them.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(landing)
-        .select("path", F.lit(as_of).cast("timestamp").alias("modified"))
-    )
-    known = with_feed(files, feed_table(spark) if feeds is None else feeds)
-    known = known if unknown else known.where(F.col("kind").isNotNull())
-    dated = known.withColumn("_day", F.to_date("downloaded_at")).where(F.col("_day") <= F.lit(as_of))
-    newest = dated.groupBy(F.col("source_name").alias("_source")).agg(F.max("_day").alias("_newest"))
-    chosen = (F.col("source_name") == F.col("_source")) & (F.col("_day") == F.col("_newest"))
-    return dated.join(newest, chosen, "left_semi").select("path", "kind").distinct()
+    return _newest_days(_all_files(spark, landing), feed_table(spark) if feeds is None else feeds, as_of, unknown)
+
+
+def _all_files(spark: SparkSession, landing: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing)
+
+
+def _newest_days(files: DataFrame, feeds: DataFrame, as_of: dt.date, unknown: bool) -> DataFrame:
+    dated = files.select(source_of(F.col("path")).alias("source_name"), _day(F.col("path"), as_of).alias("day"))
+    newest = dated.where(F.col("day") <= F.lit(as_of)).groupBy("source_name").agg(F.max("day").alias("day"))
+    known = newest.join(feeds.select("source_name", "kind").distinct(), "source_name", "left")
+    return (known if unknown else known.where(F.col("kind").isNotNull())).select("source_name", "kind", "day")
 
 
 def read_day(
     spark: SparkSession, landing: str, as_of: dt.date, feeds: DataFrame | None = None, unknown: bool = False
 ) -> dict[str | None, DataFrame]:
-    """The day's snapshots by kind, with binary content; each kind's scan lists only its own files. ``unknown`` as in
-    ``files_of_day``."""
-    paths: dict[str, list[str]] = {kind: [] for kind in (K.GP, K.REGISTRY, K.LAUNCHES)}
-    for row in files_of_day(spark, landing, as_of, feeds, unknown).toLocalIterator():
-        paths.setdefault(row.kind, []).append(row.path)
-    nothing = spark.createDataFrame([], "path string, content binary, modified timestamp")
-
-    def read(own: list[str]) -> DataFrame:
-        if not own:
-            return nothing
-        files = spark.read.format("binaryFile").load(sorted(own))
-        return files.select("path", "content", F.col("modificationTime").alias("modified"))
-
+    """The day's snapshots by kind, with binary content; ``unknown`` as in ``newest_days``. The folder is listed once, and a
+    scan picks its files from that listing by their names, so the driver fetches a row a source and none a file."""
     table = feed_table(spark) if feeds is None else feeds
-    return {kind: with_feed(read(own), table).drop("modified") for kind, own in paths.items()}
+    files = _all_files(spark, landing)
+    own: dict[str | None, list[tuple[str, dt.date]]] = {kind: [] for kind in (K.GP, K.REGISTRY, K.LAUNCHES)}
+    for row in _newest_days(files, table, as_of, unknown).collect():
+        own.setdefault(row.kind, []).append((row.source_name, row.day))
+
+    def read(days: list[tuple[str, dt.date]]) -> DataFrame:
+        path = _decoded(F.col("_metadata.file_path"))
+        staged = F.concat_ws("/", _day(path, as_of).cast("string"), source_of(path)).isin([f"{day}/{source}" for source, day in days])
+        return files.where(staged).select("path", "content", F.col("modificationTime").alias("modified"))
+
+    return {kind: with_feed(read(days), table).drop("modified") for kind, days in own.items()}
 
 
 def as_text(snapshots: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 import datetime as dt
 import io
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from orbitlake import constants as K
 from orbitlake import schemas
 from orbitlake.sources import gp_json, landing, launches, registry, staging_csv
 from orbitlake.workload import rawtext
@@ -347,3 +349,43 @@ def test_a_listing_of_many_folders_shares_tasks(spark, tmp_path):
     tracker = context.statusTracker()
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert files.count() == 100 and sum(s.numTasks for s in stages) in range(1, 65)
+
+
+def _files_read(frame) -> int:
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    seen, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        elif node.nodeName().startswith("Scan binaryFile"):
+            seen += node.metrics().get("numFiles").get().value()
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return seen
+
+
+def test_a_day_is_picked_from_one_listing(spark, tmp_path):
+    """Of the files of the newest days no list goes through the driver, and no others are opened."""
+    folder = tmp_path / "landing"
+    stamped = ["20240130T040000000Z_celestrak-active.json", "20240131T040000000Z_celestrak-active.json", "20240131T050000000Z_celestrak-active.json"]
+    odd = "spacedevs a+b%c é"
+    for name in [*stamped, f"source_name={odd}/part 1+%41é.txt", f"source_name={odd}/part 2.txt", "source_name=celestrak-GEO/x"]:
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(name)
+    rows = [("celestrak-active", K.GP, "a"), ("celestrak-GEO", K.GP, "g"), (odd, K.LAUNCHES, "o")]
+    feeds = spark.createDataFrame(rows, "source_name string, kind string, source_uri string")
+    day = landing.read_day(spark, str(folder), dt.date(2024, 2, 1), feeds)
+    got = {kind: sorted(bytes(r.content).decode() for r in frame.collect()) for kind, frame in day.items()}
+    assert got == {
+        K.GP: [*stamped[1:], "source_name=celestrak-GEO/x"],
+        K.REGISTRY: [],
+        K.LAUNCHES: [f"source_name={odd}/part 1+%41é.txt", f"source_name={odd}/part 2.txt"],
+    }
+    assert {kind: _files_read(frame) for kind, frame in day.items()} == {K.GP: 3, K.REGISTRY: 0, K.LAUNCHES: 2}
+    for frame in day.values():
+        listed = re.findall(r"\((\d+) paths\)", frame._jdf.queryExecution().simpleString())
+        assert set(listed) <= {"1"}
