@@ -1,14 +1,16 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact verification, union-find. Column functions only.
 
 A shingle is the run of eight characters from any character of a line onwards. Signatures are minima of the shingles' hashes under fixed
-exclusive-ors, which Spark computes as plain aggregates. Lines that agree in a band of minima are compared with the
-least and the greatest line of that band; those that reach the Jaccard threshold are linked. Of the other pairs of a
-band, those that these links already join need no comparison; all the rest are compared, unless a sketch of the sets
-proves them too different. Of every component the first line stays.
+exclusive-ors, which Spark computes as plain aggregates. Lines that agree in a band of minima are compared with one
+line of that band, its hub; those that reach the Jaccard threshold are linked. Of the other pairs of a
+band, those that these links already join need no comparison; all the rest are compared. Before two lines are compared
+by their shingles, sketches of their sets rule out most of those that are too different.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +20,39 @@ from orbitlake.workspace import write_through
 
 THRESHOLD = 0.75
 CHARACTERS = 8  # of a shingle
-BLOCK = 64  # shingles of one piece of a line: finding a character in a text takes time by its distance from the start
-SKETCH = 4  # words of a sketch of a set, a power of two
+SKETCH = 16  # words of a sketch of a set, a power of two; it tells apart sets of up to some 100 shingles a word
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
 
 
-def _pieces(line: Column) -> Column:
-    """A line in lower case as pieces of ``BLOCK`` shingles each, which overlap so that no shingle is lost."""
-    pattern = rf"(?s)(?=(.{{{CHARACTERS},{BLOCK + CHARACTERS - 1}}}+|^.{{1,{CHARACTERS - 1}}}+\z)).{{1,{BLOCK}}}+"
-    return F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(1))
+def _characters(line: Column) -> Column:
+    """A line in lower case with four bytes a character, so that each is found at once, however far from the start."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def _starts(characters: Column) -> Column:
+    """Numbers (from 0) of the characters that a shingle starts from."""
+    return F.sequence(F.lit(0), F.greatest((F.length(characters) / 4).cast("int") - CHARACTERS, F.lit(0)))
+
 
+def _shingle(characters: Column, start: Column) -> Column:
+    return F.substring(characters, 4 * start + 1, F.lit(4 * CHARACTERS))
 
-def _starts(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (CHARACTERS - 1), F.lit(1)))
+
+def _each_shingle(line: Column, made: Callable[[Column], Column]) -> Column:
+    """What ``made`` makes of every shingle of a line, a shingle being given as the bytes of its characters."""
+    # an array of one element, so that the characters are made once and not at every shingle
+    each = F.transform(F.array(_characters(line)), lambda c: F.transform(_starts(c), lambda i: made(_shingle(c, i))))
+    return F.flatten(each)
 
 
 def shingles(line: Column) -> Column:
     """Character shingles of a line in lower case, one from every character; a shorter line is one shingle."""
-    return F.flatten(F.transform(_pieces(line), lambda p: F.transform(_starts(p), lambda i: F.substring(p, i, F.lit(CHARACTERS)))))
+    return _each_shingle(line, lambda s: F.decode(s, "UTF-32"))
+
+
+def _hashes(line: Column) -> Column:
+    """The hash of every shingle of a line, repeated ones included."""
+    return _each_shingle(line, F.xxhash64)
 
 
 def _is_blank(line: Column) -> Column:
@@ -49,9 +66,9 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """(line_id, bands): the hash of each band of minima, for every distinct line that is not blank."""
-    pieces = lines.where(~_is_blank(F.col("line"))).select(F.xxhash64("line").alias("line_id"), F.explode(_pieces(F.col("line"))).alias("piece"))
-    starts = pieces.select("line_id", "piece", F.explode(_starts(F.col("piece"))).alias("start"))
-    hashed = starts.select("line_id", F.hash(F.substring("piece", F.col("start"), F.lit(CHARACTERS))).alias("h"))
+    rows = lines.where(~_is_blank(F.col("line"))).select(F.xxhash64("line").alias("line_id"), _characters(F.col("line")).alias("characters"))
+    starts = rows.select("line_id", "characters", F.explode(_starts(F.col("characters"))).alias("start"))
+    hashed = starts.select("line_id", F.hash(_shingle(F.col("characters"), F.col("start"))).alias("h"))
     # fixed pseudo-random masks: each makes another order of the hashes
     masks = [(0x9E3779B1 * (i + 1) ^ 0x85EBCA77 * (i * i + 7)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
     least = hashed.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)))
@@ -67,79 +84,90 @@ def _bands(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _large(held: DataFrame, groups: DataFrame) -> DataFrame:
-    """(band, line_id, least, most) of the bands that more than two lines share. All other bands of all lines stay where
-    they are, unless these bands are too many to broadcast."""
-    several = broadcast_if_small(groups.where("n > 2").select("band", "least", "most"))
-    return write_through(held.join(several, "band").select("band", "line_id", "least", "most"), "large-bands")
+    """(band, line_id, hub) of the bands that more than two lines share. All other bands of all lines stay where they are,
+    unless these bands are too many to broadcast. The hub of a band is the line of it that meets the most lines in all its
+    bands: what the others are copies of shares more bands with them than they do with each other."""
+    several = broadcast_if_small(groups.where("n > 2").select("band", "n"))
+    rows = write_through(held.join(several, "band").select("band", "line_id", "n"), "large-rows")
+    met = write_through(rows.groupBy("line_id").agg(F.sum("n").alias("met")), "met-lines")
+    hubs = rows.join(met, "line_id").groupBy("band").agg(F.max(F.struct("met", "line_id"))["line_id"].alias("hub"))
+    return write_through(rows.join(write_through(hubs, "hubs"), "band").select("band", "line_id", "hub"), "large-bands")
 
 
 def _candidates(groups: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a band: each with the least and the greatest line of it."""
+    """Pairs (a, b) of lines that share a band: each with the hub of it."""
     small = groups.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    ends = large.select("line_id", F.explode(F.array("least", "most")).alias("b")).where("line_id <> b")
-    ends = ends.select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b"))
-    return small.unionByName(ends).distinct()
+    rays = large.where("line_id <> hub").select(F.least("line_id", "hub").alias("a"), F.greatest("line_id", "hub").alias("b"))
+    return small.unionByName(rays).distinct()
 
 
-def _other_pairs(large: DataFrame, roots: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of lines that share a band, are not in one component, and that ``_candidates`` left out, but for
-    those whose sketches rule out the threshold."""
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(line_id, size, p0, p1, …): size of the set of hashes of each line, and its parities: bit i of word j says whether
+    an odd number of hashes fall there. Two sets differ in at least as many hashes as their parities differ in bits."""
+    hashes = texts.select("line_id", F.explode(F.array_distinct(_hashes(F.col("line")))).alias("h"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    parities = [F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(SKETCH)]
+    return hashes.groupBy("line_id").agg(F.count("*").alias("size"), *parities)
+
+
+def _of(side: str, columns: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in columns]
+
+
+def _near(percent: int) -> Column:
+    """Whether the sketches of a and b leave it open that they reach the threshold."""
+    # sets that reach it differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    return (100 * least >= percent * most) & ((100 + percent) * apart <= (100 - percent) * (least + most))
+
+
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b) of the pairs that their sketches do not rule out."""
+    of_set = sketches.columns[1:]
+    one, two = (sketches.select(F.col("line_id").alias(side), *_of(side, of_set)) for side in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_near(percent)).select("a", "b", "size_a", "size_b")
+
+
+def _other_pairs(large: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b) of the lines that share a band, are not in one component, and that ``_candidates`` left out,
+    but for those that their sketches rule out."""
     large = large.join(roots, F.col("line_id") == F.col("node"), "left")
-    large = large.select("band", "line_id", "least", "most", F.coalesce("root", "line_id").alias("component"))
+    large = large.select("band", "line_id", "hub", F.coalesce("root", "line_id").alias("component"))
     large = write_through(large, "large-components")
-    # a pair of which one line is the least or the greatest has been compared
-    large_open = large.where("line_id <> least and line_id <> most").drop("least", "most")
+    # a pair of which one line is the hub has been compared
+    large_open = large.where("line_id <> hub").drop("hub")
     several = large_open.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
     several = write_through(several.select("band"), "open-bands")
-    large_open = write_through(large_open.join(several, "band", "left_semi"), "open-lines")
-    sets = _texts(large_open.select("line_id").distinct(), lines).select("line_id", _set(F.col("line")).alias("set"))
-    sketches = write_through(sets.select("line_id", *_sketch("set")), "line-sketches")
-    each = write_through(large_open.join(sketches, "line_id"), "open-sketches")
-    one = each.select("band", *(F.col(c).alias(f"{c}_a") for c in each.columns if c != "band"))
-    two = each.select(F.col("band").alias("_band"), *(F.col(c).alias(f"{c}_b") for c in each.columns if c != "band"))
-    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(SKETCH)), F.lit(0))
-    # sets that reach the threshold differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
-    near = (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    open_lines = large_open.join(several, "band", "left_semi").groupBy("line_id", "component").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    each = open_lines.join(sketches, "line_id").select("*", F.posexplode("bands").alias("at", "band"))
+    each = write_through(each, "open-sketches")
+    of_line = [c for c in each.columns if c != "band"]
+    one, two = each.select("band", *_of("a", of_line)), each.select(F.col("band").alias("_band"), *_of("b", of_line))
     ordered = (F.col("line_id_a") < F.col("line_id_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = one.join(two, (F.col("band") == F.col("_band")) & ordered & near)
-    return pairs.select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).distinct()
-
-
-def _sketch(column: str) -> list[Column]:
-    """Size of a set of hashes, and its parities: bit i of word j says whether an odd number of hashes fall there. Two
-    sets differ in at least as many hashes as their parities differ in bits."""
-    parity = "aggregate({0}, 0L, (acc, h) -> acc ^ if(((h >> 6) & {1}) = {2}, shiftleft(1L, cast(h & 63 as int)), 0L))"
-    return [F.size(column).alias("size"), *(F.expr(parity.format(column, SKETCH - 1, i)).alias(f"p{i}") for i in range(SKETCH))]
+    # a pair is made in the first band that its lines share, and nowhere else; a function of an element also keeps Spark
+    # from making one method of the join, too long for the JVM to compile
+    first = ~F.exists(F.slice("bands_a", F.lit(1), F.col("at_a")), lambda band: F.array_contains("bands_b", band))
+    pairs = one.join(two, (F.col("band") == F.col("_band")) & ordered & _near(percent) & first)
+    return pairs.select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), "size_a", "size_b")
 
 
-def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line_id, line) of the lines of ``wanted``, each once."""
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, line) of the lines of ``pairs``, each once."""
+    wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
     wanted = broadcast_if_small(write_through(wanted, "candidate-lines"))
     found = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi")
     return write_through(found.dropDuplicates(["line_id"]), "line-texts")
 
 
-def _set(line: Column) -> Column:
-    """The hashes of the shingles of a line."""
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets of shingles reach the threshold. The lines travel to the pairs, not their sets, which take eight
-    bytes a character; a pair makes its two sets where it is compared."""
-    wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
-    texts = _texts(wanted, lines)
-    one = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
-    two = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(one, "a").join(two, "b")
-
-    def near(sets: Column) -> Column:
-        common = F.size(F.array_intersect(sets["a"], sets["b"]))
-        return (100 + percent) * common >= percent * (F.size(sets["a"]) + F.size(sets["b"]))
-
-    # an array of one element, so that a set is made once and not at every mention
-    sets = F.array(F.struct(_set(F.col("line_a")).alias("a"), _set(F.col("line_b")).alias("b")))
-    return both.where(F.exists(sets, near)).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets of shingles reach the threshold; ``pairs`` tells their sizes. The lines travel to the pairs, not
+    their sets, which take eight bytes a character; a pair makes its two sets where it is compared."""
+    one, two = (texts.select(F.col("line_id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
+    common = F.size(F.array_intersect(_hashes(F.col("line_a")), _hashes(F.col("line_b"))))
+    reached = (100 + percent) * common >= percent * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(one, "a").join(two, "b").where(reached).select("a", "b")
 
 
 def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -149,9 +177,13 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     percent = round(100 * threshold)
     held, groups = _bands(write_through(_signatures(lines), "line-signatures"))
     large = _large(held, groups)
-    links = write_through(_verified(write_through(_candidates(groups, large), "line-pairs"), lines, percent), "line-links")
-    others = write_through(_other_pairs(large, components(links, "a", "b"), lines, percent), "other-pairs")
-    return links if others.isEmpty() else links.unionByName(_verified(others, lines, percent))
+    pairs = write_through(_candidates(groups, large), "line-pairs")
+    texts = _texts(pairs, lines)
+    sketches = write_through(_sketches(texts), "line-sketches")
+    near = write_through(_near_pairs(pairs, sketches, percent), "near-pairs")
+    links = write_through(_verified(near, texts, percent), "line-links")
+    others = write_through(_other_pairs(large, components(links, "a", "b"), sketches, percent), "other-pairs")
+    return links if others.isEmpty() else links.unionByName(_verified(others, texts, percent))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

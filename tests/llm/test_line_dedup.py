@@ -166,3 +166,21 @@ def test_sets_of_shingles_stay_off_the_disk(spark, monkeypatch):
         assert not any(kind == "array<bigint>" for name, kind in columns if name != "bands"), label
         made = [step.lstrip(" :+-").split(" ")[0] for step in plan.splitlines() if "array_distinct" in step]
         assert set(made) <= {"Join", "Filter"} or label == "line-sketches", label
+
+
+def test_a_family_of_one_template_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Long lines that share their bands and three fifths of their shingles: sketches rule their pairs out, and a pair
+    that is left is made in one band only."""
+    pairs = {}
+    keep = line_dedup.write_through
+
+    def watched(df, label):
+        made = keep(df, label)
+        if label == "other-pairs":
+            pairs["others"] = [(r.a, r.b) for r in made.collect()]
+        return made
+
+    monkeypatch.setattr(line_dedup, "write_through", watched)
+    lines = [H.prose(1, 60, 9000) + " " + H.prose(1000 + i, 20, 9000) for i in range(120)]
+    line_dedup.line_links(H.documents(spark, lines)).collect()
+    assert len(pairs["others"]) < 2 * len(lines) and len(set(pairs["others"])) == len(pairs["others"])
