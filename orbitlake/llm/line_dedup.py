@@ -20,6 +20,7 @@ from orbitlake.workspace import write_through
 
 THRESHOLD = 0.75
 CHARACTERS = 8  # of a shingle
+WIDTH = 4  # bytes of a character in UTF-32
 SKETCH = 16  # words of a sketch of a set, a power of two; it tells apart sets of up to some 100 shingles a word
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
 
@@ -29,19 +30,19 @@ def _characters(line: Column) -> Column:
     return F.encode(F.lower(line), "UTF-32")
 
 
-def _starts(characters: Column) -> Column:
-    """Numbers (from 0) of the characters that a shingle starts from."""
-    return F.sequence(F.lit(0), F.greatest((F.length(characters) / 4).cast("int") - CHARACTERS, F.lit(0)))
+def _starts(characters: Column, width: Column) -> Column:
+    """Numbers (from 0) of the characters, of ``width`` bytes each, that a shingle starts from."""
+    return F.sequence(F.lit(0), F.greatest((F.length(characters) / width).cast("int") - CHARACTERS, F.lit(0)))
 
 
-def _shingle(characters: Column, start: Column) -> Column:
-    return F.substring(characters, 4 * start + 1, F.lit(4 * CHARACTERS))
+def _shingle(characters: Column, start: Column, width: Column) -> Column:
+    return F.substring(characters, width * start + 1, width * CHARACTERS)
 
 
 def _each_shingle(line: Column, made: Callable[[Column], Column]) -> Column:
     """What ``made`` makes of every shingle of a line, a shingle being given as the bytes of its characters."""
     # an array of one element, so that the characters are made once and not at every shingle
-    each = F.transform(F.array(_characters(line)), lambda c: F.transform(_starts(c), lambda i: made(_shingle(c, i))))
+    each = F.transform(F.array(_characters(line)), lambda c: F.transform(_starts(c, F.lit(WIDTH)), lambda i: made(_shingle(c, i, F.lit(WIDTH)))))
     return F.flatten(each)
 
 
@@ -66,9 +67,18 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """(line_id, bands): the hash of each band of minima, for every distinct line that is not blank."""
-    rows = lines.where(~_is_blank(F.col("line"))).select(F.xxhash64("line").alias("line_id"), _characters(F.col("line")).alias("characters"))
-    starts = rows.select("line_id", "characters", F.explode(_starts(F.col("characters"))).alias("start"))
-    hashed = starts.select("line_id", F.hash(_shingle(F.col("characters"), F.col("start"))).alias("h"))
+    # a line of one-byte characters needs no wider ones; either way the hash is that of the shingle as a string
+    lower = F.lower("line")
+    narrow = F.octet_length(lower) == F.length(lower)
+    rows = lines.where(~_is_blank(F.col("line"))).select(
+        F.xxhash64("line").alias("line_id"),
+        narrow.alias("narrow"),
+        F.when(narrow, lower.cast("binary")).otherwise(_characters(F.col("line"))).alias("characters"),
+        F.when(narrow, 1).otherwise(WIDTH).alias("width"),
+    )
+    starts = rows.select("*", F.explode(_starts(F.col("characters"), F.col("width"))).alias("start"))
+    shingle = _shingle(F.col("characters"), F.col("start"), F.col("width"))
+    hashed = starts.select("line_id", F.when(F.col("narrow"), F.hash(shingle)).otherwise(F.hash(F.decode(shingle, "UTF-32"))).alias("h"))
     # fixed pseudo-random masks: each makes another order of the hashes
     masks = [(0x9E3779B1 * (i + 1) ^ 0x85EBCA77 * (i * i + 7)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
     least = hashed.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)))
