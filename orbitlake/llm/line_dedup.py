@@ -23,6 +23,10 @@ CHARACTERS = 8  # of a shingle
 WIDTH = 4  # bytes of a character in UTF-32
 SKETCH = 16  # words of a sketch of a set, a power of two; it tells apart sets of up to some 100 shingles a word
 BANDS, ROWS = 8, 3  # a pair of similarity 0.75 shares a band with probability 0.988, one of 0.9 with 0.9999
+#: Fixed pseudo-random masks: each makes another order of the hashes.
+MASKS = [(0x9E3779B1 * (i + 1) ^ 0x85EBCA77 * (i * i + 7)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
+#: Bytes of a line from which on only hashes that share so many first bits with the least of a mask are minded.
+DEPTHS = {5: 256, 6: 512}
 
 
 def _characters(line: Column) -> Column:
@@ -30,20 +34,16 @@ def _characters(line: Column) -> Column:
     return F.encode(F.lower(line), "UTF-32")
 
 
-def _starts(characters: Column, width: Column) -> Column:
-    """Numbers (from 0) of the characters, of ``width`` bytes each, that a shingle starts from."""
-    return F.sequence(F.lit(0), F.greatest((F.length(characters) / width).cast("int") - CHARACTERS, F.lit(0)))
-
-
-def _shingle(characters: Column, start: Column, width: Column) -> Column:
-    return F.substring(characters, width * start + 1, width * CHARACTERS)
-
-
 def _each_shingle(line: Column, made: Callable[[Column], Column]) -> Column:
     """What ``made`` makes of every shingle of a line, a shingle being given as the bytes of its characters."""
+    reach = WIDTH * CHARACTERS
+
+    def of(characters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(characters) - (reach - 1), F.lit(1)), F.lit(WIDTH))
+        return F.transform(starts, lambda i: made(F.substring(characters, i, F.lit(reach))))
+
     # an array of one element, so that the characters are made once and not at every shingle
-    each = F.transform(F.array(_characters(line)), lambda c: F.transform(_starts(c, F.lit(WIDTH)), lambda i: made(_shingle(c, i, F.lit(WIDTH)))))
-    return F.flatten(each)
+    return F.transform(F.array(_characters(line)), of)[0]
 
 
 def shingles(line: Column) -> Column:
@@ -62,28 +62,57 @@ def _is_blank(line: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(key, id, line_no, line) of every line; ``rows`` has key, id and text."""
-    return rows.select("key", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # here and below: what never is empty goes through an outer generator, since Spark would make it twice otherwise, once
+    # in a filter of its own for empty ones
+    return rows.where(F.col("text").isNotNull()).select("key", "id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(line_id, bands): the hash of each band of minima, for every distinct line that is not blank."""
-    # a line of one-byte characters needs no wider ones; either way the hash is that of the shingle as a string
+def _minima(lines: DataFrame, depths: dict[int, int]) -> DataFrame:
+    """(line_id, bands, sure): the hash of each band of minima, for every distinct line that is not blank. A line of at
+    least ``depths[k]`` bytes only minds hashes that share their first k bits with what a mask has least, as the minimum
+    does unless no hash does: then ``sure`` is false."""
     lower = F.lower("line")
-    narrow = F.octet_length(lower) == F.length(lower)
+    octets = F.octet_length(lower)
+    # a line of one-byte characters needs no look at where they start; either way the hash is that of the shingle as a string
+    narrow = octets == F.length(lower)
+    depth, minded = F.lit(1), F.lit(3).cast("long")
+    for k in sorted(depths):
+        bits = sum(1 << prefix for prefix in {(m % 2**32 ^ 2**31) >> 32 - k for m in MASKS})
+        deep = octets >= depths[k]
+        depth, minded = F.when(deep, k).otherwise(depth), F.when(deep, F.lit((bits + 2**63) % 2**64 - 2**63).cast("long")).otherwise(minded)
     rows = lines.where(~_is_blank(F.col("line"))).select(
         F.xxhash64("line").alias("line_id"),
+        lower.cast("binary").alias("bytes"),
         narrow.alias("narrow"),
-        F.when(narrow, lower.cast("binary")).otherwise(_characters(F.col("line"))).alias("characters"),
-        F.when(narrow, 1).otherwise(WIDTH).alias("width"),
+        F.when(narrow, CHARACTERS).otherwise(WIDTH * CHARACTERS).alias("reach"),
+        F.sequence(F.lit(0), octets - F.octet_length(F.right(lower, F.lit(CHARACTERS)))).alias("starts"),
+        depth.alias("depth"),
+        minded.alias("minded"),
     )
-    starts = rows.select("*", F.explode(_starts(F.col("characters"), F.col("width"))).alias("start"))
-    shingle = _shingle(F.col("characters"), F.col("start"), F.col("width"))
-    hashed = starts.select("line_id", F.when(F.col("narrow"), F.hash(shingle)).otherwise(F.hash(F.decode(shingle, "UTF-32"))).alias("h"))
-    # fixed pseudo-random masks: each makes another order of the hashes
-    masks = [(0x9E3779B1 * (i + 1) ^ 0x85EBCA77 * (i * i + 7)) % 2**32 - 2**31 for i in range(BANDS * ROWS)]
-    least = hashed.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)))
+    starts = rows.select("line_id", "bytes", "narrow", "reach", "depth", "minded", F.explode_outer("starts").alias("start"))
+    ahead = starts.select("line_id", "narrow", "depth", "minded", "start", F.substring("bytes", F.col("start") + 1, F.col("reach")).alias("ahead"))
+    begins = (F.col("ahead") < F.lit(b"\x80")) | (F.col("ahead") >= F.lit(b"\xc0"))  # a character, and is not within one
+    h = F.when(F.col("narrow"), F.hash("ahead")).when(begins, F.hash(F.substring(F.col("ahead").cast("string"), 1, CHARACTERS)))
+    # out of a generator, so that Spark does not make the hash again in the filter
+    hashed = ahead.select("line_id", "depth", "minded", "start", F.explode(F.array(h)).alias("h"))
+    is_minded = F.expr("getbit(minded, shiftrightunsigned(h, 32 - depth)) > 0")
+    # the first one stays, so that no line goes
+    hashed = hashed.where(F.col("h").isNotNull() & ((F.col("start") == 0) | is_minded))
+    least = hashed.groupBy("line_id", "depth").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(MASKS)))
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return least.select("line_id", F.array(*bands).alias("bands"))
+    greatest = F.greatest(*(f"m{i}" for i in range(len(MASKS)))).cast("long")
+    sure = (F.col("depth") == 1) | (greatest < F.expr("shiftleft(1L, 32 - depth)") - 2**31)
+    return least.select("line_id", F.array(*bands).alias("bands"), sure.alias("sure"))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(line_id, bands): the hash of each band of minima, for every distinct line that is not blank. The few lines whose
+    minima are not sure are read again."""
+    made = write_through(_minima(lines, DEPTHS), "line-signatures")
+    unsure = broadcast_if_small(made.where("not sure").select(F.col("line_id").alias("_line_id")))
+    left = lines.join(unsure, F.xxhash64("line") == F.col("_line_id"), "left_semi")
+    again = write_through(_minima(left, {}), "unsure-signatures")
+    return made.where("sure").unionByName(again).select("line_id", "bands")
 
 
 def _bands(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,11 +143,13 @@ def _candidates(groups: DataFrame, large: DataFrame) -> DataFrame:
 def _sketches(texts: DataFrame) -> DataFrame:
     """(line_id, size, p0, p1, …): size of the set of hashes of each line, and its parities: bit i of word j says whether
     an odd number of hashes fall there. Two sets differ in at least as many hashes as their parities differ in bits."""
-    hashes = texts.select("line_id", F.explode(F.array_distinct(_hashes(F.col("line")))).alias("h"))
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1))
+    # dealt by line, so that both sums of a line are made where its hashes are; word by word, so that a hash is added once
+    hashes = texts.repartition("line_id").select("line_id", F.explode_outer(F.array_distinct(_hashes(F.col("line")))).alias("h"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)).alias("word")
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    parities = [F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(SKETCH)]
-    return hashes.groupBy("line_id").agg(F.count("*").alias("size"), *parities)
+    words = hashes.groupBy("line_id", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    parities = [F.bit_xor(F.when(F.col("word") == j, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(SKETCH)]
+    return words.groupBy("line_id").agg(F.sum("n").alias("size"), *parities)
 
 
 def _of(side: str, columns: list[str]) -> list[Column]:
@@ -185,7 +216,7 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     as many as join all the lines that pairs sharing a band would join."""
     lines = _lines(docs.select(F.lit(None).alias("key"), F.lit(None).alias("id"), F.col(text_col).alias("text")))
     percent = round(100 * threshold)
-    held, groups = _bands(write_through(_signatures(lines), "line-signatures"))
+    held, groups = _bands(_signatures(lines))
     large = _large(held, groups)
     pairs = write_through(_candidates(groups, large), "line-pairs")
     texts = _texts(pairs, lines)

@@ -184,3 +184,35 @@ def test_a_family_of_one_template_is_not_compared_pair_by_pair(spark, monkeypatc
     lines = [H.prose(1, 60, 9000) + " " + H.prose(1000 + i, 20, 9000) for i in range(120)]
     line_dedup.line_links(H.documents(spark, lines)).collect()
     assert len(pairs["others"]) < 2 * len(lines) and len(set(pairs["others"])) == len(pairs["others"])
+
+
+def test_signatures_are_the_minima_of_all_shingles(spark):
+    """Also where a long line has few different shingles, and where characters take one to four bytes."""
+    lines = ["a", "x" * 3000, "é" * 900, "ab" * 700, "1234567", "日本語😀", " tail é", *(H.prose(n, 20 * n, 9000) for n in range(1, 20))]
+    lines += ["é ß 日本語 😀 İ " * 70, *(H.prose(n, 150, 9000).replace("a", "ä").replace("o", "😀") for n in range(9))]
+    rows = spark.createDataFrame([(None, i, line) for i, line in enumerate(lines)], "key long, id long, text string")
+    split = line_dedup._lines(rows)
+    each = split.select(F.xxhash64("line").alias("line_id"), F.explode(line_dedup.shingles(F.col("line"))).alias("s"))
+    minima = each.groupBy("line_id").agg(*(F.min(F.hash("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(line_dedup.MASKS)))
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * line_dedup.ROWS + r}" for r in range(line_dedup.ROWS))) for b in range(line_dedup.BANDS)]
+    wanted = {r.line_id: r.bands for r in minima.select("line_id", F.array(*bands).alias("bands")).collect()}
+    found = [(r.line_id, r.bands) for r in line_dedup._signatures(split).collect()]
+    assert len(found) == len(wanted) == len(lines) and dict(found) == wanted
+    assert {r.sure for r in line_dedup._minima(split, line_dedup.DEPTHS).collect()} == {True, False}
+
+
+def test_few_hashes_meet_the_masks_and_no_shingle_is_decoded(spark, monkeypatch):
+    plans = {}
+    keep = line_dedup.write_through
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, label)
+
+    monkeypatch.setattr(line_dedup, "write_through", watched)
+    lines = [H.prose(i // 2, 200, 9000) + " é" * (i % 2) for i in range(20)]
+    line_dedup.line_links(H.documents(spark, lines)).collect()
+    assert "getbit" in plans["line-signatures"] and "decode(" not in plans["line-signatures"] and "UTF-32" not in plans["line-signatures"]
+    words = [step for step in plans["line-sketches"].splitlines() if "Aggregate" in step and "word" in step]
+    assert len(words) == 2  # a hash is added to one word, not to each
+    assert plans["line-sketches"].count("array_distinct") == 1  # and made once, not in a filter before, too
