@@ -63,7 +63,8 @@ def feed_group(event_type: Column) -> Column:
 def gp_files(lake: Lake, per_hour: bool = False) -> DataFrame:
     """Element sets as JSON arrays; debris numbers arrive as strings, rows of small value lack the id.
 
-    ``per_hour`` cuts epochs to whole hours.
+    ``per_hour`` cuts epochs to whole hours, for files to be landed: they get about ``ROWS_PER_FILE`` rows each, not a
+    share of so many ids.
     """
     group = feed_group(F.col("event_type"))
     epoch = F.date_trunc("hour", "ts") if per_hour else F.col("ts")
@@ -84,9 +85,11 @@ def gp_files(lake: Lake, per_hour: bool = False) -> DataFrame:
         member("MEAN_MOTION", number(F.col("value") / 5)),
     ]
     item = F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+    # an id belongs to one type of event, so a range of ids is shared by the files of all types
+    part = F.floor(chunk("event_id") / len(FEED_GROUP)) if per_hour else chunk("event_id")
     files = (
         lake.raw("events")
-        .groupBy("event_type", chunk("event_id").alias("part"))
+        .groupBy("event_type", part.alias("part"))
         .agg(json_array(item).alias("content"))
         .withColumns(
             {

@@ -277,3 +277,23 @@ def test_upsert_keeps_vanished_objects(spark, staging):
     assert after[99].object_name == "GONE"
     # the merge takes the registry's status alone
     assert after[3].operational_status is None and after[1].operational_status == "Inactive"
+
+
+def test_landed_element_sets_fill_their_files(spark):
+    """Ids are shared by all types of event: files by ranges of as many ids as rows would hold a fifth of them."""
+    from types import SimpleNamespace
+
+    from orbitlake.workload import rawtext
+
+    types = list(rawtext.FEED_GROUP)
+    kind = F.element_at(F.array(*map(F.lit, types)), (F.col("id") % len(types) + 1).cast("int"))
+    events = spark.range(10 * rawtext.ROWS_PER_FILE).select(
+        F.col("id").alias("event_id"),
+        kind.alias("event_type"),
+        (F.col("id") % 7).alias("user_id"),
+        F.lit(0.75).alias("value"),
+        F.lit("2024-01-01 00:30:00").cast("timestamp").alias("ts"),
+    )
+    files = rawtext.gp_files(SimpleNamespace(raw=lambda name: events), per_hour=True)
+    sizes = [r.n for r in files.select(F.regexp_count("content", F.lit("OBJECT_NAME")).alias("n")).collect()]
+    assert sum(sizes) == 10 * rawtext.ROWS_PER_FILE and set(sizes) == {rawtext.ROWS_PER_FILE}
