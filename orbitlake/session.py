@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # A listing of many paths shares this many tasks; by default it takes a task a path, up to ten thousand.
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # Landed files are small. At the default of 4 MB for opening one, a scan gets a task for every few of them, and what
+    # the driver keeps of tasks and of the files they write grows with the number of landed files.
+    "spark.sql.files.openCostInBytes": "256k",
 }
 
 

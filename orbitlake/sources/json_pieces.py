@@ -67,7 +67,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row[f"change_{state}"] = int(sums[-1]) if len(sums) else 0
                 row[f"low_{state}"] = int(sums.min()) if len(sums) else None
             rows.append(row)
-        columns = {n: batch[n] for n in ("path", "block", "run", "lines", "bytes")}
+        columns = {n: batch[n] for n in ("path", "size", "block", "run", "lines", "bytes")}
         told = [pa.array([r[n] for r in rows], pa.string() if n == "begins" else pa.int64()) for n in SUMMARY]
         yield pa.RecordBatch.from_arrays([*columns.values(), *told], [*columns, *SUMMARY])
 
@@ -141,27 +141,20 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["path", "modified", "block", "nth", "whole", "head", "tail"])
 
 
-def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, modified, size) of every file, by listing alone."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    meta = F.col("_metadata")
-    return scan.select(meta["file_path"].alias("path"), meta["file_modification_time"].alias("modified"), meta["file_size"].alias("size"))
-
-
-def _states(runs: DataFrame, files: DataFrame) -> DataFrame:
+def _states(runs: DataFrame) -> DataFrame:
     """Per run of ``runs``, without its text: the state and depth it begins in, its number in the file, the bracket the
     file begins with (``opens``), whether it is the file's first or last, whether a brace ends it (``closed``), and
     whether the file's root closes in it (``ending``); none of the runs after that."""
-    schema = "path string, block long, run long, lines long, bytes long, begins string, odd long, change_0 long, low_0 long, change_1 long, low_1 long"
-    summed = runs.select("path", "block", "run", "lines", "bytes", "text").mapInArrow(_summed, schema)
+    schema = "path string, size long, block long, run long, lines long, bytes long, begins string, odd long, change_0 long, low_0 long, change_1 long, low_1 long"
+    summed = runs.select("path", "size", "block", "run", "lines", "bytes", "text").mapInArrow(_summed, schema)
     summed = write_through(summed.withColumnRenamed("run", "line_no"), "json-runs")
     place = F.struct("block", "line_no")
     facts = summed.groupBy("path").agg(
         F.min_by("begins", place).alias("opens"), F.min(place).alias("_from"), F.max(place).alias("_to"),
-        F.sum("bytes").alias("_bytes"), F.sum("lines").alias("_pieces"),
+        F.sum("bytes").alias("_bytes"), F.sum("lines").alias("_pieces"), F.max("size").alias("_size"),
     )
-    beyond = F.col("size") - F.col("_bytes") - F.col("_pieces")
-    facts = facts.join(files.select("path", "size"), "path").withColumn("_ends_closed", beyond.isin(0, MARK_BYTES))
+    beyond = F.col("_size") - F.col("_bytes") - F.col("_pieces")
+    facts = facts.withColumn("_ends_closed", beyond.isin(0, MARK_BYTES))
     known = summed.join(facts.select("path", "opens", "_from", "_to", "_ends_closed"), "path")
     known = known.withColumns({"first": place == F.col("_from"), "last": place == F.col("_to")})
     known = known.withColumns({"closed": ~F.col("last") | F.col("_ends_closed"), "_outside": F.col("odd"), "_inside": 1 - F.col("odd"), "_one": F.lit(1)})
@@ -185,12 +178,13 @@ def read_json_chunks(spark: SparkSession, paths: str | list[str], objects: bool)
     readers do.
     """
     ship_package(spark)
-    files = write_through(_files(spark, paths), "json-files")
     runs = L.read_lines(spark, paths, CLOSE, RUN_BYTES)
     whole = (F.col("opens") == "{") & F.lit(objects)
-    states = _states(runs, files).where((F.col("opens") == "[") | F.col("first") | whole).withColumn("all", whole)
-    # only here do texts travel, to their states; of the cut runs only what goes on in another one
-    placed = runs.select("path", "modified", "block", "run", "text").join(write_through(states, "json-places"), ["path", "block", "run"])
+    states = _states(runs).where((F.col("opens") == "[") | F.col("first") | whole).withColumn("all", whole)
+    # only here do texts travel, to their states; of the cut runs only what goes on in another one. A row a run with the
+    # file's path is small on disk, where paths repeat, and many times that in a broadcast, hence the merge
+    places = write_through(states, "json-places").hint("merge")
+    placed = runs.select("path", "modified", "block", "run", "text").join(places, ["path", "block", "run"])
     schema = "path string, modified timestamp, block long, nth long, whole array<binary>, head binary, tail binary"
     cut = write_through(placed.mapInArrow(_chunked, schema), "json-cut")
     alone = cut.select("path", "modified", F.explode("whole").alias("text"))
@@ -198,10 +192,10 @@ def read_json_chunks(spark: SparkSession, paths: str | list[str], objects: bool)
         F.struct((2 * F.col("nth")).alias("line_no"), F.col("head").alias("line"), F.lit(False).alias("starts")),
         F.struct((2 * F.col("nth") + 1).alias("line_no"), F.col("tail").alias("line"), F.lit(True).alias("starts")),
     )
-    open_ends = cut.where("head is not null or tail is not null").select("path", "block", F.inline(ends)).where("line is not null")
+    open_ends = cut.where("head is not null or tail is not null").select("path", "modified", "block", F.inline(ends)).where("line is not null")
     texts = open_ends.withColumns({"line": F.col("line").cast("string"), "alone": F.lit(False)})
-    joined = L.chunks(write_through(texts, "json-ends"), "starts", joiner="").select("path", "text").join(files.select("path", "modified"), "path")
-    chunks = alone.withColumn("text", F.col("text").cast("string")).unionByName(joined)
+    joined = L.chunks(write_through(texts, "json-ends"), "starts", joiner="", keep=("modified",))
+    chunks = alone.withColumn("text", F.col("text").cast("string")).unionByName(joined.select("path", "modified", "text"))
     return chunks.select(
         "path",
         landing.source_of(F.col("path")).alias("source_name"),

@@ -22,7 +22,7 @@ BYTE_ORDER_MARK = "﻿"
 
 def _together(ends: bytes, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of a block's consecutive lines, as the scan gives them, joined by ``ends``."""
-    names, mark = ["path", "modified", "block", "run", "lines", "bytes", "text"], BYTE_ORDER_MARK.encode()
+    names, mark = ["path", "modified", "size", "block", "run", "lines", "bytes", "text"], BYTE_ORDER_MARK.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lines, length, number = None, [], 0, 0
@@ -35,7 +35,7 @@ def _together(ends: bytes, size: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 lines, length, number = [], 0, number + 1
 
         def written(like: pa.Schema) -> pa.RecordBatch:
-            kinds = [like.field(n).type for n in names[:3]] + [pa.int64()] * 3 + [pa.binary()]
+            kinds = [like.field(n).type for n in names[:4]] + [pa.int64()] * 3 + [pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*made), kinds)]
             made.clear()
             return pa.RecordBatch.from_arrays(columns, names)
@@ -49,11 +49,11 @@ def _together(ends: bytes, size: int) -> Callable[[Iterator[pa.RecordBatch]], It
             for low, high in pairwise([0, *changes.tolist(), len(values)]):
                 if low == high:
                     continue
-                own = tuple(batch[n][low].as_py() for n in names[:3])
+                own = tuple(batch[n][low].as_py() for n in names[:4])
                 if own != key:
                     finish()
                     key, number = own, 0
-                    if own[2] == 0:
+                    if own[3] == 0:
                         values[low] = values[low].removeprefix(mark)
                 for value in values[low:high]:
                     lines.append(value)
@@ -74,24 +74,22 @@ def read_lines(spark: SparkSession, paths: str | list[str], ends: str | None = N
     feed, a carriage return or both, or at ``ends`` only. An empty file has no lines. Written once, as the order within
     a block is the scan's.
 
-    With ``run_bytes``, (path, modified, block, run, lines, bytes, text): the lines in runs of about that size, which no
-    block's end crosses, numbered from 0 in each block; how many lines, how many bytes without their ends, and the lines
-    joined by ``ends``, as bytes.
+    With ``run_bytes``, (path, modified, size, block, run, lines, bytes, text): the lines in runs of about that size, which
+    no block's end crosses, numbered from 0 in each block; the file's size, how many lines, how many bytes without their
+    ends, and the lines joined by ``ends``, as bytes.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     scan = (reader.option("lineSep", ends) if ends else reader).text(paths)
-    lines = scan.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_order"),
-        F.col("value").alias("line"),
-    )
+    path = F.col("_metadata.file_path").alias("path")
+    modified = F.col("_metadata.file_modification_time").alias("modified")
+    block = F.col("_metadata.file_block_start").alias("block")
     if run_bytes:
-        found = lines.select("path", "modified", "block", F.col("line").cast("binary").alias("line"))
-        schema = "path string, modified timestamp, block long, run long, lines long, bytes long, text binary"
+        size = F.col("_metadata.file_size").alias("size")
+        found = scan.select(path, modified, size, block, F.col("value").cast("binary").alias("line"))
+        schema = "path string, modified timestamp, size long, block long, run long, lines long, bytes long, text binary"
         return write_through(found.mapInArrow(_together(ends.encode(), run_bytes), schema), "runs")
-    lines = write_through(lines, "lines")
+    scanned = scan.select(path, modified, block, F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line"))
+    lines = write_through(scanned, "lines")
     blocks = lines.groupBy("path", "block").agg(F.count("*").alias("_size"), F.min("_order").alias("_first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -181,10 +179,11 @@ def running_sum(lines: DataFrame, column: str, into: str) -> DataFrame:
     return summed.join(blocks, ["path", "block"]).withColumn(into, F.col(into) + F.col("_earlier")).drop("_earlier")
 
 
-def chunks(lines: DataFrame, starts: str, joiner: str = "\n") -> DataFrame:
+def chunks(lines: DataFrame, starts: str, joiner: str = "\n", keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, line_no, text): lines joined from each one that ``starts`` a chunk up to the next such line of the file.
 
-    Only chunks of several lines are gathered; ``alone`` says which lines are chunks by themselves.
+    Only chunks of several lines are gathered; ``alone`` says which lines are chunks by themselves. ``keep``: columns that
+    are the same in all lines of a file, to be kept.
     """
     within = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("_chunk", F.last(F.when(F.col(starts), F.col("line_no")), ignorenulls=True).over(within))
@@ -192,7 +191,7 @@ def chunks(lines: DataFrame, starts: str, joiner: str = "\n") -> DataFrame:
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select("path", "block", F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_open"))
     marked = marked.join(lasts, ["path", "block"]).withColumn("_chunk", F.coalesce("_chunk", "_open"))
-    alone = marked.where("alone").select("path", "line_no", F.col("line").alias("text"))
-    parts = marked.where("NOT alone").groupBy("path", "_chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_parts"))
-    joined = parts.select("path", F.col("_chunk").alias("line_no"), F.array_join(F.col("_parts.line"), joiner).alias("text"))
+    alone = marked.where("alone").select("path", *keep, "line_no", F.col("line").alias("text"))
+    parts = marked.where("NOT alone").groupBy("path", *keep, "_chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_parts"))
+    joined = parts.select("path", *keep, F.col("_chunk").alias("line_no"), F.array_join(F.col("_parts.line"), joiner).alias("text"))
     return alone.unionByName(joined)

@@ -273,7 +273,7 @@ def gp_split_rejects(lake: Lake) -> DataFrame:
 
 def launch_split_rows(lake: Lake) -> DataFrame:
     """Landed launches, arrays read in splits."""
-    good = json_pieces.parse_launch_files(lake.spark, landed(lake, rawtext.launch_files(lake)))[0]
+    good = json_pieces.parse_launch_files(lake.spark, landed(lake, rawtext.launch_files(lake, full=True)))[0]
     return zoneless(good).drop("imported_at")
 
 

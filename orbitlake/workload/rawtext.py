@@ -5,6 +5,7 @@ Rows are packed into files of bounded size by ranges of their unique id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from orbitlake import constants as K
 from orbitlake.workload.analogue import Lake
 
 ROWS_PER_FILE = 1000
+ROWS_PER_FULL_FILE = 10_000  # shared by the statuses of a part; pages are parsed whole
 DOWNLOADED = "2024-01-31 04:00:00"
 
 # group the element sets of an event type arrive in
@@ -102,8 +104,15 @@ def gp_files(lake: Lake, per_hour: bool = False) -> DataFrame:
     return snapshot(files, K.GP)
 
 
-def launch_files(lake: Lake) -> DataFrame:
-    """Launches as JSON: plain arrays, pages with ``results``, records without a text id."""
+def launch_files(lake: Lake, full: bool = False) -> DataFrame:
+    """Launches as JSON: plain arrays, pages with ``results``, records without a text id.
+
+    ``full``: files of some megabytes, to be landed and read in splits, by the number of rows and not by ranges of keys,
+    which may have gaps.
+    """
+    orders = lake.raw("orders")
+    parts = max(1, math.ceil(orders.count() / ROWS_PER_FULL_FILE)) if full else None
+    part = F.pmod(F.xxhash64(*orders.columns), F.lit(parts)) if full else chunk("o_orderkey")
     status = F.col("o_orderstatus")
     key = F.col("o_orderkey").cast("string")
     payloads = F.array_repeat(F.struct(F.lit("sat").alias("kind")), F.floor(F.col("o_totalprice") / 100000).cast("int"))
@@ -135,8 +144,7 @@ def launch_files(lake: Lake) -> DataFrame:
     array = json_array(item)
     page = F.concat(F.lit('{"count": 1, "next": null, "results": '), array, F.lit("}"))
     files = (
-        lake.raw("orders")
-        .groupBy("o_orderstatus", chunk("o_orderkey").alias("part"))
+        orders.groupBy("o_orderstatus", part.alias("part"))
         .agg(F.when(F.col("o_orderstatus") == "O", page).otherwise(array).alias("content"))
         .withColumns(
             {

@@ -297,3 +297,27 @@ def test_landed_element_sets_fill_their_files(spark):
     files = rawtext.gp_files(SimpleNamespace(raw=lambda name: events), per_hour=True)
     sizes = [r.n for r in files.select(F.regexp_count("content", F.lit("OBJECT_NAME")).alias("n")).collect()]
     assert sum(sizes) == 10 * rawtext.ROWS_PER_FILE and set(sizes) == {rawtext.ROWS_PER_FILE}
+
+
+def test_landed_launches_fill_their_files(spark, monkeypatch):
+    """However far apart the keys lie, files of launches that are read in splits hold a share of the rows."""
+    from types import SimpleNamespace
+
+    from orbitlake.workload import queries, rawtext
+
+    count = 12_000
+    orders = spark.range(count).select(
+        (F.col("id") * 400).alias("o_orderkey"),
+        F.col("id").alias("o_custkey"),
+        F.element_at(F.array(*map(F.lit, "FOP")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"),
+        F.lit(150000.0).alias("o_totalprice"),
+        F.lit("2024-01-01 00:30:00").cast("timestamp_ntz").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    )
+    folders = []
+    land = rawtext.land
+    monkeypatch.setattr(rawtext, "land", lambda files, folder: (folders.append(folder), land(files, folder)))
+    got = queries.launch_split_rows(SimpleNamespace(spark=spark, raw=lambda name: orders))
+    assert got.select("launch_name").distinct().count() == got.count() == count
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    assert landed.count() <= 6

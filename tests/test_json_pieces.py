@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orbitlake.session import configure
 from orbitlake.sources import gp_json, json_pieces, landing, launches
 from orbitlake.sources import lines as lines_of
+from orbitlake.workspace import write_through
 
 
 @pytest.fixture
@@ -145,3 +147,29 @@ def test_pieces_of_a_block_travel_together(spark, tmp_path):
     assert sum(r.lines for r in runs) == 2001 and len(runs) <= sum(r.bytes for r in runs) / json_pieces.RUN_BYTES + 2
     told_bytes = [r.bytes + r.lines - 1 for r in sorted(runs, key=lambda r: (r.block, r.run))]
     assert told_bytes == [len(r.text) for r in sorted(runs, key=lambda r: (r.block, r.run))]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """What the driver keeps a task, and a file that a task writes, must not follow the number of landed files."""
+    configure(spark)
+    folder = landed(tmp_path, [f"[{A}]"] * 120)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        runs = lines_of.read_lines(spark, folder, json_pieces.CLOSE, json_pieces.RUN_BYTES)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(runs.inputFiles()) <= 8 and {(r.size, r.n) for r in runs.groupBy("size").agg(F.count("*").alias("n")).collect()} == {(len(A) + 2, 120)}
+
+
+def test_places_of_runs_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """They are small on disk, where the paths of files repeat, but a row a run."""
+    plans = {}
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write_through(df, label)
+
+    monkeypatch.setattr(json_pieces, "write_through", written)
+    good, _ = json_pieces.parse_gp_json_files(spark, landed(tmp_path, [f"[{A}]"] * 3))
+    assert good.count() == 3 and "BroadcastHashJoin" not in plans["json-cut"]
