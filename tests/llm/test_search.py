@@ -128,3 +128,49 @@ def test_longest_stretch_of_a_diagonal():
         found = block._stretch(words, 0, 0, 0, 0.8)
         assert (found[0] if found else 0) == longest_overlap(doc, item, 13)
         assert not found or (5 * found[1] >= 4 * found[0] and sum(doc[i] == item[i] for i in range(-found[2], -found[2] + found[0])) == found[1])
+
+
+def test_tasks_follow_the_work():
+    """Shards times blocks would be 120,000 tasks for ten million vectors of 64 numbers, 12 million for ten times as many."""
+    for points in (10**3, 10**5, 10**7, 10**8, 10**9):
+        asked = points // 50
+        shards, blocks = -(-points // topk_search.SHARD_ROWS), -(-asked // topk_search.BLOCK_QUERIES)
+        for pairs in (topk_search.TASK_PAIRS, topk_search.TASK_PAIRS * topk_search.FIRST_PASS):
+            groups, parts = topk_search._grid(shards, blocks, points, asked, 64, pairs, 8)
+            assert groups <= shards and parts <= blocks and groups * parts <= 2 * topk_search.MOST_TASKS
+            assert groups * parts >= min(8, shards * blocks) and -(-asked // parts) * 64 * 8 <= 1.1 * topk_search.TASK_BYTES
+
+
+def test_ties_repeated_ids_and_fractions(spark, monkeypatch):
+    """Over several cells: very many equal vectors, ids of two vectors, and numbers that are not whole."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk_search, "LEAF_ROWS", 16)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(topk_search, "TASK_PAIRS", 2000)
+    monkeypatch.setattr(topk_search, "FIRST_PASS", 2)
+    draw = np.random.default_rng(5)
+    rows = [(i, [1.0, 1.0, 0.0]) for i in range(300)] + [(i, [float(x) for x in draw.integers(-9, 9, 3)]) for i in range(200, 500)]
+    thirds = [(i, [float(x) for x in draw.integers(-99, 99, 3) / 3]) for i in range(500)]
+    for own, twice in ((rows, True), (thirds, False)):
+        df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+        got = topk_search.top_k(df, df.where("vec_id % 10 = 0"), 5).collect()
+        asked = [r for r in own if r[0] % 10 == 0]
+        scored = {}
+        for q, of in asked:
+            scored.setdefault(q, set()).update((-sum(a * b for a, b in zip(of, v)), i) for i, v in own if i != q)
+        wanted = [(q, rank, i, -score) for q, each in scored.items() for rank, (score, i) in enumerate(sorted(each)[:5], 1)]
+        assert [tuple(r)[:3] for r in sorted(got)] == [w[:3] for w in sorted(wanted)]
+        assert all(abs(a.score - b[3]) <= 1e-9 * (1 - twice) for a, b in zip(sorted(got), sorted(wanted)))
+
+
+def test_queries_meet_all_trees_in_few_tasks(spark, monkeypatch):
+    """Fifty shards and eleven blocks, as many tasks as the session has cores."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 20)
+    monkeypatch.setattr(topk_search, "LEAF_ROWS", 8)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 10)
+    draw = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in draw.integers(-50, 50, 4)]) for i in range(1000)], "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, df.where("vec_id < 110"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in __import__("re").findall(r"Exchange [^\n]*?, (\d+)\)?, REPARTITION_BY_NUM", plan)]
+    assert dealt and max(dealt) <= 2 * spark.sparkContext.defaultParallelism and found.count() == 330
